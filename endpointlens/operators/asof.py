@@ -45,16 +45,22 @@ def _carried(evidence: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame
 def asof_lookup(left: DataFrame, right: DataFrame, on: list[str], *, left_ts: str = "ts",
                 right_ts: str = "ts", back: int | None = 0, ahead: int = 0,
                 order: list[str] = ("seq",), payload: list[str] = (),
-                prefer_last: bool = True) -> DataFrame:
+                prefer_last: bool = True, prune: bool = False) -> DataFrame:
     """One row per distinct (keys, ts) of `left` that has a match within the bounds.
 
     `back` / `ahead` are inclusive look-back and look-ahead in ms (`back=None`: no bound).
     The closest row wins; at equal distance the earlier one. `match.ts` is its time.
+    `prune` drops right rows far from every probe before anything is shuffled by time; worth it
+    where the right side is a whole fact table and probes are rare.
     """
-    evidence = _fold_right(right, on, right_ts, list(order), list(payload), prefer_last)
     probes = _probes(left, on, left_ts)
     width = CARRY_BUCKET_MS if back is None else max(back, ahead, 1)
     b = F.floor(F.col("_ts") / width)
+    if prune:
+        asked = probes.select(*on, F.explode(F.array(b - 1, b, b + 1)).alias("_b")).distinct()
+        right = right.withColumn("_b", F.floor(F.col(right_ts) / width)).join(
+            asked, [*on, "_b"], "left_semi")
+    evidence = _fold_right(right, on, right_ts, list(order), list(payload), prefer_last)
     reach = [b]
     if back:
         reach.append(b + 1)
