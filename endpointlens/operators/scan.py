@@ -105,7 +105,7 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
                      ok.alias("_ok"))
     key_type = slim.schema["_key"].dataType.simpleString()
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
         at, exits = _chunk_effect(pdf, window)
         return pd.DataFrame({"_key": [key[0]], "_chunk": [key[1]], "_at": [at], "_exit": [exits]})
@@ -113,7 +113,7 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
     effects = slim.groupBy("_key", "_chunk").applyInPandas(
         summarise, f"_key {key_type}, _chunk bigint, _at array<bigint>, _exit array<bigint>")
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
         state, rows = _NONE, []
         for number, at, exits in zip(pdf["_chunk"], pdf["_at"], pdf["_exit"]):
@@ -128,7 +128,7 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
     entries = effects.groupBy("_key").applyInPandas(
         compose, f"_key {key_type}, _chunk bigint, _entry bigint")
 
-    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
         ts_list, ok_list = pdf["_ts"].tolist(), pdf["_ok"].tolist()
         entry = int(pdf["_entry"].iloc[0])

@@ -15,8 +15,8 @@ def _filled(c: Column) -> Column:
 
 
 def encode_detail(**fields: Column) -> Column:
-    """JSON of the observed fields; empty text when nothing was observed."""
-    body = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    """JSON of the observed fields in name order; empty text when nothing was observed."""
+    body = F.to_json(F.struct(*[fields[n].alias(n) for n in sorted(fields)]))
     return F.when(body == "{}", F.lit("")).otherwise(body)
 
 
