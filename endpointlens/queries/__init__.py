@@ -1,7 +1,7 @@
 """Registered queries with the SQL that checks them."""
 
 from .base import ORACLES, QUERIES, Query
-from . import detection, graphs, investigation, telemetry_sources  # noqa: F401
+from . import detection, graphs, investigation, streams, telemetry_sources  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
