@@ -138,11 +138,11 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
         while at < len(ts_list):
             hit.append(at)
             at = nxt[at]
-        return pd.DataFrame({"_key": [key[0]] * len(hit), "_order": pdf["_order"].iloc[hit]})
+        return pd.DataFrame({"_key": [key[0]], "_hits": [pdf["_order"].iloc[hit].tolist()]})
 
     passed = (slim.join(entries, ["_key", "_chunk"]).groupBy("_key", "_chunk")
-              .applyInPandas(judge, f"_key {key_type}, _order bigint"))
-    marks = passed.select("_key", F.col("_order").alias(order), F.lit(True).alias("passed"))
+              .applyInPandas(judge, f"_key {key_type}, _hits array<bigint>"))
+    marks = passed.select("_key", F.explode("_hits").alias(order), F.lit(True).alias("passed"))
     return (df.join(marks, ["_key", order], "left")
             .withColumn("passed", F.coalesce("passed", F.lit(False)))
             .drop("_key", "_chunk"))
