@@ -33,10 +33,11 @@ class Feed:
         self.count += len(rows)
         self.make_events(batch).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
 
-    def run(self):
+    def run(self, quiet=3_600_000):
         """Takes in what is there, then stops; state stays in the checkpoint."""
         events = tables.event_stream(self.spark, f"{self.folder}/in")
-        query = tables.start(judged_triggers(events), tables.batch_writer(f"{self.folder}/out", []),
+        query = tables.start(judged_triggers(events, quiet=quiet),
+                             tables.batch_writer(f"{self.folder}/out", []),
                              f"{self.folder}/checkpoint")
         tables.drain(query)
 
