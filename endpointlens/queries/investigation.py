@@ -70,6 +70,16 @@ def event_by_id(spark, d):
         "event_id", "host", "ts", "dest_ip")
 
 
+@query("tenant_sql_by_type", f"""WITH {T} SELECT type, count(*) AS events, max(ts) AS last_seen FROM telemetry
+WHERE tenant_id = '2' AND ts >= {FROM} AND ts < {TO} GROUP BY type""")
+def tenant_sql_by_type(spark, d):
+    """SQL text with named parameters over tables locked to one tenant."""
+    return scope.tenant_sql(
+        spark, "SELECT type, count(*) AS events, max(ts) AS last_seen FROM {events} "
+               "WHERE ts >= :start AND ts < :stop GROUP BY type",
+        "2", {"start": FROM, "stop": TO}, events=fx.telemetry(spark, d))
+
+
 @query("events_by_type", f"""WITH {T} SELECT tenant_id, type, count(*) AS events FROM telemetry
 GROUP BY GROUPING SETS ((tenant_id, type), (tenant_id))""")
 def events_by_type(spark, d):
@@ -200,10 +210,9 @@ def _hosts(spark, d):
                            nodes_of(spark, d))
 
 
-@query("host_list", f"""WITH {_HOSTS} SELECT *, row_number() OVER (PARTITION BY tenant_id
-  ORDER BY last_seen = 0, last_seen DESC, agent_seen DESC, host) AS pos FROM hosts""")
+@query("host_list", f"WITH {_HOSTS} SELECT * FROM hosts")
 def host_list(spark, d):
-    return hosts.host_positions(_hosts(spark, d))
+    return hosts.host_order(_hosts(spark, d))
 
 
 @query("host_summary", f"""WITH {_HOSTS} SELECT tenant_id,

@@ -1,8 +1,6 @@
 """Tenant lock, argument guards and paging."""
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_OFFSET = 10_000
@@ -21,6 +19,13 @@ def tenant_scope(df: DataFrame, tenant_id: str) -> DataFrame:
     return df.where(F.col("tenant_id") == tenant_id.strip())
 
 
+def tenant_sql(spark: SparkSession, text: str, tenant_id: str, params: dict[str, object],
+               **tables: DataFrame) -> DataFrame:
+    """SQL with `:name` parameters; every `{table}` it names sees the tenant's rows only."""
+    scoped = {name: tenant_scope(df, tenant_id) for name, df in tables.items()}
+    return spark.sql(text, args=params, **scoped)
+
+
 def has_text(value: str | None) -> bool:
     return value is not None and bool(value.strip())
 
@@ -72,15 +77,6 @@ def search_term(term: str | None) -> str:
     return term.strip()
 
 
-@dataclass(frozen=True)
-class Page:
-    """A page with its frozen upper bound; `rows` has `has_more` on every row."""
-
-    rows: DataFrame
-    start: int | None
-    end: int | None
-
-
 def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
     """`size` rows after `offset`, with `has_more` decided by reading one row more."""
     probed = df.orderBy(*order).offset(offset).limit(size + 1)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cmdline import is_interpreter_windows, redact_windows, with_argv0
 from ..functions.dns import is_reverse_name, normalize_domain, parse_answers, query_type_label
-from ..functions.net import canonical_ip, is_public_ip, port, positive_int
+from ..functions.net import is_public_ip, port, positive_int
 from ..functions.paths import under_watch_windows
 from ..functions.text import basename, has_separator, jtrim, nz
 from ..operators.flows import process_names
@@ -52,44 +52,44 @@ def stop_count(raw: DataFrame) -> DataFrame:
 def parse_records(raw: DataFrame, watch_paths: list[str]) -> DataFrame:
     """Events of one table (host, ts, seq, provider, event_id, header_pid, props).
 
-    One as-of lookup names the parent of a start and the owner of a connection or query.
+    Rows that give no event leave before the shuffle. One as-of lookup then names the parent of
+    a start and the owner of a connection or query, and one projection builds all kinds.
     """
     props = F.col("props")
-    rows = raw.withColumn("kind", _kind()).where(F.col("kind").isNotNull())
-    asked = (F.when(F.col("kind") == "process", positive_int(prop(props, "ParentProcessID")))
-             .when(F.col("kind") == "network", positive_int(prop(props, "PID")))
-             .when(F.col("kind") == "dns", F.when(F.col("header_pid") > 0, F.col("header_pid"))))
-    named = process_names(rows.withColumn("pid", asked), process_starts(raw))
+    fields = {
+        "kind": _kind(),
+        "exe": F.coalesce(F.nullif(prop(props, "ImagePath"), F.lit("")), prop(props, "ImageName")),
+        "line": prop(props, "CommandLine"), "own_pid": positive_int(prop(props, "ProcessID")),
+        "dest": prop(props, "daddr"), "dport": port(prop(props, "dport")),
+        "file": prop(props, "FileName"), "domain": normalize_domain(prop(props, "QueryName")),
+        "query_type": query_type_label(prop(props, "QueryType")),
+        "answers": parse_answers(prop(props, "QueryResults")),
+        "status": prop(props, "QueryStatus"),
+        "pid": F.when(_kind() == "process", positive_int(prop(props, "ParentProcessID")))
+        .when(_kind() == "network", positive_int(prop(props, "PID")))
+        .when((_kind() == "dns") & (F.col("header_pid") > 0), F.col("header_pid")),
+    }
     keep = ["host", "ts", "seq"]
-    owner = nz(F.col("pid_path"))
-    blank = F.lit("")
-
-    exe = F.coalesce(F.nullif(prop(props, "ImagePath"), F.lit("")), prop(props, "ImageName"))
-    line = prop(props, "CommandLine")
-    full = (F.when(line != "", with_argv0(line, exe)).when(has_separator(exe), exe)
-            .otherwise(blank))
-    starts = named.where((F.col("kind") == "process") & (exe != "")).select(
-        *keep, *typed.execution(is_interpreter_windows(exe), exe, redact_windows(full),
-                                basename(owner), positive_int(prop(props, "ProcessID")),
-                                F.col("pid"), blank))
-
-    dest = prop(props, "daddr")
-    public = is_public_ip(dest) & canonical_ip(dest).isNotNull()
-    connects = named.where((F.col("kind") == "network") & public).select(
-        *keep, *typed.network(owner, F.col("pid"), F.lit("tcp"), dest,
-                              port(prop(props, "dport"))))
-
-    path = prop(props, "FileName")
-    files = named.where((F.col("kind") == "file") & (path != "")
-                        & under_watch_windows(path, watch_paths)).select(
-        *keep, *typed.file(path, F.lit("CREATE"), blank))
-
-    domain = normalize_domain(prop(props, "QueryName"))
-    status = prop(props, "QueryStatus")
-    queries = named.where((F.col("kind") == "dns") & (domain != "") & ~is_reverse_name(domain)
-                          ).select(
-        *keep, *typed.dns(owner, F.col("pid"), blank, domain,
-                          query_type_label(prop(props, "QueryType")),
-                          parse_answers(prop(props, "QueryResults")),
-                          F.when(status.rlike("^[+-]?[0-9]+$"), status.try_cast("int"))))
-    return starts.unionByName(connects).unionByName(files).unionByName(queries)
+    c = {name: F.col(name) for name in fields}
+    gives_event = (F.when(c["kind"] == "process", c["exe"] != "")
+                   .when(c["kind"] == "network", is_public_ip(c["dest"]))
+                   .when(c["kind"] == "file", (c["file"] != "") & under_watch_windows(
+                       c["file"], watch_paths))
+                   .when(c["kind"] == "dns", (c["domain"] != "") & ~is_reverse_name(c["domain"])))
+    rows = raw.select(*keep, *[v.alias(k) for k, v in fields.items()]).where(gives_event)
+    named = process_names(rows, process_starts(raw))
+
+    owner, blank = nz(F.col("pid_path")), F.lit("")
+    full = (F.when(c["line"] != "", with_argv0(c["line"], c["exe"]))
+            .when(has_separator(c["exe"]), c["exe"]).otherwise(blank))
+    status = F.when(c["status"].rlike("^[+-]?[0-9]+$"), c["status"].try_cast("int"))
+    event = (
+        F.when(c["kind"] == "process", F.struct(*typed.execution(
+            is_interpreter_windows(c["exe"]), c["exe"], redact_windows(full), basename(owner),
+            c["own_pid"], c["pid"], blank)))
+        .when(c["kind"] == "network", F.struct(*typed.network(
+            owner, c["pid"], F.lit("tcp"), c["dest"], c["dport"])))
+        .when(c["kind"] == "file", F.struct(*typed.file(c["file"], F.lit("CREATE"), blank)))
+        .otherwise(F.struct(*typed.dns(owner, c["pid"], blank, c["domain"], c["query_type"],
+                                       c["answers"], status))))
+    return named.select(*keep, event.alias("e")).select(*keep, "e.*")
