@@ -99,7 +99,7 @@ def telemetry_of(events: DataFrame) -> DataFrame:
 _written: dict[tuple, str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+def stored_table(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     """Path of a derived table, written once per application to the shared folder."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
@@ -113,7 +113,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> str:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table."""
-    path = _stored(spark, sf_dir, "events", lambda p: write_events(
+    path = stored_table(spark, sf_dir, "events", lambda p: write_events(
         telemetry_of(table(spark, sf_dir, "events")), p, "overwrite"))
     return read_events(spark, path)
 
@@ -128,7 +128,7 @@ def _delivered(detected: DataFrame) -> DataFrame:
 
 def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alert table with all its versions."""
-    path = _stored(spark, sf_dir, "alerts", lambda p: write_alerts(
+    path = stored_table(spark, sf_dir, "alerts", lambda p: write_alerts(
         _delivered(detect(telemetry(spark, sf_dir))), p, "overwrite"))
     return read_alert_log(spark, path)
 

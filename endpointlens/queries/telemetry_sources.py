@@ -127,6 +127,13 @@ nm AS (SELECT w.seq, arg_max(st.process, (st.ts, st.seq)) AS owner FROM w JOIN s
 x AS (SELECT w.*, coalesce(owner, '') AS owner FROM w LEFT JOIN nm USING (seq))"""
 
 
+def _records(spark, d):
+    """The records as a stored table, as a collector would leave them."""
+    path = fx.stored_table(spark, d, "windows-records", lambda p: windows_records(
+        fx.telemetry(spark, d)).write.mode("overwrite").parquet(p))
+    return spark.read.parquet(path)
+
+
 @query("windows_events", f"""WITH {_WIN}
 SELECT seq, host, ts, CASE WHEN lower(process) = 'powershell.exe' THEN 'script' ELSE 'process' END AS type, process, owner AS parent,
   'C:\\Win\\' || process || '  -Password <redacted> /token:<redacted> run' AS cmdline, '' AS dest_ip, 0 AS dest_port, '' AS domain,
@@ -140,13 +147,13 @@ UNION ALL SELECT seq, host, ts, 'dns', owner, '', '', '', 0, domain, '{{' || CAS
   '"pid":' || asked || ',"queryType":"' || CASE seq % 6 WHEN 0 THEN 'AAAA' WHEN 2 THEN '999' ELSE 'A' END || '"' ||
   CASE WHEN seq % 6 = 4 THEN '' ELSE ',"status":0' END || '}}' FROM x WHERE type = 'dns' AND seq % 8 <> 0""")
 def windows_events(spark, d):
-    return windows.parse_records(windows_records(fx.telemetry(spark, d)), WIN_WATCH).select(*_OUT)
+    return windows.parse_records(_records(spark, d), WIN_WATCH).select(*_OUT)
 
 
 @query("windows_process_stops", f"""WITH {T} SELECT host, count(*) AS stops FROM telemetry
 WHERE type = 'process' AND seq % 10 = 3 GROUP BY host""")
 def windows_process_stops(spark, d):
-    return windows.stop_count(windows_records(fx.telemetry(spark, d)))
+    return windows.stop_count(_records(spark, d))
 
 
 # --- L7 --------------------------------------------------------------------------------------

@@ -70,7 +70,7 @@ if __name__ == "__main__":
     sf = next((a for a in sys.argv[1:] if a.startswith("/")), "/root/testdata/sf0.01")
     only = [a for a in sys.argv[1:] if not a.startswith("/")]
     session = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-               .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
+               .config("spark.driver.memory", "12g")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
