@@ -1,5 +1,8 @@
 """Domain/IP correlation: DNS process back-fill and the relation graph."""
 
+import ipaddress
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,22 @@ SEED_TYPES = ("dns", "network", "l7")
 PLACE = ["tenant_id", "host"]
 
 
+def parse_target(raw: str | None) -> tuple[str, str]:
+    """(kind, value) of what a caller asks about: an address first, else a domain."""
+    text = (raw or "").strip()
+    try:
+        address = ipaddress.ip_address(text)
+        return "IP", str(getattr(address, "ipv4_mapped", None) or address)
+    except ValueError:
+        pass
+    domain = text.lower().rstrip(".")
+    label = r"[^\W_](?:[\w-]{0,61}[^\W])?|\w"
+    if not domain or len(domain) > 253 or not re.fullmatch(
+            rf"(?:(?:{label})\.)*(?:{label})", domain) or domain.split(".")[-1][0].isdigit():
+        raise ValueError(f"neither a domain nor an address: {raw}")
+    return "DOMAIN", domain
+
+
 def seed_events(events: DataFrame, kind: str, value: str) -> DataFrame:
     """Events that mention a domain, or an address as destination or DNS answer."""
     rows = events.where(F.col("type").isin(*SEED_TYPES))

@@ -9,7 +9,7 @@ from ..schema import FLOW_OWNER_TTL_MS
 from .asof import asof_join
 
 
-def _flow_key(df: DataFrame) -> DataFrame:
+def with_flow_key(df: DataFrame) -> DataFrame:
     """Rows with a usable key keep a normalised address; others get none and never match."""
     usable = F.col("local_port").between(1, 65535) & F.col("remote_port").between(1, 65535)
     return df.withColumn("flow_ip", F.when(usable, flow_ip(F.col("remote_ip"))))
@@ -17,8 +17,8 @@ def _flow_key(df: DataFrame) -> DataFrame:
 
 def flow_owners(lookups: DataFrame, flows: DataFrame, ttl: int = FLOW_OWNER_TTL_MS) -> DataFrame:
     """Process that opened the same flow at most `ttl` ms before; no fallback to the port alone."""
-    known = _flow_key(flows).where((F.col("path") != "") & F.col("flow_ip").isNotNull())
-    joined = asof_join(_flow_key(lookups), known,
+    known = with_flow_key(flows).where((F.col("path") != "") & F.col("flow_ip").isNotNull())
+    joined = asof_join(with_flow_key(lookups), known,
                        ["host", "local_port", "flow_ip", "remote_port"], back=ttl,
                        order=["seq"], payload=["path"])
     return joined.select(*lookups.columns, F.col("match.path").alias("owner_path"),

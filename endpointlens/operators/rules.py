@@ -194,7 +194,8 @@ def _tagged(keys: Column, index: int) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(f"{index}:"), k))
 
 
-def _keys(rules, predicate: str, keys: str) -> Column:
+def rule_keys(rules, predicate: str, keys: str) -> Column:
+    """Keys of every rule whose predicate holds, marked with the index of the rule."""
     parts = [F.when(getattr(r, predicate)(), _tagged(getattr(r, keys)(), i))
              .otherwise(F.array().cast("array<string>")) for i, r in enumerate(rules)]
     return F.concat(*parts)
@@ -208,10 +209,10 @@ def sequence_pairs(events: DataFrame, rules: tuple[SequenceRule, ...] = SEQUENCE
     exploded over their keys, and only those rows are shuffled.
     """
     known = events.where(_c("type").isin("process", "network")).where(_c("host") != "")
-    evidence = (known.select(*FACTS, _keys(rules, "evidence", "evidence_keys").alias("_keys"))
+    evidence = (known.select(*FACTS, rule_keys(rules, "evidence", "evidence_keys").alias("_keys"))
                 .where(F.size("_keys") > 0).withColumn("_key", F.explode("_keys")))
     triggers = (known.where(_is("process"))
-                .select(*FACTS, _keys(rules, "trigger", "trigger_keys").alias("_keys"))
+                .select(*FACTS, rule_keys(rules, "trigger", "trigger_keys").alias("_keys"))
                 .where(F.size("_keys") > 0).withColumn("_key", F.explode("_keys")))
     found = asof_lookup(triggers, evidence, ["host", "_key"], back=lookback, order=["seq"],
                         payload=EVIDENCE_FACTS)
@@ -239,5 +240,5 @@ def detect(events: DataFrame, lookback: int = LOOKBACK_MS,
            sequence_rules: tuple[SequenceRule, ...] = SEQUENCE_RULES,
            point_rules: tuple[PointRule, ...] = POINT_RULES) -> DataFrame:
     """Judge a whole event table with complete information."""
-    pairs = sequence_pairs(events, sequence_rules, lookback)
-    return sequence_alerts(pairs, sequence_rules).unionByName(point_alerts(events, point_rules))
+    found = sequence_alerts(sequence_pairs(events, sequence_rules, lookback), sequence_rules)
+    return found.unionByName(point_alerts(events, point_rules)) if point_rules else found

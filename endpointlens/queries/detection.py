@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from .. import scope
 from ..catalog import with_catalog
 from ..functions.ids import alert_id
 from ..functions.text import nz
@@ -364,3 +365,21 @@ def alert_threat_names(spark, d):
 FROM alerts a JOIN catalog c USING (rule_id) LEFT JOIN status s USING (tenant_id, id)""")
 def alert_responses(spark, d):
     return alert_rows(alert_plans.responses(fx.alerts(spark, d), status_of(spark, d)))
+
+
+_OPEN = f"""{S}, op AS (SELECT a.id, a.host, a.severity, a.ts FROM alerts a WHERE tenant_id = '1'
+  AND severity = 'MEDIUM' AND (tenant_id, id) NOT IN (SELECT (tenant_id, id) FROM status))"""
+
+
+@query("alert_list_page", f"""WITH {_OPEN} SELECT *, (SELECT count(*) > 200 FROM op) AS has_more,
+  (SELECT count(*) FROM op) AS total FROM op ORDER BY ts DESC, id OFFSET 100 LIMIT 100""")
+def alert_list_page(spark, d):
+    """Second page of a tenant's open alerts with the total of the same filter."""
+    mine = scope.tenant_scope(fx.alerts(spark, d), "1")
+    rows = alert_plans.with_status_filter(
+        alert_plans.filtered(mine, severity="MEDIUM"), status_of(spark, d), "open").select(
+        "id", "host", "severity", "ts")
+    shown = scope.page(rows, scope.newest_first(rows), scope.clamp_limit("alerts", 0),
+                       scope.resolve_offset(100))
+    # One row on the right side.
+    return shown.join(F.broadcast(rows.agg(F.count("*").alias("total"))))

@@ -8,6 +8,7 @@ from ..functions.ids import process_node
 from ..operators import correlation, flows, incidents, lineage
 from ..operators.source_event import source_event_id, with_source_event
 from ..catalog import with_catalog
+from ..plans import alerts as alert_plans
 from .base import A, T, jint, query, uuid3
 
 TYPE_OF_RULE = ("CASE rule_id WHEN 'SCRIPT_FROM_TEMP_PATH' THEN 'script' WHEN 'FILE_IN_AUTORUN_PATH' THEN 'file' "
@@ -359,6 +360,22 @@ def incident_graph_edges(spark, d):
     return lineage.build_graph(rows, ["incident_id"], newest=True)[1]
 
 
+@query("incident_status", f"""{_FINC} SELECT incident_id, host, CASE WHEN substr(incident_id, 1, 1) IN ('0','1','2','3') THEN 'confirmed'
+  WHEN substr(incident_id, 1, 1) = '4' THEN 'false_positive' ELSE 'open' END AS status FROM inc""")
+def incident_status(spark, d):
+    """Triage decisions on incidents; ids come from the whole window, so they are looked up last."""
+    tree = forest(spark, d)
+    members, _ = incidents.group_alerts(forest_alerts(tree), tree)
+    rolled = incidents.roll_up(members).withColumnRenamed("incident_id", "id")
+    first = F.substring("id", 1, 1)
+    decided = rolled.select("tenant_id", "id", F.col("last_ts").alias("updated_at"), F.when(
+        first.isin("0", "1", "2", "3"), "confirmed").when(first == "4", "false_positive").otherwise(
+        "closed").alias("status"))
+    status = alert_plans.triage_status(decided)
+    return alert_plans.with_status(rolled, status).select(F.col("id").alias("incident_id"), "host",
+                                                          "status")
+
+
 # --- Flows -----------------------------------------------------------------------------------
 
 def remembered_flows(t):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.flows import _flow_key
+from ..operators.flows import with_flow_key
 from ..schema import FLOW_OWNER_TTL_MS
 
 _FLOW = T.StructType([T.StructField("ts", T.LongType()), T.StructField("path", T.StringType())])
@@ -48,9 +48,9 @@ def flow_owner_stream(lookups: DataFrame, flows: DataFrame, ttl: int = FLOW_OWNE
     """Lookups with an owner. Both streams are keyed by (host, port, address, port); inside one
     micro-batch rows count in event-time order."""
     keys = ["host", "local_port", "flow_ip", "remote_port"]
-    asked = _flow_key(lookups).select(*keys, "ts", "seq", F.lit("").alias("path"),
+    asked = with_flow_key(lookups).select(*keys, "ts", "seq", F.lit("").alias("path"),
                                       F.lit(True).alias("is_lookup"))
-    known = _flow_key(flows).where("path <> ''").select(*keys, "ts", "seq", "path",
+    known = with_flow_key(flows).where("path <> ''").select(*keys, "ts", "seq", "path",
                                                         F.lit(False).alias("is_lookup"))
     both = known.unionByName(asked).where(F.col("flow_ip").isNotNull())
     return both.groupBy(*keys).transformWithStateInPandas(

@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from endpointlens.operators import incidents, lineage
+from endpointlens.operators import correlation, incidents, lineage
 from endpointlens.operators.asof import asof_join
 from endpointlens.operators.dedup import latest_alerts
-from endpointlens.operators.rules import detect
+from endpointlens.operators.rules import SequenceRule, detect
 from endpointlens.operators.scan import cooldown, running_max
 from endpointlens.operators.source_event import summary_key, with_source_event
 from endpointlens.sources.store import ALERT_TABLE
@@ -242,3 +242,72 @@ def test_latest_alert_version(spark):
     log = make_alerts(spark, [{"id": "x", "created_at": 5, "action": "old"},
                               {"id": "x", "created_at": 9, "action": "new"}]).drop("event_date")
     assert [r.action for r in latest_alerts(log).collect()] == ["new"]
+
+
+# --- Correlation -----------------------------------------------------------------------------
+
+def dns_row(ts, process="", answers='["93.184.216.34"]'):
+    return {"type": "dns", "process": process, "domain": "example.com", "ts": ts,
+            "detail": f'{{"answers":{answers}}}'}
+
+
+def correlated(make_events, rows):
+    events = make_events(rows)
+    seeds = events.where("type <> 'process'").withColumn("seed", F.lit("s"))
+    filled = correlation.backfill(seeds, events)
+    edges = correlation.merge_edges(correlation.observed_edges(filled, ["seed"]), ["seed"])
+    return {(r["from"], r["to"], r.relation, r.origin): r for r in edges.collect()}
+
+
+def test_dns_edges_merge_and_alias(make_events):
+    got = correlated(make_events, [dns_row(100), dns_row(5100), dns_row(
+        1100, "chrome.exe", '["cdn.example.net","93.184.216.34"]')])
+    e = got["domain:example.com", "ip:93.184.216.34", "RESOLVED_TO", "OBSERVED"]
+    assert (e.observations, e.first_seen, e.last_seen, e.basis) == (3, 100, 5100, None)
+    assert ("domain:example.com", "domain:cdn.example.net", "ALIAS_OF", "OBSERVED") in got
+    assert ("host:h1", "domain:example.com", "QUERIED", "OBSERVED") in got
+    assert ("process:chrome.exe", "domain:example.com", "QUERIED", "OBSERVED") in got
+
+
+def test_inferred_process_has_a_basis(make_events):
+    connect = {"type": "network", "process": "firefox", "dest_ip": "93.184.216.34"}
+    got = correlated(make_events, [dns_row(10_000), {**connect, "ts": 11_000},
+                                   {**connect, "ts": 8_000, "process": "early"}])
+    e = got["process:firefox", "domain:example.com", "QUERIED", "INFERRED"]
+    assert e.basis == "network 이벤트 dest_ip=93.184.216.34 ts=11000"
+    # A connection without a domain points at the address.
+    assert ("process:firefox", "ip:93.184.216.34", "CONNECTED", "OBSERVED") in got
+
+
+def test_live_answers_carry_no_counts(spark):
+    rows = spark.createDataFrame([("s", "DOMAIN", "example.com", "1.2.3.4", True),
+                                  ("s", "IP", "1.2.3.4", "example.com", True),
+                                  ("s", "DOMAIN", "example.com", "9.9.9.9", False)],
+                                 "seed_key string, seed_kind string, seed string, answer string, ok boolean")
+    got = {(r["from"], r["to"], r.relation, r.observations, r.first_seen)
+           for r in correlation.live_edges(rows, ["seed_key"]).collect()}
+    assert got == {("domain:example.com", "ip:1.2.3.4", "RESOLVED_TO", 0, None),
+                   ("ip:1.2.3.4", "ptr_name:example.com", "PTR_CANDIDATE", 0, None)}
+
+
+def test_targets():
+    parse = correlation.parse_target
+    assert parse(" 1.2.3.4 ") == ("IP", "1.2.3.4")
+    assert parse("2001:DB8:0::1") == ("IP", "2001:db8::1")
+    assert parse("Example.COM..") == ("DOMAIN", "example.com")
+    for bad in (None, " ", "...", "a b", "-x.com", "1.2.3", "x" * 64 + ".com"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_own_sequence_rule(make_events):
+    """A rule of the caller's: a script within the look-back before a write to /etc."""
+    rule = SequenceRule(
+        "SCRIPT_THEN_WRITE", "T0", "LOW",
+        trigger=lambda: (F.col("type") == "process") & F.col("cmdline").startswith("/etc/"),
+        evidence=lambda: (F.col("type") == "process") & (F.col("process") == "sh"),
+        trigger_keys=lambda: F.array(F.lit("k")), evidence_keys=lambda: F.array(F.lit("k")))
+    events = make_events([{"process": "sh", "ts": 10}, {"cmdline": "/etc/x", "ts": 50},
+                          {"cmdline": "/etc/x", "ts": 500}])
+    got = detect(events, lookback=100, sequence_rules=(rule,), point_rules=())
+    assert [(r.rule_id, r.ts, r.action) for r in got.collect()] == [("SCRIPT_THEN_WRITE", 50, "notify")]
