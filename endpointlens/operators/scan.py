@@ -2,7 +2,7 @@
 
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +61,12 @@ def _first_at_least(ts: list[int], threshold: int) -> int:
     return len(ts)
 
 
-def _chunk_effect(pdf: pd.DataFrame, window: int) -> tuple[list[int], list[int]]:
+def _chunk_effect(ts: list[int], ok: list[bool], window: int) -> tuple[list[int], list[int]]:
     """How a chunk turns the incoming "last" into the outgoing one, as a step function.
 
     `at[i]` is the largest incoming last + window served by step i; past the last step the
     chunk leaves the incoming value alone. The first step is for "no last".
     """
-    ts = pdf["_ts"].tolist()
-    ok = pdf["_ok"].tolist()
     n = len(ts)
     nxt = _passes(ts, ok, window)
     leaves = [0] * n
@@ -105,43 +103,55 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
                      ok.alias("_ok"))
     key_type = slim.schema["_key"].dataType.simpleString()
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        at, exits = _chunk_effect(pdf, window)
-        return pd.DataFrame({"_key": [key[0]], "_chunk": [key[1]], "_at": [at], "_exit": [exits]})
+    def columns(table: pa.Table, *names: str) -> list[list]:
+        table = table.sort_by(names[0])
+        return [table.column(n).to_pylist() for n in names]
 
-    effects = slim.groupBy("_key", "_chunk").applyInPandas(
+    def answer(table: pa.Table, **values: pa.Array) -> pa.Table:
+        """Columns led by the key, which never leaves Arrow."""
+        size = len(next(iter(values.values())))
+        key = table.column("_key").slice(0, 1).combine_chunks().take(pa.array([0] * size))
+        return pa.table({"_key": key, **values})
+
+    longs, lists = pa.int64(), pa.list_(pa.int64())
+
+    def summarise(table: pa.Table) -> pa.Table:
+        _, ts_list, ok_list = columns(table, "_order", "_ts", "_ok")
+        at, exits = _chunk_effect(ts_list, ok_list, window)
+        return answer(table, _chunk=table.column("_chunk").slice(0, 1).combine_chunks(),
+                      _at=pa.array([at], lists), _exit=pa.array([exits], lists))
+
+    effects = slim.groupBy("_key", "_chunk").applyInArrow(
         summarise, f"_key {key_type}, _chunk bigint, _at array<bigint>, _exit array<bigint>")
 
-    def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        state, rows = _NONE, []
-        for number, at, exits in zip(pdf["_chunk"], pdf["_at"], pdf["_exit"]):
-            rows.append((key[0], number, state))
+    def compose(table: pa.Table) -> pa.Table:
+        chunks, steps, exits = columns(table, "_chunk", "_at", "_exit")
+        state, entry = _NONE, []
+        for at, out in zip(steps, exits):
+            entry.append(state)
             if state == _NONE:
-                state = int(exits[0])
+                state = out[0]
             else:
                 i = bisect_left(at, state + window, lo=1)
-                state = int(exits[i]) if i < len(at) else state
-        return pd.DataFrame(rows, columns=["_key", "_chunk", "_entry"])
+                state = out[i] if i < len(at) else state
+        return answer(table, _chunk=pa.array(chunks, longs), _entry=pa.array(entry, longs))
 
-    entries = effects.groupBy("_key").applyInPandas(
+    entries = effects.groupBy("_key").applyInArrow(
         compose, f"_key {key_type}, _chunk bigint, _entry bigint")
 
-    def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        ts_list, ok_list = pdf["_ts"].tolist(), pdf["_ok"].tolist()
-        entry = int(pdf["_entry"].iloc[0])
+    def judge(table: pa.Table) -> pa.Table:
+        order_list, ts_list, ok_list = columns(table, "_order", "_ts", "_ok")
+        entry = table.column("_entry")[0].as_py()
         nxt = _passes(ts_list, ok_list, window)
         at = 0 if entry == _NONE else _first_at_least(ts_list, entry + window)
-        hit = []
+        hits = []
         while at < len(ts_list):
-            hit.append(at)
+            hits.append(order_list[at])
             at = nxt[at]
-        return pd.DataFrame({"_key": [key[0]], "_hits": [pdf["_order"].iloc[hit].tolist()]})
+        return answer(table, _hits=pa.array([hits], lists))
 
     passed = (slim.join(entries, ["_key", "_chunk"]).groupBy("_key", "_chunk")
-              .applyInPandas(judge, f"_key {key_type}, _hits array<bigint>"))
+              .applyInArrow(judge, f"_key {key_type}, _hits array<bigint>"))
     marks = passed.select("_key", F.explode("_hits").alias(order), F.lit(True).alias("passed"))
     return (df.join(marks, ["_key", order], "left")
             .withColumn("passed", F.coalesce("passed", F.lit(False)))
