@@ -45,7 +45,7 @@ def test_autorun_paths(spark):
 
 SILENT = [
     "/usr/bin/open -n /Applications/A.app --args --permission-status-file /var/folders/y0/T/s.json",
-    "/usr/bin/find /private/var/tmp/sooplive -maxdepth 1 -name *.part -mmin -5",
+    "/usr/bin/find /private/var/tmp/videos -maxdepth 1 -name *.part -mmin -5",
     "/sbin/mount_apfs -o nobrowse /dev/disk1 /private/tmp/Sandbox/Root",
 ]
 
