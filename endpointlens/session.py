@@ -1,9 +1,9 @@
 """Session settings and lineage cutting."""
 
-import shutil
+import sys
 import tempfile
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -14,29 +14,15 @@ SETTINGS = {
 }
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application.
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the plans rely on; all of them can be changed at run time.
 
-    Arrow functions and stateful processors are pickled by reference and import it there.
+    Arrow functions and stateful processors travel by value, so neither executors nor the
+    driver's own Python workers need this package installed.
     """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='endpointlens-')}/endpointlens", "zip",
-                                  package.parent, package.name)
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the plans rely on, all changeable at run time, and the package for workers."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    ship_package(spark)
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     return spark
 
 
