@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_vptree
+from . import simhash_vptree, va_file
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def scaled(embeddings: DataFrame) -> DataFrame:
+    """Components as floor(64 x); null where a component is missing or not finite."""
+    fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vector = F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")))
+    return embeddings.select("vec_id", F.when(fit, vector).alias("vector"))
+
+
+@query("op2_exact_top_k", """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 20""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.top_k(scaled(table(spark, sf_dir, "embeddings")), F.expr("vec_id % 20 = 0"), k=20)
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
