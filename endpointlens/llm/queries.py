@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_vptree, va_file
-from .common import table
+from . import simhash_vptree, va_file, warc
+from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(scaled(table(spark, sf_dir, "embeddings")), F.expr("vec_id % 20 = 0"), k=20)
 
 
+@query("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
