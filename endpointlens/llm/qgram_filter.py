@@ -21,7 +21,6 @@ column named like a result is replaced. Spans are character offsets into the tex
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,38 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .codes import GAP, folded
 from .common import ready
 
 Q, WINDOW, STEP, RATE = 12, 96, 48, 16
 #: Characters of the benchmark in one index, of a text in one piece, and of pieces seen at once.
 INDEX_CHARS, PIECE_CHARS, PASS_CHARS = 1 << 20, 1 << 19, 1 << 20
 BITS = 22
-BLANK, GAP = 32, 0
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("begin", T.LongType()),
                                   T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]), False)
 
 
-@lru_cache(1)
-def folding() -> np.ndarray:
-    """Code point to its lower case, or to a blank where it is neither letter nor digit."""
-    return np.array([ord(chr(c).lower()[0]) if chr(c).isalnum() else BLANK for c in range(0x110000)], np.uint32)
-
-
-def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(folded code points, their offsets in the text)."""
-    codes = folding()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    blank = codes == BLANK
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]
-    if len(keep):
-        keep[0] = not blank[0]
-    at = np.flatnonzero(keep)
-    codes = codes[at]
-    if len(codes) and codes[-1] == BLANK:
-        codes, at = codes[:-1], at[:-1]
-    return codes, at
-
-
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q codes from every position; doubles the width, so it takes log q passes."""
     base = 0x9E3779B97F4A7C15

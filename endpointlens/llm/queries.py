@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import qgram_filter, simhash_vptree, va_file, warc
+from . import language_id, qgram_filter, simhash_vptree, va_file, warc
 from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(scaled(table(spark, sf_dir, "embeddings")), F.expr("vec_id % 20 = 0"), k=20)
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.learn(docs.where("NOT held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 @query("op9_warc")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
