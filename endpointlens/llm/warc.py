@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ready, store
 
-SEGMENT, CHUNK, RECORDS_PER_FILE = 16384, 4096, 2000
+SEGMENT, CHUNK, RECORDS_PER_FILE, LEVEL = 16384, 4096, 2000, 5
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -62,7 +62,7 @@ def member(headers: dict[str, object], block: bytes) -> bytes:
     """One record as a gzip member."""
     lines = [f"{k}: {v}" for k, v in headers.items()] + [f"Content-Length: {len(block)}"]
     record = b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(record) + packer.flush()
 
 
