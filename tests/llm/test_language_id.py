@@ -36,8 +36,9 @@ def test_parts_of_a_long_text_add_up(model, monkeypatch):
     assert np.allclose(whole, model.scores(text))
 
 
-def test_unknown_script_is_rejected(model):
-    assert model.scores("日本語のテキスト").max() < 0.75 < model.scores("the dog").max()
+def test_unknown_script_is_rejected(spark):
+    model = li.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert model.scores("日本語のテキスト").max() < li.REJECT_BELOW < 0.9 < model.scores("that with the from").max()
 
 
 def test_held_out_accuracy(spark):
