@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, qgram_filter, simhash_vptree, va_file, warc
+from . import language_id, qgram_filter, simhash_vptree, toxicity, va_file, warc
 from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.top_k(scaled(table(spark, sf_dir, "embeddings")), F.expr("vec_id % 20 = 0"), k=20)
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = language_id.held_out(parts=4, part=2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", apart.alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(~apart).select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.learn(docs, labels)).drop("text")
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
