@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, pii, qgram_filter, simhash_vptree, toxicity, url_filter, va_file, warc
+from . import (language_id, line_dedup, pii, qgram_filter, sentencepiece_lattice, simhash_vptree,
+               toxicity, url_filter, va_file, warc)
 from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "lines", "removed", "text")
 
 
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece_lattice.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, model), model)
+    same = F.col("decoded") == F.replace("text", F.lit(sentencepiece_lattice.SPACE), F.lit(" "))
+    return both.select("doc_id", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 @query("op9_warc")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark)
