@@ -13,7 +13,7 @@ few unrelated lines at any size; every choice finds the same pairs. A bucket is
 its smallest line only. After that, only pairs from different groups are formed, so that a cluster
 of near copies never yields all its pairs.
 
-Texts are fetched for candidates alone: a bitmap of fixed size over their documents filters the
+Lines are told apart by 128 bits of hash, candidates by 64. Texts are fetched for candidates alone: a bitmap of fixed size over their documents filters the
 second read of the documents before anything is shuffled.
 
 Defined cases: a null text stays null; lines without letters and digits are always kept; rows of
@@ -24,6 +24,7 @@ passed through; a column named like a helper is no hindrance.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -47,49 +48,44 @@ def lane_mask(width: int) -> int:
 def majority(hashes: Column, width: int) -> Column:
     """64-bit majority of an array of hashes, for fewer than 2 ** (width - 2) hashes.
 
-    Bits that lie `width` apart are counted side by side in one word, in lanes of `width` bits; a
+    Bits that lie `width` apart are counted side by side in one number, in lanes of `width` bits; a
     carry into a lane's last bit but one then tells which counts exceed half.
     """
-    mask, names = F.lit(lane_mask(width)), [f"c{k}" for k in range(width)]
+    mask = F.lit(lane_mask(width))
+    missing = mask * (F.lit((1 << (width - 2)) - 1) - F.floor(F.size(hashes) / 2))
 
-    def add(counts: Column, h: Column) -> Column:
-        return F.struct(*[(counts[c] + F.shiftrightunsigned(h, k).bitwiseAND(mask)).alias(c) for k, c in enumerate(names)])
+    def bits(k: int) -> Column:
+        counts = F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, k).bitwiseAND(mask))
+        return F.shiftleft(F.shiftrightunsigned(counts + missing, width - 2).bitwiseAND(mask), k)
 
-    def decide(counts: Column) -> Column:
-        missing = F.lit((1 << (width - 2)) - 1) - F.floor(F.size(hashes) / 2)
-        out = F.lit(0).cast("long")
-        for k, c in enumerate(names):
-            over = F.shiftrightunsigned(counts[c] + mask * missing, width - 2).bitwiseAND(mask)
-            out = out.bitwiseOR(F.shiftleft(over, k))
-        return out
-
-    return F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(c) for c in names]), add, decide)
+    return reduce(Column.bitwiseOR, map(bits, range(width)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, pos, k1, k2, print, size) of every line of `docs` (doc, doc_id, text)."""
-    def hashed(line: Column, least: int) -> Column:
-        words = F.split(line, " ")
-        return F.transform(F.filter(words, lambda w: F.char_length(w) >= least) if least else words, lambda w: F.xxhash64(w))
-
-    normal = F.transform(F.split("text", "\n"), normalised)
-    rich = F.transform(normal, lambda s: F.struct(s.alias("line"), hashed(s, LONG_WORD).alias("hashes")))
-    full = F.transform(rich, lambda s: F.struct(s["line"].alias("line"), F.when(
-        F.size(s["hashes"]) > 0, s["hashes"]).otherwise(hashed(s["line"], 0)).alias("hashes")))
-    lines = docs.where("text IS NOT NULL").select("doc", "doc_id", F.posexplode(full).alias("pos", "at")).select(
-        "doc", "doc_id", "pos", F.col("at.line").alias("line"), F.col("at.hashes").alias("hashes"))
-    blank = F.col("line") == ""
+    def hashed(words: Column) -> Column:
+        return F.transform(words, lambda w: F.xxhash64(w))
+
+    rich = F.transform(F.transform(F.split("text", "\n"), words_of), lambda words: F.struct(
+        words.alias("words"), hashed(F.filter(words, lambda w: F.char_length(w) >= LONG_WORD)).alias("hashes")))
+    lines = docs.where("text IS NOT NULL").select("doc", "doc_id", F.posexplode(rich).alias("pos", "at")).select(
+        "doc", "doc_id", "pos", F.col("at.words").alias("words"), F.col("at.hashes").alias("hashes"))
+    blank, few = F.size("words") == 0, F.size("hashes")
+    hashes = F.when(few == 0, hashed(F.col("words"))).otherwise(F.col("hashes"))
+    lines = lines.withColumn("hashes", hashes)
     return lines.select(
         "doc", "doc_id", "pos",
         # A blank line has a key of its own, so that nothing is ever equal to it.
-        F.when(blank, F.xxhash64("doc", "pos")).otherwise(F.xxhash64("line")).alias("k1"),
-        F.when(blank, F.lit(0)).otherwise(F.xxhash64("line", F.lit("second"))).alias("k2"),
-        F.when(F.size("hashes") < 64, majority(F.col("hashes"), 8)).otherwise(majority(F.col("hashes"), 32)).alias("print"),
-        F.char_length("line").alias("size"))
+        F.when(blank, F.xxhash64("doc", "pos")).otherwise(F.xxhash64("words")).alias("k1"),
+        F.when(blank, F.lit(0)).otherwise(F.xxhash64("words", F.lit("second"))).alias("k2"),
+        F.when(few < 1 << 6, majority(F.col("hashes"), 8)).when(few < 1 << 14, majority(F.col("hashes"), 16))
+        .otherwise(majority(F.col("hashes"), 32)).alias("print"),
+        F.size("words").alias("size"))
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def words_of(line: Column) -> Column:
+    """Words of a line: lower case, parted by runs of other characters than letters and digits."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
 def plan_blocks(lines: int, radius: int = RADIUS) -> int:
@@ -147,14 +143,36 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity:
     # One array of FILTER_BITS bits, whatever the number of documents.
     bitmap = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
     few = docs.where("text IS NOT NULL").where(F.call_function("getbit", F.element_at(bitmap, word + 1), bit) == 1)
-    lines = few.select(F.explode(F.transform(F.split("text", "\n"), normalised)).alias("text"))
-    texts = store(lines.where("text <> ''").select(F.xxhash64("text").alias("line"), "text")
+    lines = few.select(F.explode(F.transform(F.split("text", "\n"), words_of)).alias("words"))
+    texts = store(lines.where(F.size("words") > 0).select(F.xxhash64("words").alias("line"), "words")
                   .join(wanted.select("line").distinct(), "line", "left_semi").dropDuplicates(["line"]))
-    a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    longest = "greatest(char_length(text_a), char_length(text_b))"
-    most = f"cast(floor({longest} * {1 - similarity:.6f} + 1e-9) AS int)"
-    within = (f"abs(char_length(text_a) - char_length(text_b)) <= {most} AND levenshtein(text_a, text_b, {most}) >= 0")
-    return pairs.join(a, "a").join(b, "b").where(within).select("a", "b")
+    a, b = texts.toDF("a", "words_a"), texts.toDF("b", "words_b")
+    return pairs.join(a, "a").join(b, "b").where(similar(F.col("words_a"), F.col("words_b"), similarity)).select("a", "b")
+
+
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the edit similarity of two lines of words is large enough.
+
+    If words replace words, the sum of the words' own distances bounds the distance, which settles
+    most pairs in linear time; for the rest only what lies between the first and the last word
+    that differ is aligned, within the edits that are allowed.
+    """
+    def length(words: Column) -> Column:
+        return F.aggregate(words, F.lit(-1), lambda n, w: n + F.char_length(w) + 1)
+
+    def same_from(x: Column, y: Column) -> Column:
+        """Equal words at the head of both."""
+        first = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False).cast("int")
+        return F.when(first > 0, first - 1).otherwise(F.least(F.size(x), F.size(y)))
+
+    longest = F.greatest(length(a), length(b))
+    most = F.floor(longest * F.lit(1 - similarity) + 1e-9).cast("int")
+    apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda n, d: n + d)
+    head = same_from(a, b)
+    tail = F.least(same_from(F.reverse(a), F.reverse(b)), F.least(F.size(a), F.size(b)) - head)
+    core = [F.array_join(F.slice(x, head + 1, F.size(x) - head - tail), " ") for x in (a, b)]
+    aligned = F.call_function("levenshtein", *core, most) >= 0
+    return (F.abs(length(a) - length(b)) <= most) & (((F.size(a) == F.size(b)) & (apart <= most)) | aligned)
 
 
 def keepers(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
