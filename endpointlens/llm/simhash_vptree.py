@@ -135,8 +135,9 @@ def route(tree: Node | int, prints: np.ndarray, radius: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def forest(own: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join all fingerprints of both sets as pairs within the radius do.
+def forest(own: np.ndarray, others: np.ndarray, *radii: int) -> list[tuple[int, int, int]]:
+    """Links (a, b, distance) that join all fingerprints of both sets as pairs within the radii do,
+    closer ones first: what one radius has joined, a wider one doesn't join again.
 
     Visits the others in slices; a row's partners are merged by the roots they have so far, so a
     dense cluster yields one link for each member.
@@ -145,25 +146,28 @@ def forest(own: np.ndarray, others: np.ndarray, radius: int) -> list[tuple[int,
     mine, theirs = position[:len(own)], position[len(own):]
     root = np.arange(len(prints))
     links = []
-    for at in range(0, len(theirs), 512):
-        near = np.bitwise_count(others[at:at + 512, None] ^ own[None, :]) <= radius
-        near &= others[at:at + 512, None] != own[None, :]
-        for i in np.flatnonzero(near.any(axis=1)):
-            me = theirs[at + i]
-            partners = mine[near[i]]
-            strange, first = np.unique(root[partners], return_index=True)
-            for group, partner in zip(strange, partners[first]):
-                if root[me] != root[partner]:
-                    links.append((int(prints[me]), int(prints[partner])))
-                    low, high = sorted((root[me], root[partner]))
-                    root[root == high] = low
+    for radius in radii:
+        for at in range(0, len(theirs), 512):
+            far = np.bitwise_count(others[at:at + 512, None] ^ own[None, :])
+            near = (far <= radius) & (far > 0)
+            for i in np.flatnonzero(near.any(axis=1)):
+                me = theirs[at + i]
+                at_most = np.flatnonzero(near[i])
+                at_most = at_most[np.argsort(far[i][at_most], kind="stable")]
+                partners = mine[at_most]
+                _, first = np.unique(root[partners], return_index=True)
+                for partner, distance in zip(partners[first], far[i][at_most][first]):
+                    if root[me] != root[partner]:
+                        links.append((int(prints[me]), int(prints[partner]), int(distance)))
+                        low, high = sorted((root[me], root[partner]))
+                        root[root == high] = low
     return links
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE,
+def near_links(prints: DataFrame, *radii: int, shard: int = SHARD, sample: int = SAMPLE,
                own_block: int = OWN_BLOCK, visit_block: int = VISIT_BLOCK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp` that give the same components as all pairs
-    within the radius. Only the bounded sample and one count for each block reach the driver."""
+    """Links (a, b, distance) between distinct fingerprints `fp` that give the same components as
+    all pairs within the largest radius; closer radii are joined first. Only the bounded sample and one count for each block reach the driver."""
     spark = prints.sparkSession
     total = prints.count()
     drawn = (prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()
@@ -173,7 +177,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, samp
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            leaf, at, own = route(tree, fp.view(np.uint64), radius)
+            leaf, at, own = route(tree, fp.view(np.uint64), max(radii))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(leaf, pa.int64()), pa.array(fp[at], pa.int64()), pa.array(own.astype(bool))],
                 ["shard", "fp", "own"])
@@ -194,10 +198,10 @@ def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, samp
     def link(block: pa.Table) -> pa.Table:
         fp = block.column("fp").to_numpy().view(np.uint64)
         held = block.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        links = np.array(forest(fp[held], fp[~held], radius), np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+        links = np.array(forest(fp[held], fp[~held], *radii), np.uint64).reshape(-1, 3).view(np.int64)
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1]), "distance": pa.array(links[:, 2].astype(np.int32))})
 
-    return held.union(seen).groupBy("shard", "r", "c").applyInArrow(link, "a long, b long")
+    return held.union(seen).groupBy("shard", "r", "c").applyInArrow(link, "a long, b long, distance int")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
@@ -205,9 +209,73 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """(id, fp, component_id): fingerprint and smallest id reachable over links, for every row."""
     rows = store(fingerprints(docs, shingle, id_column, text_column))
     distinct = store(rows.groupBy("fp").agg(F.min(id_column).alias("first")))
-    roots = components(near_links(distinct, radius, **tuning))
+    roots = components(near_links(distinct, radius, **tuning).select("a", "b"))
     member = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = store(member.join(lowest, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select(id_column, "fp", "component_id")
+
+
+#: For one document of each group: shingle, distance that needs no check, widest distance, similarity.
+WORDS, SURE, WIDE, SIMILARITY = 5, 3, 10, 0.8
+
+
+def shingle_sets(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
+    """(fp, shingles) of texts (fp, text): the distinct hashes of their shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).to_pylist():
+                words = (text or b"").lower().split()
+                width = min(shingle, len(words)) or 1
+                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), SEED) - (1 << 63)
+                                    for i in range(len(words) - width + 1)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return docs.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
+
+
+def groups_of_similar(docs: DataFrame, similarity: float = SIMILARITY, **tuning: int) -> DataFrame:
+    """(fp, root) of the documents (fp, text) that belong with others: links of at most SURE bits
+    count as they are, wider ones join groups only if the texts' shingles are similar enough.
+
+    SURE is so small that even among billions of unrelated texts hardly any pair is that close.
+    """
+    spark = docs.sparkSession
+    distinct = store(docs.groupBy("fp").agg(F.min(F.xxhash64("text")).alias("mark")))
+    links = store(near_links(distinct, SURE, WIDE, **tuning).distinct())
+    sure = links.where(F.col("distance") <= SURE).select("a", "b")
+    roots = store(components(sure))
+
+    def rooted(rows: DataFrame, side: str) -> DataFrame:
+        named = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        return rows.join(named, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+
+    wide = rooted(rooted(links.where(F.col("distance") > SURE), "a"), "b").where("a_root <> b_root")
+    asked = store(wide.select("a", "b").distinct())
+    needed = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp")
+    texts = docs.join(needed, "fp").where(F.xxhash64("text") == F.col("mark")).dropDuplicates(["fp"])
+    sets = store(shingle_sets(texts))
+    one, other = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = asked.join(one, "a").join(other, "b").where(
+        both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    return components(sure.union(alike)).select(F.col("node").alias("fp"), "root")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **tuning: int) -> DataFrame:
+    """The rows without near duplicates, with the columns they came with: of every group, and of
+    repeated rows, the one with the smallest id stays (a null id comes last)."""
+    names = docs.columns
+    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), key.alias("key"), F.col(f"`{text_column}`").alias("text"))
+    prints = store(fingerprints(rows.select(F.col("key").alias("id"), "text"), WORDS, "id", "text").select(F.col("id").alias("key"), "fp"))
+    named = store(rows.join(prints.distinct(), "key").select("key", "id", "fp", "text"))
+    grouped = groups_of_similar(named.select("fp", "text"), **tuning)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    first = named.select("key", "id", "fp").join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = store(first.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("kept_key")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("kept_key"))
+    once = whole.join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"])
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

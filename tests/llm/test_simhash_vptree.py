@@ -68,3 +68,47 @@ def test_every_near_pair_shares_a_shard():
     seen = set(zip(at.tolist(), shard.tolist()))
     near = [(i, j) for i in range(900) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 2]
     assert near and all((i, homes[j]) in seen or (j, homes[i]) in seen for i, j in near)
+
+
+def shingles(value):
+    words = (value or "").lower().split()
+    width = min(5, len(words)) or 1
+    return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)}
+
+
+def test_one_of_each_group(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(rng.randint(500, 700))] for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for n, b in enumerate(base[:20]):
+        for k in range(3):
+            changed = list(b)
+            for _ in range(k):
+                changed[rng.randrange(len(changed))] = word()
+            rows.append((100 + 3 * n + k, " ".join(changed)))
+    rows += [(500, None), (501, ""), (None, "a text of its own"), (None, " ".join(base[3])), rows[2], rows[25]]
+    docs = spark.createDataFrame([(i, t, "x", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, key string, root int")
+    for tuning in ({}, {"shard": 12, "own_block": 9, "visit_block": 20}):
+        kept = vp.one_of_each(docs, **tuning)
+        assert kept.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in [*range(30), 500, None])
+    assert vp.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_unlike_texts_stay(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        changed = list(base)
+        for at in rng.sample(range(200), rng.choice((1, 3, 12, 30))):
+            changed[at] = word()
+        rows.append((i, " ".join(changed)))
+    kept = {r.doc_id for r in vp.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    # Whoever went has a similar text; whoever is like nothing else stayed.
+    assert all(any(alike(i, j) for j in range(40) if j != i) for i in range(40) if i not in kept)
+    assert {i for i in range(40) if not any(alike(i, j) for j in range(40) if j != i)} <= kept
