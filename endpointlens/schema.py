@@ -64,7 +64,6 @@ ALERT_COLUMNS = [
 # Windows and bounds in milliseconds.
 LOOKBACK_MS = 300_000
 GRACE_MS = 1_500
-TICK_MS = 500
 SOURCE_WINDOW_MS = 5_000
 LINEAGE_WINDOW_MS = 300_000
 BACKFILL_BEFORE_MS = 1_000
@@ -77,10 +76,6 @@ EVENT_LOOKUP_MS = 1_000
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
 
-# Streaming state bounds.
-STATE_EVIDENCE_CAP = 200
-STATE_PENDING_CAP = 50
-
 # Rule word lists (lower case).
 OFFICE_APPS = ("winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe")
 SHELLS = ("powershell.exe", "cmd.exe", "wscript.exe", "cscript.exe", "mshta.exe")

@@ -10,18 +10,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schema import COOLDOWN_MS
 
+#: How long a key's last pass is remembered after it was written, in real time.
+REMEMBERED_MS = 86_400_000
 _LAST = T.StructType([T.StructField("last_ts", T.LongType())])
 
 
 class Cooldown(StatefulProcessor):
     """Passes a row if its key has no last pass or the window has gone by in event time."""
 
-    def __init__(self, window: int, order: str):
+    def __init__(self, window: int, order: str, remembered: int = REMEMBERED_MS):
         self.window = window
         self.order = order
+        self.remembered = remembered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _LAST)
+        self.last = handle.getValueState("last", _LAST, self.remembered)
 
     def close(self) -> None:
         pass
@@ -43,10 +46,11 @@ class Cooldown(StatefulProcessor):
 
 
 def cooldown_stream(rows: DataFrame, keys: list[str], order: str = "seq",
-                    window: int = COOLDOWN_MS) -> DataFrame:
-    """Rows that pass; `send_ok` (default true) of false gives the cooldown back."""
+                    window: int = COOLDOWN_MS, remembered: int = REMEMBERED_MS) -> DataFrame:
+    """Rows that pass; `send_ok` (default true) of false gives the cooldown back. A key's state
+    goes `remembered` milliseconds of real time after its last pass."""
     if "send_ok" not in rows.columns:
         rows = rows.withColumn("send_ok", F.lit(True))
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Cooldown(window, order), outputStructType=rows.schema,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=Cooldown(window, order, remembered), outputStructType=rows.schema,
+        outputMode="Append", timeMode="ProcessingTime")

@@ -1,58 +1,21 @@
-"""Streaming flow ownership: the latest remembered flow per key, no pairs."""
+"""Streaming flow ownership: each lookup gets the newest remembered flow of its key."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.flows import with_flow_key
-from ..schema import FLOW_OWNER_TTL_MS
-
-_FLOW = T.StructType([T.StructField("ts", T.LongType()), T.StructField("path", T.StringType())])
-_OUT = "seq bigint, host string, ts bigint, owner_path string"
-
-
-class LatestFlow(StatefulProcessor):
-    """Answers lookups with the newest flow of the key, if it is young enough."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flow = handle.getValueState("flow", _FLOW)
-
-    def close(self) -> None:
-        pass
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, path = self.flow.get() if self.flow.exists() else (None, None)
-        # Flows precede lookups of the same millisecond.
-        pdf = pd.concat(list(rows)).sort_values(["ts", "is_lookup", "seq"])
-        found = []
-        for seq, ts, own, lookup in zip(pdf["seq"], pdf["ts"], pdf["path"], pdf["is_lookup"]):
-            if not lookup:
-                at, path = int(ts), own
-            elif at is not None and ts - at <= self.ttl:
-                found.append((seq, key[0], ts, path))
-        if at is not None:
-            self.flow.update((at, path))
-        if found:
-            yield pd.DataFrame(found, columns=["seq", "host", "ts", "owner_path"])
-
-
-def flow_owner_stream(lookups: DataFrame, flows: DataFrame, ttl: int = FLOW_OWNER_TTL_MS
-                      ) -> DataFrame:
-    """Lookups with an owner. Both streams are keyed by (host, port, address, port); inside one
-    micro-batch rows count in event-time order."""
-    keys = ["host", "local_port", "flow_ip", "remote_port"]
-    asked = with_flow_key(lookups).select(*keys, "ts", "seq", F.lit("").alias("path"),
-                                      F.lit(True).alias("is_lookup"))
-    known = with_flow_key(flows).where("path <> ''").select(*keys, "ts", "seq", "path",
-                                                        F.lit(False).alias("is_lookup"))
-    both = known.unionByName(asked).where(F.col("flow_ip").isNotNull())
-    return both.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=LatestFlow(ttl), outputStructType=_OUT, outputMode="Append",
-        timeMode="None")
+from ..schema import FLOW_OWNER_TTL_MS, GRACE_MS
+from .asof import asof_stream
+
+
+def flow_owner_stream(lookups: DataFrame, flows: DataFrame, ttl: int = FLOW_OWNER_TTL_MS,
+                      grace: int = GRACE_MS, quiet: int | None = None) -> DataFrame:
+    """Lookups with an owner, once their host's clock is `grace` beyond them."""
+    key = F.concat_ws("|", F.concat(F.lit("0:"), F.col("local_port")), "flow_ip", "remote_port")
+    known = with_flow_key(flows).where("path <> ''").select(
+        "host", "ts", "seq", F.lit("").alias("ask"), key.alias("tell"), "path")
+    asked = with_flow_key(lookups).where(F.col("flow_ip").isNotNull()).select(
+        "host", "ts", "seq", key.alias("ask"), F.lit("").alias("tell"), F.lit("").alias("path"))
+    both = known.where(F.col("flow_ip").isNotNull()).unionByName(asked)
+    found = asof_stream(both, ["host"], grace, ttl, quiet)
+    return found.select("seq", "host", "ts", F.col("prior_path").alias("owner_path"))
