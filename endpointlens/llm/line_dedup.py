@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, every run of other characters than letters and digits as one
 blank). Equal ones fold together by hash; each remaining line gets a 64-bit SimHash of its words of
-five and more letters, or of all words if it has none so long. Two lines are linked if their
+five and more bytes, or of all words if it has none so long. Two lines are linked if their
 SimHashes differ in at most three bits and their edit similarity, 1 - edits / length of the longer
 one, is at least `SIMILARITY`. Of every connected group the first occurrence stays, by doc_id and
 position; the texts are put together again from the lines that stay.
@@ -38,6 +38,8 @@ LONG_WORD = 5
 LOAD, BLOCKS = 64, (4, 5, 6, 7)
 #: Bits of the filter over documents, and those of its words.
 FILTER_BITS, WORD_BITS = 1 << 22, 64
+#: Lines from which on a bucket is asked whether it holds one group only.
+CROWDED = 1024
 
 
 def lane_mask(width: int) -> int:
@@ -67,7 +69,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         return F.transform(words, lambda w: F.xxhash64(w))
 
     rich = F.transform(F.transform(F.split("text", "\n"), words_of), lambda words: F.struct(
-        words.alias("words"), hashed(F.filter(words, lambda w: F.char_length(w) >= LONG_WORD)).alias("hashes")))
+        words.alias("words"), hashed(F.filter(words, lambda w: F.octet_length(w) >= LONG_WORD)).alias("hashes")))
     lines = docs.where("text IS NOT NULL").select("doc", "doc_id", F.posexplode(rich).alias("pos", "at")).select(
         "doc", "doc_id", "pos", F.col("at.words").alias("words"), F.col("at.hashes").alias("hashes"))
     blank, few = F.size("words") == 0, F.size("hashes")
@@ -77,7 +79,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         "doc", "doc_id", "pos",
         # A blank line has a key of its own, so that nothing is ever equal to it.
         F.when(blank, F.xxhash64("doc", "pos")).otherwise(F.xxhash64("words")).alias("k1"),
-        F.when(blank, F.lit(0)).otherwise(F.xxhash64("words", F.lit("second"))).alias("k2"),
+        F.when(blank, F.lit(0)).otherwise(F.xxhash64("hashes", F.lit("second"))).alias("k2"),
         F.when(few < 1 << 6, majority(F.col("hashes"), 8)).when(few < 1 << 14, majority(F.col("hashes"), 16))
         .otherwise(majority(F.col("hashes"), 32)).alias("print"),
         F.size("words").alias("size"))
@@ -97,34 +99,41 @@ def plan_blocks(lines: int, radius: int = RADIUS) -> int:
 
 
 def bucketed(lines: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
-    """(bucket, line, print): a row for every choice of blocks that must agree."""
+    """Adds `bucket`: a row for every choice of blocks that must agree."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     keys = []
     for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
         signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
         keys.append(F.xxhash64(F.lit(n), F.col("print").bitwiseAND(F.lit(signed).cast("long"))))
-    return lines.select(F.explode(F.array(*keys)).alias("bucket"), "line", "print")
+    return lines.select(F.explode(F.array(*keys)).alias("bucket"), "*")
 
 
 def near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
 
 
-def candidates_by_star(rows: DataFrame) -> DataFrame:
+def bucket_heads(rows: DataFrame) -> DataFrame:
+    """(bucket, a, print_a, n) with the smallest line of each bucket that holds several."""
+    return rows.groupBy("bucket").agg(F.min("line").alias("a"), F.min_by("print", "line").alias("print_a"),
+                                      F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def candidates_by_star(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's smallest line and those near it."""
-    least = rows.groupBy("bucket").agg(F.min("line").alias("a"), F.min_by("print", "line").alias("print_a"),
-                                       F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return (rows.join(least, "bucket").where(F.col("line") != F.col("a")).where(near("print", "print_a"))
+    return (rows.join(heads, "bucket").where(F.col("line") != F.col("a")).where(near("print", "print_a"))
             .select("a", F.col("line").alias("b")).distinct())
 
 
-def candidates_across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of near lines of one bucket that are not yet in one group."""
-    grouped = rows.join(roots, rows.line == roots.node, "left").select(
-        "bucket", "line", "print", F.coalesce("root", "line").alias("own"))
-    mixed = grouped.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("bucket")
-    held = store(grouped.join(mixed, "bucket", "left_semi"))
+def candidates_across(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of near lines of one bucket that are not yet in one group `own`.
+
+    A crowded bucket that holds one group only has no such pair, so it is left out as a whole.
+    """
+    crowded = rows.join(heads.where(F.col("n") > CROWDED).select("bucket"), "bucket").groupBy("bucket").agg(
+        F.min("own").alias("low"), F.max("own").alias("high"))
+    settled = store(crowded.where("low = high").select("bucket"))
+    held = rows.join(settled, "bucket", "left_anti")
     left = held.select("bucket", F.col("line").alias("a"), F.col("print").alias("print_a"), F.col("own").alias("own_a"))
     right = held.select("bucket", F.col("line").alias("b"), F.col("print").alias("print_b"), F.col("own").alias("own_b"))
     return (left.join(right, "bucket").where("a < b AND own_a <> own_b").where(near("print_a", "print_b"))
@@ -144,35 +153,33 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity:
     bitmap = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
     few = docs.where("text IS NOT NULL").where(F.call_function("getbit", F.element_at(bitmap, word + 1), bit) == 1)
     lines = few.select(F.explode(F.transform(F.split("text", "\n"), words_of)).alias("words"))
-    texts = store(lines.where(F.size("words") > 0).select(F.xxhash64("words").alias("line"), "words")
-                  .join(wanted.select("line").distinct(), "line", "left_semi").dropDuplicates(["line"]))
-    a, b = texts.toDF("a", "words_a"), texts.toDF("b", "words_b")
-    return pairs.join(a, "a").join(b, "b").where(similar(F.col("words_a"), F.col("words_b"), similarity)).select("a", "b")
+    found = lines.where(F.size("words") > 0).select(F.xxhash64("words").alias("line"), "words").join(
+        wanted.select("line").distinct(), "line", "left_semi").dropDuplicates(["line"])
+    texts = store(found.withColumn("length", F.char_length(F.array_join("words", " "))))
+    a, b = texts.toDF("a", "words_a", "length_a"), texts.toDF("b", "words_b", "length_b")
+    return pairs.join(a, "a").join(b, "b").where(similar(similarity)).select("a", "b")
 
 
-def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether the edit similarity of two lines of words is large enough.
+def similar(similarity: float) -> Column:
+    """Whether the edit similarity of two lines of words (words_a, words_b) is large enough.
 
     If words replace words, the sum of the words' own distances bounds the distance, which settles
     most pairs in linear time; for the rest only what lies between the first and the last word
     that differ is aligned, within the edits that are allowed.
     """
-    def length(words: Column) -> Column:
-        return F.aggregate(words, F.lit(-1), lambda n, w: n + F.char_length(w) + 1)
-
     def same_from(x: Column, y: Column) -> Column:
         """Equal words at the head of both."""
         first = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False).cast("int")
         return F.when(first > 0, first - 1).otherwise(F.least(F.size(x), F.size(y)))
 
-    longest = F.greatest(length(a), length(b))
-    most = F.floor(longest * F.lit(1 - similarity) + 1e-9).cast("int")
+    a, b = F.col("words_a"), F.col("words_b")
+    most = F.floor(F.greatest("length_a", "length_b") * F.lit(1 - similarity) + 1e-9).cast("int")
     apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda n, d: n + d)
     head = same_from(a, b)
     tail = F.least(same_from(F.reverse(a), F.reverse(b)), F.least(F.size(a), F.size(b)) - head)
     core = [F.array_join(F.slice(x, head + 1, F.size(x) - head - tail), " ") for x in (a, b)]
     aligned = F.call_function("levenshtein", *core, most) >= 0
-    return (F.abs(length(a) - length(b)) <= most) & (((F.size(a) == F.size(b)) & (apart <= most)) | aligned)
+    return (F.abs(F.col("length_a") - F.col("length_b")) <= most) & (((F.size(a) == F.size(b)) & (apart <= most)) | aligned)
 
 
 def keepers(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -183,10 +190,13 @@ def keepers(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     distinct = store(every.where("size > 0").groupBy("k1", "k2").agg(
         F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("print").alias("print"))
         .withColumn("line", F.col("k1")))
-    rows = store(bucketed(distinct, plan_blocks(distinct.count())))
-    star = store(verified(store(candidates_by_star(rows)), distinct, docs, similarity))
+    blocks = plan_blocks(distinct.count())
+    rows = bucketed(distinct.select("line", "print"), blocks)
+    heads = store(bucket_heads(rows))
+    star = store(verified(store(candidates_by_star(rows, heads)), distinct, docs, similarity))
     roots = components(star)
-    across = verified(store(candidates_across(rows, roots)), distinct, docs, similarity)
+    owned = distinct.join(roots, distinct.line == roots.node, "left").select("line", "print", F.coalesce("root", "line").alias("own"))
+    across = verified(store(candidates_across(bucketed(owned, blocks), heads)), distinct, docs, similarity)
     groups = components(star.union(across))
     member = distinct.join(groups, distinct.line == groups.node, "left").select(
         "k1", "k2", "first", "copies", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("linked"))

@@ -13,7 +13,7 @@ def normal(line):
 
 
 def simhash(line):
-    words = [w for w in line.split(" ") if len(w) >= 5] or line.split(" ")
+    words = [w for w in line.split(" ") if len(w.encode()) >= 5] or line.split(" ")
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -55,6 +55,7 @@ def sentence(rng, n):
 @pytest.mark.parametrize("blocks", [(4, 5, 6, 7), (5,), (6,)])
 def test_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(ld, "BLOCKS", blocks)
+    monkeypatch.setattr(ld, "CROWDED", 2 if len(blocks) > 1 else 1024)
     rng = random.Random(3)
     base = [sentence(rng, rng.randint(1, 30)) for _ in range(25)]
     rows = []
