@@ -103,7 +103,7 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, edges) with all pieces in each word as (begin, end, id, score, rank)."""
+    """(word, n, edges) with all pieces in each word as (begin, end, id and score or rank)."""
     spark = words.sparkSession
     ranks = model.ranks()
     rows = [(p, i, float(s), ranks[p]) for p, i, s in model.pieces]
@@ -113,10 +113,12 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda b: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(model.longest), size - b + 1)),
         lambda n: F.struct((b - 1).alias("begin"), (b - 1 + n).alias("end"), F.substring("word", b, n).alias("piece")))))
-    spread = words.select("word", "n", F.explode(parts).alias("s")).select("word", "n", "s.*")
-    # Words are dealt out by their counting already, so grouping moves nothing.
-    return (spread.join(F.broadcast(pieces), "piece", "left").groupBy("word")
-            .agg(F.first("n").alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), F.struct("begin", "end", "id", "score", "rank"))).alias("edges")))
+    # Words are dealt out once, so that grouping their edges moves nothing.
+    spread = words.repartition("word").select("word", "n", F.explode(parts).alias("s")).select("word", "n", "s.*")
+    kept = F.col("id").isNotNull() | (F.col("end") == 1)  # a row of every word stays
+    edge = F.when(F.col("id").isNotNull(), F.struct("begin", "end", "id", "score" if model.kind == UNIGRAM else "rank"))
+    return (spread.join(F.broadcast(pieces), "piece", "left").where(kept).select("word", "n", edge.alias("edge"))
+            .groupBy("word").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges")))
 
 
 def bit(place: Column) -> Column:
@@ -291,7 +293,7 @@ def encode(docs: DataFrame, model: Model, text_column: str = "text", most: int =
     spark = ready(docs.sparkSession)
     names = [c for c in docs.columns if c != "ids"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    encoded = store(encode_words(count_words(rows), model))
+    encoded = store(encode_words(store(count_words(rows)), model))
     hot, whole = dictionary(encoded, most)
     known = spark.sparkContext.broadcast(hot)
 
