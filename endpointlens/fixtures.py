@@ -133,8 +133,8 @@ def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_alert_log(spark, path)
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_alerts(stored_alerts(spark, sf_dir))
+def alerts(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return latest_alerts(stored_alerts(spark, sf_dir), columns)
 
 
 def overlay_log(alerts_: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def query_type_label(raw: Column) -> Column:
 
 def _strip_answer_prefix(token: Column) -> Column:
     v = jtrim(token)
-    rest = jtrim(F.substring(v, 6, 1 << 20))
+    rest = jtrim(F.substr(v, F.lit(6)))
     # "type: 5 name" keeps the name; "type: 5" keeps nothing; "type:5x" keeps all after "type:".
     named = F.regexp_extract(rest, r"(?s)^[0-9]+[ \t]+(.*)$", 1)
     stripped = (F.when(rest.rlike(r"^[0-9]+$"), F.lit(""))

@@ -42,7 +42,7 @@ def expand_home(path: str, home: str) -> str:
 
 
 def expand_home_column(path: Column, home: str) -> Column:
-    joined = F.rtrim(F.regexp_replace(F.concat(F.lit(home + "/"), F.substring(path, 3, 1 << 20)),
+    joined = F.rtrim(F.regexp_replace(F.concat(F.lit(home + "/"), F.substr(path, F.lit(3))),
                                       "/+", "/"), F.lit("/"))
     return (F.when(F.lit(home == ""), path).when(path == "~", F.lit(home))
             .when(path.startswith("~/"), joined).otherwise(path))

@@ -35,12 +35,6 @@ def contains_any(fields: list[Column], term: str) -> Column:
     return hit
 
 
-def like_pattern(term: str) -> str:
-    """ILIKE pattern that finds the term literally."""
-    escaped = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    return f"%{escaped}%"
-
-
 def epoch_ms_of_text(c: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss.SSS` read as UTC; unreadable text gives null, not 0."""
     iso = F.replace(jtrim(c), F.lit(" "), F.lit("T"))

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scope import DAY
+
 
 def latest_version(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest `order` per key."""
@@ -20,6 +22,13 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], newest: bool =
     return df.groupBy(*keys).agg(pick["_row"].alias("_row")).select(*keys, "_row.*")
 
 
-def latest_alerts(alerts: DataFrame) -> DataFrame:
-    """Current version of every stored alert; every alert read goes through this."""
-    return latest_version(alerts, ["tenant_id", "host", "id"], ["created_at", "seq"])
+def latest_alerts(alerts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Current version of every stored alert; every alert read goes through this.
+
+    The id is made of tenant, host, rule and time, so time and day are keys as well, and filters on
+    them pass through the fold to the scan. `columns` are those the caller needs.
+    """
+    keys = [k for k in ("tenant_id", "host", "id", "ts", DAY) if k in alerts.columns]
+    order = ["created_at", "seq"]
+    wanted = alerts if columns is None else alerts.select(*dict.fromkeys([*keys, *order, *columns]))
+    return latest_version(wanted, keys, order)

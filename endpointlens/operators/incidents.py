@@ -2,15 +2,17 @@
 
 Alerts hang on the process node of their source event (the anchor). Each anchor links to its
 nearest anchored ancestor; the transitive closure of these links is the same as linking every
-pair on a path, so a component is found by pointer jumping and no pairs are ever listed.
+pair on a path, so a component is found by pointer jumping and no pairs are ever listed. Walks up
+the process tree double their reach every round, so they end after a number of rounds that grows
+with the logarithm of the depth, and on a cycle with that of the number of processes.
 """
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import with_catalog
 from ..functions.detail import parse_detail
 from ..functions.ids import incident_id, process_node
 from ..functions.text import is_blank, severity_rank
@@ -19,7 +21,6 @@ from ..session import cut_lineage
 from .dedup import first_by
 from .source_event import with_source_event
 
-MAX_DEPTH = 64
 PLACE = ["tenant_id", "host"]
 
 
@@ -63,54 +64,63 @@ def anchored_alerts(alerts: DataFrame, events: DataFrame) -> DataFrame:
         F.when(known, F.col("source.process")).alias("anchor_process"))
 
 
+def _most_rounds(nodes: DataFrame) -> int:
+    """Doublings after which a walk has seen every node of the largest host."""
+    largest = nodes.groupBy(*PLACE).count().agg(F.max("count")).first()[0] or 1
+    return math.ceil(math.log2(largest + 1)) + 1
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """(node, jump) twice as far up; nodes whose walk ends before are left out."""
+    far = jumps.select(*PLACE, F.col("node").alias("jump"), F.col("jump").alias("_far"))
+    return cut_lineage(jumps.join(far, [*PLACE, "jump"]).select(*PLACE, "node", F.col("_far").alias("jump")))
+
+
 def ancestor_paths(starts: DataFrame, parents: DataFrame) -> DataFrame:
-    """(start, depth, node) up to the root, a repeated node or 64 nodes; depth 0 is the start."""
-    hop = parents.select(*PLACE, F.col("node").alias("_at"), "parent")
-    walk = starts.select(*PLACE, F.col("node").alias("start"), F.col("node").alias("_at"),
-                         F.array("node").alias("trail"))
-    ends = []
-    for _ in range(1, MAX_DEPTH):
-        step = walk.join(hop, [*PLACE, "_at"], "left").withColumn(
-            "_more", F.col("parent").isNotNull() & ~F.array_contains("trail", F.coalesce(
-                "parent", F.lit(""))))
-        step = cut_lineage(step)
-        ends.append(step.where(~F.col("_more")).select(*PLACE, "start", "trail"))
-        walk = step.where("_more").select(
-            *PLACE, "start", F.col("parent").alias("_at"),
-            F.concat("trail", F.array("parent")).alias("trail"))
-        if walk.isEmpty():
+    """(start, depth, node) up to the root or a repeated node; depth 0 is the start."""
+    jumps = cut_lineage(parents.join(starts.select(*PLACE).distinct(), PLACE, "left_semi")
+                        .select(*PLACE, "node", F.col("parent").alias("jump")))
+    paths = cut_lineage(starts.select(*PLACE, F.col("node").alias("start"), F.lit(0).alias("depth"), "node").distinct())
+    reach, known = 1, paths.count()
+    for _ in range(_most_rounds(jumps)):
+        further = paths.join(jumps, [*PLACE, "node"]).select(
+            *PLACE, "start", (F.col("depth") + reach).alias("depth"), F.col("jump").alias("node"))
+        # On a cycle a node comes again; its first place counts.
+        paths = cut_lineage(paths.unionByName(further).groupBy(*PLACE, "start", "node").agg(F.min("depth").alias("depth")))
+        before, known = known, paths.count()
+        if known == before:
             break
-    else:
-        ends.append(walk.select(*PLACE, "start", "trail"))
-    done = reduce(DataFrame.unionByName, ends)
-    return done.select(*PLACE, "start", F.posexplode("trail").alias("depth", "node"))
+        jumps, reach = _doubled(jumps), 2 * reach
+    return paths.select(*PLACE, "start", "depth", "node")
 
 
-def nearest_anchored_ancestors(anchors: DataFrame, parents: DataFrame) -> DataFrame:
-    """(node, up, trail): the closest proper ancestor that is an anchor too.
+def nearest_anchored_ancestors(anchors: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, between): links (node, up) to the closest proper ancestor that is an anchor too,
+    and the nodes (node, up) that lie on the way of any link.
 
-    `trail` holds the nodes from `node` up to, but without, `up`. Only walks that are still open
-    go into the next round, so the frontier shrinks quickly.
+    `up` is the nearest anchor within reach, `jump` the node at the end of the reach if no anchor
+    came before; a jump to a jump doubles the reach. The nodes on the way are found by the same
+    jumps, started at the linked anchors.
     """
     marked = anchors.select(*PLACE, F.col("node").alias("parent"), F.lit(True).alias("_hit"))
-    hop = cut_lineage(
+    first = cut_lineage(
         parents.join(anchors.select(*PLACE).distinct(), PLACE, "left_semi")
-        .join(marked, [*PLACE, "parent"], "left")
-        .select(*PLACE, F.col("node").alias("_at"), "parent",
-                F.coalesce("_hit", F.lit(False)).alias("_hit")))
-    walk = anchors.select(*PLACE, "node", F.col("node").alias("_at"),
-                          F.array("node").alias("trail"))
-    found = []
-    for _ in range(1, MAX_DEPTH):
-        step = cut_lineage(walk.join(hop, [*PLACE, "_at"]).where(F.col("parent") != F.col("node")))
-        found.append(step.where("_hit").select(*PLACE, "node", F.col("parent").alias("up"),
-                                               "trail"))
-        walk = step.where("NOT _hit").select(
-            *PLACE, "node", F.col("parent").alias("_at"),
-            F.concat("trail", F.array("parent")).alias("trail"))
-        if walk.isEmpty():
+        .join(marked, [*PLACE, "parent"], "left"))
+    up = first.where("_hit").select(*PLACE, "node", F.col("parent").alias("up"))
+    jumps = [cut_lineage(first.where("_hit IS NULL").select(*PLACE, "node", F.col("parent").alias("jump")))]
+    up = cut_lineage(up)
+    for _ in range(_most_rounds(first)):
+        far = jumps[-1]
+        if far.join(anchors, [*PLACE, "node"], "left_semi").isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+        reached = far.join(up.select(*PLACE, F.col("node").alias("jump"), "up"), [*PLACE, "jump"]).select(*PLACE, "node", "up")
+        up = cut_lineage(up.unionByName(reached).dropDuplicates([*PLACE, "node"]))
+        jumps.append(_doubled(far))
+    links = up.join(anchors, [*PLACE, "node"], "left_semi").where("up <> node")
+    way = links.join(jumps[0], [*PLACE, "node"]).select(*PLACE, F.col("jump").alias("node")).distinct()
+    for far in jumps:
+        way = cut_lineage(way.unionByName(way.join(far, [*PLACE, "node"]).select(*PLACE, F.col("jump").alias("node"))).distinct())
+    return links, way.join(up, [*PLACE, "node"])
 
 
 def anchor_components(anchors: DataFrame, links: DataFrame) -> DataFrame:
@@ -123,8 +133,7 @@ def anchor_components(anchors: DataFrame, links: DataFrame) -> DataFrame:
         anchors.join(links.select(*PLACE, "node", "up"), [*PLACE, "node"], "left")
         .select(*PLACE, "node", F.coalesce("up", "node").alias("ptr"),
                 F.coalesce(F.least("node", "up"), "node").alias("low")))
-    largest = ptr.groupBy(*PLACE).count().agg(F.max("count")).first()[0] or 1
-    for _ in range(math.ceil(math.log2(largest)) + 1 if largest > 1 else 0):
+    for _ in range(_most_rounds(ptr)):
         far = ptr.select(*PLACE, F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"),
                          F.col("low").alias("_low"))
         moved = cut_lineage(ptr.join(far, [*PLACE, "ptr"]).select(
@@ -143,7 +152,7 @@ def group_alerts(alerts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataF
     anchors = anchored.where(F.col("anchor").isNotNull()).select(
         *PLACE, F.col("anchor").alias("node")).distinct()
     parents = process_index(events_in_spans(events, alerts))
-    links = nearest_anchored_ancestors(anchors, parents)
+    links, way = nearest_anchored_ancestors(anchors, parents)
     components = anchor_components(anchors, links)
     members = (anchored.withColumn("node", F.col("anchor"))
                .join(components, [*PLACE, "node"], "left")
@@ -158,8 +167,8 @@ def group_alerts(alerts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataF
     members = cut_lineage(members.join(heads, [*PLACE, "_group"]).drop("_group"))
     owner = members.where(F.col("anchor").isNotNull()).select(
         *PLACE, F.col("anchor").alias("node"), "incident_id").distinct()
-    between = (links.join(owner, [*PLACE, "node"])
-               .select(*PLACE, "incident_id", F.explode("trail").alias("node")))
+    # A node on the way to an anchor belongs to that anchor's incident.
+    between = way.join(owner.withColumnRenamed("node", "up"), [*PLACE, "up"]).select(*PLACE, "incident_id", "node")
     chain = owner.select(*PLACE, "incident_id", "node").unionByName(between).distinct()
     return members, chain
 
@@ -189,7 +198,9 @@ def roll_up(members: DataFrame) -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.coalesce(named, other).alias("severity"), F.count("*").alias("alert_count"),
         F.min(start).alias("_start"))
+    named = with_catalog(members) if "threat_name" not in members.columns else members
     return (sums.join(in_time_order(members, "rule_id", "rule_ids"), "incident_id", "left")
+            .join(in_time_order(named, "threat_name", "threat_names"), "incident_id", "left")
             .join(in_time_order(members, "mitre", "mitre"), "incident_id", "left")
             .withColumn("start_anchor", F.col("_start.anchor"))
             .withColumn("root_process", F.coalesce("_start.anchor_process", F.lit("")))

@@ -38,8 +38,8 @@ def summary_key(line: Column) -> Column:
     name = _cut(line, r"(?s)^process (?! \(parent )(.+?) \(parent ")
     parent = F.regexp_extract(line, r"(?s) \(parent (.+)\)", 1)
     with_parent = ~parent.isin("", "null")
-    return (F.when(line.startswith("network "), _key("network", F.substring(line, 9, 1 << 20)))
-            .when(line.startswith("file "), _key("file", F.substring(line, 6, 1 << 20)))
+    return (F.when(line.startswith("network "), _key("network", F.substr(line, F.lit(9))))
+            .when(line.startswith("file "), _key("file", F.substr(line, F.lit(6))))
             .when(line.startswith("l7 ") & l7.isNotNull(), _key("l7", l7))
             .when(line.startswith("script ") & script.isNotNull(), _key("script", script))
             .when(line.startswith("process ") & name.isNotNull(),

@@ -1,11 +1,11 @@
 """Alert queries: overlay, filters, summaries, time series."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import with_catalog
 from ..functions.text import bucket_floor, bucket_step
-from ..scope import exact_filter, id_filter, text_filter, time_range
+from ..scope import exact_filter, id_filter, text_filter, time_range, top_per
 
 OPEN = "open"
 TRIAGED = ("confirmed", "false_positive")
@@ -58,29 +58,30 @@ def by_severity(alerts: DataFrame) -> DataFrame:
 
 
 def top_threats(alerts: DataFrame, top: int = 5) -> DataFrame:
-    """Most frequent categories of all given alerts."""
-    per_rule = alerts.groupBy("rule_id").agg(F.count("*").alias("n"))
-    return (with_catalog(per_rule).groupBy("category").agg(F.sum("n").alias("alerts"))
-            .orderBy(F.desc("alerts"), "category").limit(top))
+    """Each tenant's most frequent categories."""
+    per_rule = alerts.groupBy("tenant_id", "rule_id").agg(F.count("*").alias("n"))
+    found = with_catalog(per_rule).groupBy("tenant_id", "category").agg(F.sum("n").alias("alerts"))
+    return top_per(found, ["tenant_id"], [F.desc("alerts"), F.col("category")], top).drop("has_more")
 
 
 def timeseries(alerts: DataFrame, start: int, end: int, bucket: str) -> DataFrame:
     step = bucket_step(bucket)
     rows = time_range(alerts, start, end, closed=False)
-    return rows.groupBy(bucket_floor(F.col("ts"), step).alias("bucket_start")).agg(
+    return rows.groupBy("tenant_id", bucket_floor(F.col("ts"), step).alias("bucket_start")).agg(
         *[F.count_if(F.col("severity") == s.upper()).alias(s)
           for s in ("critical", "high", "medium")],
         F.count("*").alias("total"))
 
 
-def zero_filled(series: DataFrame, spark: SparkSession, start: int, end: int, bucket: str
+def zero_filled(series: DataFrame, tenants: DataFrame, start: int, end: int, bucket: str
                 ) -> DataFrame:
-    """A row for every bucket from the aligned start up to, but without, `end`."""
+    """A row for every tenant and bucket from the aligned start up to, but without, `end`."""
     step = bucket_step(bucket)
     first = start - start % step
-    grid = spark.range(first, end, step).withColumnRenamed("id", "bucket_start")
-    filled = grid.join(series, "bucket_start", "left")
-    return filled.select("bucket_start", *[F.coalesce(c, F.lit(0)).alias(c)
+    buckets = F.sequence(F.lit(first), F.lit(max(first, end - 1)), F.lit(step))
+    grid = tenants.select("tenant_id").distinct().withColumn("bucket_start", F.explode(buckets))
+    filled = grid.join(series, ["tenant_id", "bucket_start"], "left")
+    return filled.select("tenant_id", "bucket_start", *[F.coalesce(c, F.lit(0)).alias(c)
                                            for c in ("critical", "high", "medium", "total")])
 
 
@@ -124,11 +125,11 @@ def arrivals(alert_log: DataFrame) -> DataFrame:
 
 def stage_latency(events: DataFrame, alert_log: DataFrame, alerts: DataFrame) -> DataFrame:
     """Published -> detected -> stored per alert, in ms."""
-    trigger = events.select("seq", F.col("ingested_at").alias("published_at"))
-    return (alerts.select("tenant_id", "id", "rule_id", "seq",
+    trigger = events.select("tenant_id", "host", "seq", F.col("ingested_at").alias("published_at"))
+    return (alerts.select("tenant_id", "host", "id", "rule_id", "seq",
                           F.col("created_at").alias("stored_at"))
             .join(arrivals(alert_log), ["tenant_id", "id"])
-            .join(trigger, "seq")
+            .join(trigger, ["tenant_id", "host", "seq"])
             .select("id", "rule_id",
                     (F.col("arrived_at") - F.col("published_at")).alias("detect_ms"),
                     (F.col("stored_at") - F.col("arrived_at")).alias("store_ms")))

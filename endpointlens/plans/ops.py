@@ -1,6 +1,6 @@
 """Operational views: ingestion lag, consumer lag, lateness, dependencies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scan import running_max
@@ -30,12 +30,19 @@ def with_lateness(events: DataFrame) -> DataFrame:
 
 
 def lateness_percentiles(late: DataFrame) -> DataFrame:
-    """Bounded sketches per type; exact while a type has fewer rows than the accuracy."""
-    p = F.percentile_approx("lateness", [0.5, 0.95, 0.99], 100_000)
-    return late.groupBy("type").agg(
-        F.count("*").alias("events"), F.count_if(F.col("lateness") > 1500).alias("late"),
-        p.alias("_p")).select("type", "events", "late", F.col("_p")[0].alias("p50"),
-                              F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"))
+    """Exact percentiles per type: rows fold to one count for each type and lateness, and only
+    these counts are summed up in order."""
+    counts = late.groupBy("type", "lateness").agg(F.count(F.lit(1)).alias("n"))
+    by_type = Window.partitionBy("type")
+    below = F.sum("n").over(by_type.orderBy("lateness").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"below": below, "events": F.sum("n").over(by_type)})
+
+    def percentile(share: float) -> Column:
+        return F.min(F.when(F.col("below") >= share * F.col("events"), F.col("lateness")))
+
+    return ranked.groupBy("type").agg(
+        F.sum("n").alias("events"), F.sum(F.when(F.col("lateness") > 1500, F.col("n")).otherwise(0)).alias("late"),
+        *[percentile(p / 100).alias(f"p{p}") for p in (50, 95, 99)])
 
 
 def dependency_status(checks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import rule_ids_named, with_catalog
 from ..functions.text import contains_any
-from ..scope import clamp_limit, search_term, time_range
+from ..scope import clamp_limit, search_term, time_range, top_per
 from .events import with_event_id
 
 EVENT_FIELDS = ("host", "process", "parent", "cmdline", "domain", "dest_ip", "sha256")
@@ -39,13 +39,8 @@ def alert_hits(matches: DataFrame) -> DataFrame:
 
 
 def section(hits: DataFrame, name: str, order: list, limit: int | None, ts: str = "ts") -> DataFrame:
-    """The first hits of one section with `has_more`."""
-    size = clamp_limit("search", limit)
-    probed = hits.orderBy(*order).limit(size + 1)
-    flag = probed.agg((F.count("*") > size).alias("has_more"))
-    shown = probed.orderBy(*order).limit(size)
-    # At most a page on either side.
-    return shown.join(F.broadcast(flag)).select(
+    """Each tenant's first hits of one section with `has_more`."""
+    return top_per(hits, ["tenant_id"], order, clamp_limit("search", limit)).select(
         F.lit(name).alias("section"), "tenant_id", F.col("id"), "host", F.col(ts).alias("ts"),
         "has_more")
 
@@ -57,7 +52,7 @@ def unified(hosts: DataFrame, alerts: DataFrame, events: DataFrame, term: str, s
         "id", F.col("host"))
     newest = [F.desc("ts"), F.col("id")]
     parts = (
-        section(found, "hosts", [F.desc("last_seen"), F.col("tenant_id"), F.col("host")], limit,
+        section(found, "hosts", [F.desc("last_seen"), F.col("host")], limit,
                 ts="last_seen"),
         section(alert_hits(alert_matches(alerts, term, start, end)), "alerts", newest, limit),
         section(event_hits(event_matches(events, term, start, end)), "events", newest, limit),

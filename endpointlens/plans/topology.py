@@ -1,12 +1,12 @@
 """Egress topology: who talks to what."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detail import detail_text
 from ..functions.net import is_ip
-from ..functions.text import jtrim, like_pattern
-from ..scope import has_text, time_range
+from ..functions.text import contains_any, jtrim
+from ..scope import has_text, time_range, top_per
 
 
 def with_destination(events: DataFrame, start: int | None = None, end: int | None = None,
@@ -14,9 +14,7 @@ def with_destination(events: DataFrame, start: int | None = None, end: int | Non
     rows = time_range(events, start, end, closed=False).where(
         (F.col("domain") != "") | (F.col("dest_ip") != ""))
     if has_text(search):
-        pattern = like_pattern(search.strip())
-        rows = rows.where(F.col("host").ilike(pattern) | F.col("domain").ilike(pattern)
-                          | F.col("dest_ip").ilike(pattern))
+        rows = rows.where(contains_any([F.col("host"), F.col("domain"), F.col("dest_ip")], search.strip()))
     named = F.col("domain") != ""
     return (rows.withColumn("dest", F.when(named, F.col("domain")).otherwise(F.col("dest_ip")))
             .withColumn("dest_kind", F.when(named, "domain").otherwise("ip")))
@@ -41,7 +39,8 @@ def relations(rows: DataFrame) -> DataFrame:
 
 
 def top_relations(edges: DataFrame, limit: int) -> DataFrame:
-    return edges.orderBy(F.desc("events"), "tenant_id", "host", "dest").limit(limit)
+    """Each tenant's busiest edges."""
+    return top_per(edges, ["tenant_id"], [F.desc("events"), F.col("host"), F.col("dest")], limit).drop("has_more")
 
 
 def relation_total(rows: DataFrame) -> DataFrame:
@@ -118,8 +117,8 @@ def node_table(edges: DataFrame, risk: DataFrame, suffixes: DataFrame) -> DataFr
     return endpoints.unionByName(dest_nodes).unionByName(group_nodes)
 
 
-def shown_and_total(rows: DataFrame, limit: int, spark: SparkSession) -> DataFrame:
-    """How many relations are shown of how many."""
-    total = rows.select("tenant_id", "host", "dest").distinct().agg(F.count("*").alias("total"))
+def shown_and_total(rows: DataFrame, limit: int) -> DataFrame:
+    """How many of its relations each tenant is shown."""
+    total = relation_total(rows)
     shown = F.least("total", F.lit(limit).cast("long"))
-    return total.select("total", shown.alias("shown"), (shown < F.col("total")).alias("truncated"))
+    return total.select("tenant_id", "total", shown.alias("shown"), (shown < F.col("total")).alias("truncated"))

@@ -109,7 +109,7 @@ def _batches(spark, d):
         F.when(n % 31 == 0, F.lit("")).otherwise(F.col("domain")).alias("domain"), "detail",
         F.when(n % 2 == 0, F.concat(F.lit(" "), F.upper("sha256"))).otherwise(
             F.lit("xyz")).alias("sha256"), F.lit("evil").alias("tenantId")))
-    event = F.concat(F.lit('{"ts":'), ts, F.lit(","), F.substring(rest, 2, 1 << 20))
+    event = F.concat(F.lit('{"ts":'), ts, F.lit(","), F.substr(rest, F.lit(2)))
     # Node keys of customers; the last ones of each host are current, the others are unknown.
     key = F.concat(F.lit("key-"), (n % 2000).cast("string"))
     return t.select(key.alias("node_key"), "seq",

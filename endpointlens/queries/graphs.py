@@ -7,7 +7,7 @@ from ..functions.detail import parse_detail
 from ..functions.ids import process_node
 from ..operators import correlation, flows, incidents, lineage
 from ..operators.source_event import source_event_id, with_source_event
-from ..catalog import with_catalog
+from ..catalog import RULES, with_catalog
 from ..plans import alerts as alert_plans
 from .base import A, T, jint, query, uuid3
 
@@ -177,6 +177,9 @@ def correlation_seed_events(spark, d):
 
 # --- Incidents -------------------------------------------------------------------------------
 
+THREAT_CASE = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in RULES) + " ELSE rule_id END"
+
+
 def incident_sql(al: str, ev: str) -> str:
     return f"""{source_sql(al, ev)},
 anch AS (SELECT a.tenant_id, a.host, a.id, a.ts, a.severity, a.rule_id, a.mitre,
@@ -190,7 +193,7 @@ par AS (SELECT e.tenant_id, e.host, 'proc:' || e.process || coalesce(':' || {jin
 an AS (SELECT DISTINCT tenant_id, host, anchor AS node FROM anch WHERE anchor IS NOT NULL),
 anc AS (SELECT tenant_id, host, node AS start, node, 0 AS depth, [node] AS path FROM an
   UNION ALL SELECT a.tenant_id, a.host, a.start, p.parent, a.depth + 1, list_append(a.path, p.parent) FROM anc a JOIN par p
-    ON p.tenant_id = a.tenant_id AND p.host = a.host AND p.node = a.node WHERE a.depth < 63 AND NOT list_contains(a.path, p.parent)),
+    ON p.tenant_id = a.tenant_id AND p.host = a.host AND p.node = a.node WHERE NOT list_contains(a.path, p.parent)),
 lnk AS (SELECT a.tenant_id, a.host, a.start AS x, a.node AS y FROM anc a JOIN an b ON a.tenant_id = b.tenant_id AND a.host = b.host AND a.node = b.node),
 sym AS (SELECT * FROM lnk UNION SELECT tenant_id, host, y, x FROM lnk),
 reach AS (SELECT tenant_id, host, x, y FROM sym UNION SELECT r.tenant_id, r.host, r.x, s.y FROM reach r JOIN sym s
@@ -205,11 +208,12 @@ top AS (SELECT incident_id, anchor AS start_anchor, anchor_process AS root_proce
   QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY below, ts, id) = 1),
 rl AS (SELECT incident_id, string_agg(rule_id, ',' ORDER BY t1, i1) AS rule_ids FROM (SELECT incident_id, rule_id, min(ts) AS t1, arg_min(id, (ts, id)) AS i1 FROM mem GROUP BY ALL) GROUP BY ALL),
 mt AS (SELECT incident_id, string_agg(mitre, ',' ORDER BY t1, i1) AS mitre FROM (SELECT incident_id, mitre, min(ts) AS t1, arg_min(id, (ts, id)) AS i1 FROM mem WHERE trim(mitre) <> '' GROUP BY ALL) GROUP BY ALL),
+tn AS (SELECT incident_id, string_agg(threat_name, ',' ORDER BY t1, i1) AS threat_names FROM (SELECT incident_id, {THREAT_CASE} AS threat_name, min(ts) AS t1, arg_min(id, (ts, id)) AS i1 FROM mem GROUP BY ALL) GROUP BY ALL),
 inc AS (SELECT m.tenant_id, m.host, m.incident_id, min(m.ts) AS first_ts, max(m.ts) AS last_ts,
   ['CRITICAL','HIGH','MEDIUM','LOW'][CAST(min(CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END) AS INT)] AS severity,
   count(*) AS alert_count FROM mem m GROUP BY ALL),
-incident AS (SELECT inc.*, rl.rule_ids, mt.mitre, start_anchor, coalesce(root_process, '') AS root_process
-  FROM inc LEFT JOIN rl USING (incident_id) LEFT JOIN mt USING (incident_id) LEFT JOIN top USING (incident_id)),
+incident AS (SELECT inc.*, rl.rule_ids, tn.threat_names, mt.mitre, start_anchor, coalesce(root_process, '') AS root_process
+  FROM inc LEFT JOIN rl USING (incident_id) LEFT JOIN tn USING (incident_id) LEFT JOIN mt USING (incident_id) LEFT JOIN top USING (incident_id)),
 deep AS (SELECT l.tenant_id, l.host, l.x, max(a.depth) AS d FROM lnk l JOIN anc a ON a.tenant_id = l.tenant_id AND a.host = l.host AND a.start = l.x AND a.node = l.y GROUP BY ALL),
 chain AS (SELECT DISTINCT m.tenant_id, m.host, m.incident_id, a.node FROM mem m JOIN anc a ON a.tenant_id = m.tenant_id AND a.host = m.host AND a.start = m.anchor
   JOIN deep ON deep.tenant_id = m.tenant_id AND deep.host = m.host AND deep.x = m.anchor WHERE a.depth <= deep.d),
@@ -219,8 +223,7 @@ cev AS (SELECT c.incident_id, c.node, e.* FROM {ev} e JOIN chain c ON e.tenant_i
 
 
 def _flat(rolled):
-    return (rolled.withColumn("rule_ids", F.array_join("rule_ids", ","))
-            .withColumn("mitre", F.array_join("mitre", ",")))
+    return rolled.withColumns({c: F.array_join(c, ",") for c in ("rule_ids", "threat_names", "mitre")})
 
 
 def forest(spark, d):
@@ -381,7 +384,7 @@ def incident_status(spark, d):
 def remembered_flows(t):
     k = F.substring_index("dest_ip", ".", -1).try_cast("int")
     return t.where("type = 'network'").select(
-        "host", "ts", "seq", (F.lit(40000) + k).alias("local_port"),
+        "tenant_id", "host", "ts", "seq", (F.lit(40000) + k).alias("local_port"),
         F.col("dest_ip").alias("remote_ip"), F.lit(443).alias("remote_port"),
         F.concat(F.lit("/opt/app/"), "process").alias("path"))
 
@@ -389,13 +392,13 @@ def remembered_flows(t):
 def flow_lookups(t):
     k = F.substring_index("dest_ip", ".", -1).try_cast("int")
     return t.where("type = 'l7'").select(
-        "host", "ts", "seq", (F.lit(40000) + k).alias("local_port"),
+        "tenant_id", "host", "ts", "seq", (F.lit(40000) + k).alias("local_port"),
         F.concat(F.lit("[::ffff:"), "dest_ip", F.lit("]")).alias("remote_ip"),
         F.col("dest_port").alias("remote_port"))
 
 
 @query("flow_owners", f"""WITH {T} SELECT l.seq, l.host, coalesce(arg_max(n.process, (n.ts, n.seq)), '') AS owner, count(n.seq) > 0 AS hit
-FROM telemetry l LEFT JOIN telemetry n ON n.type = 'network' AND n.host = l.host AND n.dest_ip = l.dest_ip
+FROM telemetry l LEFT JOIN telemetry n ON n.type = 'network' AND n.tenant_id = l.tenant_id AND n.host = l.host AND n.dest_ip = l.dest_ip
   AND n.ts BETWEEN l.ts - 60000 AND l.ts WHERE l.type = 'l7' GROUP BY l.seq, l.host""")
 def flow_owners(spark, d):
     t = fx.telemetry(spark, d)
@@ -404,26 +407,26 @@ def flow_owners(spark, d):
 
 
 @query("process_name_at_time", f"""WITH {T} SELECT n.seq, n.host, arg_max(p.process, (p.ts, p.seq)) AS pid_path FROM telemetry n
-LEFT JOIN telemetry p ON p.type = 'process' AND p.host = n.host AND {jint('pid').replace('detail', 'p.detail')} = 1000 + n.seq % 150 AND p.ts <= n.ts
+LEFT JOIN telemetry p ON p.type = 'process' AND p.tenant_id = n.tenant_id AND p.host = n.host AND {jint('pid').replace('detail', 'p.detail')} = 1000 + n.seq % 150 AND p.ts <= n.ts
 WHERE n.type = 'network' GROUP BY n.seq, n.host""")
 def process_name_at_time(spark, d):
     t = fx.telemetry(spark, d)
     starts = t.where("type = 'process'").select(
-        "host", "ts", "seq", parse_detail(F.col("detail"))["pid"].alias("pid"),
+        "tenant_id", "host", "ts", "seq", parse_detail(F.col("detail"))["pid"].alias("pid"),
         F.col("process").alias("path"))
     asked = t.where("type = 'network'").select(
-        "host", "ts", "seq", (1000 + F.col("seq") % 150).cast("int").alias("pid"))
+        "tenant_id", "host", "ts", "seq", (1000 + F.col("seq") % 150).cast("int").alias("pid"))
     return flows.process_names(asked, starts).select("seq", "host", "pid_path")
 
 
-@query("new_connections", f"""WITH {T}, c AS (SELECT DISTINCT host, ts // 600000 AS s, 1000 + seq % 5 AS pid, process AS path, dest_ip, dest_port
-  FROM telemetry WHERE type = 'network'), polls AS (SELECT host, s, lag(s) OVER (PARTITION BY host ORDER BY s) AS prev FROM (SELECT DISTINCT host, s FROM c))
-SELECT c.host, c.s AS snapshot_seq, c.pid, c.path, c.dest_ip AS remote_ip, c.dest_port AS remote_port FROM c JOIN polls USING (host, s)
-WHERE prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c o WHERE o.host = c.host AND o.s = prev AND o.pid = c.pid AND o.path = c.path
+@query("new_connections", f"""WITH {T}, c AS (SELECT DISTINCT tenant_id, host, ts // 600000 AS s, 1000 + seq % 5 AS pid, process AS path, dest_ip, dest_port
+  FROM telemetry WHERE type = 'network'), polls AS (SELECT tenant_id, host, s, lag(s) OVER (PARTITION BY tenant_id, host ORDER BY s) AS prev FROM (SELECT DISTINCT tenant_id, host, s FROM c))
+SELECT c.tenant_id, c.host, c.s AS snapshot_seq, c.pid, c.path, c.dest_ip AS remote_ip, c.dest_port AS remote_port FROM c JOIN polls USING (tenant_id, host, s)
+WHERE prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c o WHERE o.tenant_id = c.tenant_id AND o.host = c.host AND o.s = prev AND o.pid = c.pid AND o.path = c.path
   AND o.dest_ip = c.dest_ip AND o.dest_port = c.dest_port)""")
 def new_connections(spark, d):
     snap = fx.telemetry(spark, d).where("type = 'network'").select(
-        "host", F.floor(F.col("ts") / 600_000).alias("snapshot_seq"),
+        "tenant_id", "host", F.floor(F.col("ts") / 600_000).alias("snapshot_seq"),
         (1000 + F.col("seq") % 5).alias("pid"), F.col("process").alias("path"),
         F.col("dest_ip").alias("remote_ip"), F.col("dest_port").alias("remote_port"))
     return flows.new_connections(snap)

@@ -91,9 +91,9 @@ def hosts_last_seen(spark, d):
     return event_plans.hosts_last_seen(fx.telemetry(spark, d))
 
 
-@query("event_count", f"WITH {T} SELECT count(*) AS events FROM telemetry WHERE ts >= {FROM} AND ts <= {TO}")
+@query("event_count", f"WITH {T} SELECT tenant_id, count(*) AS events FROM telemetry WHERE ts >= {FROM} AND ts <= {TO} GROUP BY tenant_id")
 def event_count(spark, d):
-    return event_plans.filtered(fx.telemetry(spark, d), start=FROM, end=TO).agg(
+    return event_plans.filtered(fx.telemetry(spark, d), start=FROM, end=TO).groupBy("tenant_id").agg(
         F.count("*").alias("events"))
 
 
@@ -126,9 +126,9 @@ def alert_by_id(spark, d):
     return mine.where(F.col("id") == newest).limit(1).select("id", "host", "rule_id")
 
 
-@query("alert_count", f"WITH {A} SELECT count(*) AS alerts FROM alerts WHERE ts >= {FROM} AND ts < {TO}")
+@query("alert_count", f"WITH {A} SELECT tenant_id, count(*) AS alerts FROM alerts WHERE ts >= {FROM} AND ts < {TO} GROUP BY tenant_id")
 def alert_count(spark, d):
-    return alert_plans.filtered(fx.alerts(spark, d), start=FROM, end=TO).agg(
+    return alert_plans.filtered(fx.alerts(spark, d, []), start=FROM, end=TO).groupBy("tenant_id").agg(
         F.count("*").alias("alerts"))
 
 
@@ -136,35 +136,35 @@ def alert_count(spark, d):
   count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
   count(*) AS total FROM alerts GROUP BY tenant_id""")
 def alert_severity_summary(spark, d):
-    return alert_plans.by_severity(fx.alerts(spark, d))
+    return alert_plans.by_severity(fx.alerts(spark, d, ["severity"]))
 
 
-@query("top_threats", f"""WITH {S} SELECT coalesce(category, '기타') AS category, count(*) AS alerts
-FROM alerts LEFT JOIN catalog USING (rule_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+@query("top_threats", f"""WITH {S} SELECT tenant_id, coalesce(category, '기타') AS category, count(*) AS alerts
+FROM alerts LEFT JOIN catalog USING (rule_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY count(*) DESC, coalesce(category, '기타')) <= 5""")
 def top_threats(spark, d):
-    return alert_plans.top_threats(fx.alerts(spark, d))
+    return alert_plans.top_threats(fx.alerts(spark, d, ["rule_id"]))
 
 
-_SERIES = f"""{A}, grid AS (SELECT unnest(range({FROM - FROM % 3_600_000}, {TO}, 3600000)) AS bucket_start),
-  hits AS (SELECT ts // 3600000 * 3600000 AS bucket_start, severity FROM alerts WHERE ts >= {FROM} AND ts < {TO})"""
+_SERIES = f"""{A}, grid AS (SELECT tenant_id, unnest(range({FROM - FROM % 3_600_000}, {TO}, 3600000)) AS bucket_start FROM (SELECT DISTINCT tenant_id FROM alerts)),
+  hits AS (SELECT tenant_id, ts // 3600000 * 3600000 AS bucket_start, severity FROM alerts WHERE ts >= {FROM} AND ts < {TO})"""
 
 
-@query("alert_timeseries", f"""WITH {_SERIES} SELECT bucket_start, count(severity) FILTER (severity = 'CRITICAL') AS critical,
+@query("alert_timeseries", f"""WITH {_SERIES} SELECT tenant_id, bucket_start, count(severity) FILTER (severity = 'CRITICAL') AS critical,
   count(severity) FILTER (severity = 'HIGH') AS high, count(severity) FILTER (severity = 'MEDIUM') AS medium,
-  count(severity) AS total FROM grid LEFT JOIN hits USING (bucket_start) GROUP BY bucket_start""")
+  count(severity) AS total FROM grid LEFT JOIN hits USING (tenant_id, bucket_start) GROUP BY ALL""")
 def alert_timeseries(spark, d):
-    series = alert_plans.timeseries(fx.alerts(spark, d), FROM, TO, "hour")
-    return alert_plans.zero_filled(series, spark, FROM, TO, "hour")
+    alerts = fx.alerts(spark, d, ["severity"])
+    return alert_plans.zero_filled(alert_plans.timeseries(alerts, FROM, TO, "hour"), alerts, FROM, TO, "hour")
 
 
-@query("alert_timeseries_daily", f"""WITH {A} SELECT b.bucket_start, count(severity) FILTER (severity = 'CRITICAL') AS critical,
+@query("alert_timeseries_daily", f"""WITH {A} SELECT b.tenant_id, b.bucket_start, count(severity) FILTER (severity = 'CRITICAL') AS critical,
   count(severity) FILTER (severity = 'HIGH') AS high, count(severity) FILTER (severity = 'MEDIUM') AS medium,
-  count(severity) AS total FROM (SELECT unnest(range({BASE - 86_400_000}, {BASE + 86_400_001}, 86400000)) AS bucket_start) b
-  LEFT JOIN alerts ON ts // 86400000 * 86400000 = b.bucket_start GROUP BY b.bucket_start""")
+  count(severity) AS total FROM (SELECT tenant_id, unnest(range({BASE - 86_400_000}, {BASE + 86_400_001}, 86400000)) AS bucket_start FROM (SELECT DISTINCT tenant_id FROM alerts)) b
+  LEFT JOIN alerts a ON a.tenant_id = b.tenant_id AND ts // 86400000 * 86400000 = b.bucket_start GROUP BY ALL""")
 def alert_timeseries_daily(spark, d):
     start, end = BASE - 86_400_000, BASE + 86_400_001
-    series = alert_plans.timeseries(fx.alerts(spark, d), start, end, "day")
-    return alert_plans.zero_filled(series, spark, start, end, "day")
+    alerts = fx.alerts(spark, d, ["severity"])
+    return alert_plans.zero_filled(alert_plans.timeseries(alerts, start, end, "day"), alerts, start, end, "day")
 
 
 @query("open_alerts_per_host", f"""WITH {S} SELECT tenant_id, host, count(*) AS open_total,
@@ -269,7 +269,7 @@ def _flat(df):
     return df.withColumn("protocols", F.array_join("protocols", ","))
 
 
-@query("egress_relations", f"""WITH {_REL} SELECT * FROM rel ORDER BY events DESC, tenant_id, host, dest LIMIT 200""")
+@query("egress_relations", f"""WITH {_REL} SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY events DESC, host, dest) <= 200""")
 def egress_relations(spark, d):
     return _flat(topology.top_relations(_edges(spark, d), scope.clamp_limit("topology", None)))
 
@@ -284,11 +284,11 @@ def relation_total(spark, d):
     return topology.relation_total(topology.with_destination(fx.telemetry(spark, d), FROM, TO))
 
 
-@query("relation_truncation", f"""WITH {_REL}, n AS (SELECT count(DISTINCT (tenant_id, host, dest)) AS total FROM dest)
-SELECT total, least(total, 200) AS shown, total > 200 AS truncated FROM n""")
+@query("relation_truncation", f"""WITH {_REL}, n AS (SELECT tenant_id, count(DISTINCT (host, dest)) AS total FROM dest GROUP BY tenant_id)
+SELECT tenant_id, total, least(total, 200) AS shown, total > 200 AS truncated FROM n""")
 def relation_truncation(spark, d):
     rows = topology.with_destination(fx.telemetry(spark, d), FROM, TO)
-    return topology.shown_and_total(rows, 200, spark)
+    return topology.shown_and_total(rows, 200)
 
 
 @query("topology_edges", f"""WITH {_REL}, {A.replace(T + ',', '', 1).lstrip()},
@@ -379,10 +379,10 @@ def alert_search_by_threat_name(spark, d):
   WHERE ts >= {FROM} AND ts <= {TO} AND {_EV_HIT.format('h1')}),
 a AS (SELECT id, tenant_id, host, ts FROM alerts WHERE ts >= {FROM} AND ts <= {TO} AND {_AL_HIT.format('h1')}),
 h AS (SELECT * FROM hosts WHERE contains(lower(host), 'h1'))
-SELECT * FROM (SELECT 'hosts' AS section, tenant_id, host AS id, host, last_seen AS ts, (SELECT count(*) > 5 FROM h) AS has_more
-  FROM h ORDER BY last_seen DESC, tenant_id, host LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'alerts', tenant_id, id, host, ts, (SELECT count(*) > 5 FROM a) FROM a ORDER BY ts DESC, id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT 'events', tenant_id, id, host, ts, (SELECT count(*) > 5 FROM e) FROM e ORDER BY ts DESC, id LIMIT 5)""")
+SELECT 'hosts' AS section, tenant_id, host AS id, host, last_seen AS ts, count(*) OVER (PARTITION BY tenant_id) > 5 AS has_more
+  FROM h QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY last_seen DESC, host) <= 5
+UNION ALL SELECT 'alerts', tenant_id, id, host, ts, count(*) OVER (PARTITION BY tenant_id) > 5 FROM a QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, id) <= 5
+UNION ALL SELECT 'events', tenant_id, id, host, ts, count(*) OVER (PARTITION BY tenant_id) > 5 FROM e QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, id) <= 5""")
 def unified_search(spark, d):
     return search.unified(_hosts(spark, d), fx.alerts(spark, d), fx.telemetry(spark, d), "H1",
                           FROM, TO)

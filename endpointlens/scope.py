@@ -1,6 +1,6 @@
 """Tenant lock, argument guards and paging."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_OFFSET = 10_000
@@ -12,6 +12,14 @@ PAGE_SIZES = {
 }
 
 
+#: Partition column of the event and alert tables.
+DAY = "event_date"
+
+
+def day_of(ts: Column) -> Column:
+    return F.to_date(F.timestamp_millis(ts))
+
+
 def tenant_scope(df: DataFrame, tenant_id: str) -> DataFrame:
     """Rows of one tenant; applied before anything else, a blank tenant is an error."""
     if tenant_id is None or not tenant_id.strip():
@@ -45,10 +53,14 @@ def exact_filter(df: DataFrame, column: str, value: str | None) -> DataFrame:
 
 def time_range(df: DataFrame, start: int | None, end: int | None, *, closed: bool,
                column: str = "ts") -> DataFrame:
-    """`start <= ts <= end` when closed, `start <= ts < end` otherwise; null is unbounded."""
+    """`start <= ts <= end` when closed, `start <= ts < end` otherwise; null is unbounded. On a
+    table with its day as a partition only the days in question are opened."""
+    by_day = column == "ts" and DAY in df.columns
     if start is not None:
         df = df.where(F.col(column) >= start)
+        df = df.where(F.col(DAY) >= day_of(F.lit(start))) if by_day else df
     if end is not None:
+        df = df.where(F.col(DAY) <= day_of(F.lit(end))) if by_day else df
         df = df.where(F.col(column) <= end) if closed else df.where(F.col(column) < end)
     return df
 
@@ -80,10 +92,17 @@ def search_term(term: str | None) -> str:
 def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
     """`size` rows after `offset`, with `has_more` decided by reading one row more."""
     probed = df.orderBy(*order).offset(offset).limit(size + 1)
-    more = probed.agg((F.count("*") > size).alias("has_more"))
-    # Both sides hold at most one page.
-    return (probed.orderBy(*order).limit(size)
-            .join(F.broadcast(more)).orderBy(*order))
+    # The window holds at most the page and that one row.
+    counted = probed.withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > size)
+    return counted.orderBy(*order).limit(size)
+
+
+def top_per(df: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
+    """The first rows of every key and `has_more`; ranks are cut before the shuffle as well."""
+    by_key = Window.partitionBy(*keys)
+    probed = df.withColumn("_rank", F.row_number().over(by_key.orderBy(*order))).where(F.col("_rank") <= size + 1)
+    counted = probed.withColumn("has_more", F.count("*").over(by_key) > size)
+    return counted.where(F.col("_rank") <= size).drop("_rank")
 
 
 def newest_first(df: DataFrame, tie: str = "id") -> list[Column]:

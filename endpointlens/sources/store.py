@@ -1,6 +1,6 @@
 """Event and alert tables: row mapping, sinks, reads and retention."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,6 +8,7 @@ from ..functions.ids import alert_id
 from ..functions.text import is_blank
 from ..operators.dedup import latest_alerts
 from ..schema import ALERT_JSON, DAY_MS, EVENT, EVENT_COLUMNS
+from ..scope import day_of
 
 EVENT_RETENTION_DAYS = 7
 ALERT_RETENTION_DAYS = 90
@@ -25,10 +26,6 @@ ALERT_TABLE = T.StructType([
 ])
 
 
-def day_of(ts: Column) -> Column:
-    return F.to_date(F.timestamp_millis(ts))
-
-
 def event_rows(events: DataFrame) -> DataFrame:
     """Events in the column order of the stored table; `seq` is bookkeeping and stays out."""
     return events.select(*EVENT_COLUMNS)
@@ -51,12 +48,13 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT_TABLE).parquet(path).drop("event_date")
+    """Events with their `event_date`, by which `scope.time_range` opens days only."""
+    return spark.read.schema(EVENT_TABLE).parquet(path)
 
 
 def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
     """Every stored version; use `read_alerts` for anything an analyst sees."""
-    return spark.read.schema(ALERT_TABLE).parquet(path).drop("event_date")
+    return spark.read.schema(ALERT_TABLE).parquet(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -88,3 +86,10 @@ def expire_events(spark: SparkSession, source: str, target: str, now: int,
     """Rewrites the table without expired rows."""
     write_events(retained(read_events(spark, source), "ingested_at", days, now), target,
                  mode="overwrite")
+
+
+def expire_alerts(spark: SparkSession, source: str, target: str, now: int,
+                  days: int = ALERT_RETENTION_DAYS) -> None:
+    """Rewrites the alert table without versions that arrived before the retention period."""
+    write_alerts(retained(read_alert_log(spark, source), "created_at", days, now), target,
+                 mode="overwrite")
