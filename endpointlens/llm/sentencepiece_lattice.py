@@ -103,22 +103,39 @@ def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, edges) with all pieces in each word as (begin, end, id and score or rank)."""
+    """(hash, word, n, edges) with all pieces in each word: for a BPE model as numbers of `packed`,
+    which sort in merge order, for a unigram model as (begin, end, id, score)."""
     spark = words.sparkSession
     ranks = model.ranks()
-    rows = [(p, i, float(s), ranks[p]) for p, i, s in model.pieces]
     # The piece table is as large as the model file, and no larger.
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double, rank int")
+    pieces = spark.createDataFrame([(p, i, float(s), ranks[p]) for p, i, s in model.pieces], "piece string, id int, score double, rank int")
     size = F.char_length("word")
     parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda b: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(model.longest), size - b + 1)),
         lambda n: F.struct((b - 1).alias("begin"), (b - 1 + n).alias("end"), F.substring("word", b, n).alias("piece")))))
-    # Words are dealt out once, so that grouping their edges moves nothing.
-    spread = words.repartition("word").select("word", "n", F.explode(parts).alias("s")).select("word", "n", "s.*")
-    kept = F.col("id").isNotNull() | (F.col("end") == 1)  # a row of every word stays
-    edge = F.when(F.col("id").isNotNull(), F.struct("begin", "end", "id", "score" if model.kind == UNIGRAM else "rank"))
-    return (spread.join(F.broadcast(pieces), "piece", "left").where(kept).select("word", "n", edge.alias("edge"))
-            .groupBy("word").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges")))
+    # Words are dealt out once, so that grouping their edges moves nothing; only the first edge of
+    # a word carries it, so that the rows to be grouped stay small.
+    first = F.col("end") == 1
+    spread = (words.withColumn("hash", F.xxhash64("word")).repartition("hash")
+              .select("hash", "word", "n", F.explode(parts).alias("s")).select("hash", "word", "n", "s.*"))
+    edge = packed() if model.kind == BPE else F.struct("begin", "end", "id", "score")
+    rows = spread.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | first).select(
+        "hash", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("n")).alias("n"),
+        F.when(F.col("id").isNotNull(), edge).alias("edge"))
+    return rows.groupBy("hash").agg(F.max("word").alias("word"), F.max("n").alias("n"), F.collect_list("edge").alias("edges"))
+
+
+def packed() -> Column:
+    """An edge as one number: rank, begin and end (6 bits each), id (20 bits)."""
+    return (F.col("rank").cast("long") * (1 << 32) + F.col("begin") * (1 << 26) + F.col("end") * (1 << 20) + F.col("id"))
+
+
+def begin_of(edge: Column) -> Column:
+    return F.shiftright(edge, 26).bitwiseAND(F.lit(63))
+
+
+def end_of(edge: Column) -> Column:
+    return F.shiftright(edge, 20).bitwiseAND(F.lit(63))
 
 
 def bit(place: Column) -> Column:
@@ -127,13 +144,12 @@ def bit(place: Column) -> Column:
 
 def merged(edges: Column, size: Column) -> Column:
     """Boundaries, as bits, of a word of up to 62 characters after all merges of a BPE model."""
-    def packed(x: Column) -> Column:
-        ends = bit(x["begin"]).bitwiseOR(bit(x["end"]))
-        inner = (bit(x["end"]) - 1).bitwiseAND(F.bitwise_not(bit(x["begin"] + 1) - 1))
-        order = F.call_function("shiftleft", x["rank"].cast("long"), F.lit(8)) + x["begin"]
-        return F.struct(order.alias("order"), ends.alias("ends"), inner.alias("inner"))
+    def masks(x: Column) -> Column:
+        begin, end = begin_of(x), end_of(x)
+        inner = (bit(end) - 1).bitwiseAND(F.bitwise_not(bit(begin + 1) - 1))
+        return F.struct(x.alias("order"), bit(begin).bitwiseOR(bit(end)).alias("ends"), inner.alias("inner"))
 
-    joins = F.transform(F.filter(edges, lambda x: x["end"] - x["begin"] > 1), packed)
+    joins = F.transform(F.filter(edges, lambda x: end_of(x) - begin_of(x) > 1), masks)
 
     def step(state: Column, _: Column) -> Column:
         mask = state["mask"]
@@ -160,8 +176,9 @@ def ids_of_bounds(edges: Column, mask: Column, word: Column, size: Column, model
         F.element_at(places, k).alias("b"), F.element_at(places, k + 1).alias("e")))
 
     def of(span: Column) -> Column:
-        edge = F.filter(edges, lambda x: (x["begin"] == span["b"]) & (x["end"] == span["e"]))
-        return F.when(F.size(edge) > 0, F.array(F.get(edge, F.lit(0))["id"])).otherwise(
+        edge = F.filter(edges, lambda x: (begin_of(x) == span["b"]) & (end_of(x) == span["e"]))
+        number = F.get(edge, F.lit(0)).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+        return F.when(F.size(edge) > 0, F.array(number)).otherwise(
             spelled(F.substring(word, span["b"] + 1, F.lit(1)), model))
 
     return F.flatten(F.transform(spans, of))
@@ -228,7 +245,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         ids = ids_of_bounds(F.col("edges"), F.col("mask"), F.col("word"), size, model)
     else:
         folded, ids = edged, viterbi(F.col("edges"), F.col("word"), size, model)
-    out = folded.select(F.xxhash64("word").alias("hash"), "n", ids.alias("ids"))
+    out = folded.select("hash", "n", ids.alias("ids"))
     if model.kind != BPE:
         return out
     ranks, known = model.ranks(), {p: i for p, i, _ in model.pieces}
