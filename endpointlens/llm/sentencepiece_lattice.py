@@ -127,7 +127,8 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
 
 def packed() -> Column:
     """An edge as one number: rank, begin and end (6 bits each), id (20 bits)."""
-    return (F.col("rank").cast("long") * (1 << 32) + F.col("begin") * (1 << 26) + F.col("end") * (1 << 20) + F.col("id"))
+    parts = (("rank", 32), ("begin", 26), ("end", 20), ("id", 0))
+    return sum((F.col(c).cast("long") * (1 << shift) for c, shift in parts), F.lit(0).cast("long"))
 
 
 def begin_of(edge: Column) -> Column:
