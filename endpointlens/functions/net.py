@@ -90,6 +90,13 @@ def canonical_ip(c: Column) -> Column:
     return F.when(is_ipv4(c), c).when(is_ipv6(c), six)
 
 
+def ip_key(c: Column) -> Column:
+    """32 hex digits that sort like the address; IPv4 counts as its mapped IPv6 address."""
+    four = F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(ipv4_number(c))), 8, "0"))
+    six = F.array_join(F.transform(_v6_groups(c), lambda g: F.lpad(F.lower(F.hex(g)), 4, "0")), "")
+    return F.when(is_ipv4(c), four).when(is_ipv6(c), six)
+
+
 def flow_ip(c: Column) -> Column:
     """Canonical address of a flow key, brackets removed."""
     return canonical_ip(F.regexp_replace(jtrim(c), r"^\[|\]$", ""))

@@ -341,19 +341,36 @@ def page_domain_groups(spark, d):
 _ISO = "['US','KR','JP','DE','FR','ZZ','GB','BR','IN','AU']"
 
 
-@query("geo_by_country", f"""WITH {T}, per AS (SELECT tenant_id, dest_ip, count(*) AS n FROM telemetry WHERE dest_ip <> ''
+_GEO = f"""WITH {T}, per AS (SELECT tenant_id, dest_ip, count(*) AS n FROM telemetry WHERE dest_ip <> ''
   AND ts >= {FROM} AND ts < {TO} GROUP BY ALL),
 rng AS (SELECT '203.0.113.' || n_nationkey AS ip, {_ISO}[n_nationkey % 10 + 1] AS code FROM nation),
 c(code, country, lat, lng) AS (VALUES ('US','United States',37.09,-95.71),('KR','South Korea',35.91,127.77),('JP','Japan',36.2,138.25),
  ('DE','Germany',51.17,10.45),('FR','France',46.23,2.21),('GB','United Kingdom',55.38,-3.44),('BR','Brazil',-14.24,-51.93),
  ('IN','India',20.59,78.96),('AU','Australia',-25.27,133.78))
 SELECT tenant_id, code, CAST(sum(n) AS BIGINT) AS events, country, lat, lng FROM per JOIN rng ON per.dest_ip = rng.ip
-JOIN c USING (code) GROUP BY ALL""")
+JOIN c USING (code) GROUP BY ALL"""
+
+
+@query("geo_by_country", _GEO)
 def geo_by_country(spark, d):
     per_ip = event_plans.per_destination(fx.telemetry(spark, d), FROM, TO)
     return geo.by_country(per_ip, fx.ip_ranges(spark, d))
 
 
+@query("geo_by_country_v6", _GEO)
+def geo_by_country_v6(spark, d):
+    """The same destinations with a third of them as mapped and a third as IPv6 addresses."""
+    last = F.substring_index("dest_ip", ".", -1).try_cast("int")
+    six = F.concat(F.lit("2001:DB8::"), F.hex(last))
+    shown = F.when(last % 3 == 1, F.concat(F.lit("::ffff:"), "dest_ip")).when(
+        (last % 3 == 2) & F.col("dest_ip").startswith("203.0.113."), six).otherwise(F.col("dest_ip"))
+    per_ip = event_plans.per_destination(fx.telemetry(spark, d), FROM, TO).withColumn("dest_ip", shown)
+    n = F.substring_index("start_ip", ".", -1).cast("int")
+    same = F.concat(F.lit("2001:db8:0:0::"), F.hex(n))
+    ranges = fx.ip_ranges(spark, d)
+    return geo.by_country(per_ip, ranges.union(ranges.select(same, same, "iso2")))
+
+
 # --- Search ----------------------------------------------------------------------------------
 
 _EV_HIT = ("(contains(lower(host), '{0}') OR contains(lower(process), '{0}') OR contains(lower(parent), '{0}') OR "
