@@ -9,7 +9,7 @@ boundaries are the bits of one number, and each step drops the inner boundary of
 that joins two neighbours. Both give the ids the model's own encoder gives.
 
 Encoded words are then looked up in the texts. The most frequent `DICTIONARY` words are broadcast
-as sorted arrays, about 25 bytes each, whatever the corpus; the other words of a text, if
+as sorted arrays, about 20 bytes each, whatever the corpus; the other words of a text, if
 there are any, are joined by their hash and filled in.
 
 Defined cases: a null text gives null ids and decodes to null; an empty text gives none. A
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +39,10 @@ from .common import ready, store
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words broadcast at most, longest word of the fold, words that a task counts or keeps at a time.
-DICTIONARY, FOLDED, HELD = 6_000_000, 62, 200_000
+#: Words broadcast at most, longest word of the fold, words that a task keeps at a time.
+DICTIONARY, FOLDED, HELD = 6_000_000, 62, 100_000
+#: Bytes of a batch of texts, next to which a worker holds the dictionary.
+BATCH_BYTES = 4 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -81,25 +82,11 @@ def words_of(text: str) -> list[str]:
 
 
 def count_words(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(word, n) of all texts; a task sums what it holds before anything is shuffled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    counts.update(words_of(text.as_py()))
-                    if len(counts) > HELD:
-                        yield flush()
-        yield flush()
-
-    parts = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n) of all texts."""
+    marked = F.concat(F.lit(SPACE), F.replace(F.col(text_column).cast("string"), F.lit(" "), F.lit(SPACE)))
+    words = F.regexp_extract_all(marked, F.lit(WORD.pattern), F.lit(0))
+    return (docs.where(F.length(text_column) > 0).select(F.explode(words).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -260,16 +247,23 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return out.union(words.where(~short).select(F.xxhash64("word"), "word", "n").mapInArrow(run, "hash long, n long, ids array<int>"))
 
 
-class Dictionary:
-    """Ids of words by their hash, in sorted arrays."""
+def spelled_out(ids: Column, width: int) -> Column:
+    """Ids as bytes, `width` of them each, the larger ones first."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 2 * width, "0")), ""))
+
 
-    def __init__(self, table: pa.Table):
-        order = np.argsort(table.column("hash").to_numpy(), kind="stable")
-        ids = table.column("ids").combine_chunks()
-        ids = ids.take(pa.array(order))
-        self.hash = table.column("hash").to_numpy()[order]
-        self.start = ids.offsets.to_numpy().astype(np.int64)
-        self.ids = ids.values.to_numpy().astype(np.int32)
+class Dictionary:
+    """Ids of words by their hash, in sorted arrays; made of rows (hash, spelled-out ids)."""
+
+    def __init__(self, table: pa.Table, width: int):
+        hashes = table.column("hash").to_numpy()
+        order = np.argsort(hashes)
+        self.hash = hashes[order]
+        spelled = pa.concat_arrays([*table.column("spelled").chunks, pa.array([], pa.binary())]).take(pa.array(order))
+        _, offsets, data = spelled.buffers()
+        start = np.frombuffer(offsets, np.int32)[:len(order) + 1] if len(order) else np.zeros(1, np.int32)
+        self.start = (start // width).astype(np.uint32)
+        self.ids = np.frombuffer(data or b"", f">u{width}")[:int(self.start[-1])].astype(f"u{width}")
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
@@ -280,16 +274,19 @@ class Dictionary:
 
     def joined(self, places: np.ndarray) -> np.ndarray:
         """Ids of the words at these places one after the other; a word without a place is a -1."""
-        begin = np.where(places < 0, 0, self.start[places])
-        size = np.where(places < 0, 1, self.start[places + 1] - begin)
+        known = np.maximum(places, 0)
+        if not len(self.hash):
+            return np.full(len(places), -1, np.int32)
+        begin = np.where(places < 0, 0, self.start[known].astype(np.int64))
+        size = np.where(places < 0, 1, self.start[known + 1].astype(np.int64) - begin)
         shift = np.cumsum(size) - size
         at = np.arange(size.sum()) - np.repeat(shift - begin, size)
-        out = self.ids[np.minimum(at, len(self.ids) - 1)] if len(self.ids) else np.zeros(len(at), np.int32)
+        out = self.ids[np.minimum(at, len(self.ids) - 1)].astype(np.int32)
         out[shift[places < 0]] = -1
         return out
 
 
-def dictionary(encoded: DataFrame, most: int) -> tuple[Dictionary, bool]:
+def dictionary(encoded: DataFrame, most: int, width: int) -> tuple[Dictionary, bool]:
     """(the words of largest counts, at most so many; whether these are all)."""
     shares = encoded.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     total = encoded.count()
@@ -303,7 +300,7 @@ def dictionary(encoded: DataFrame, most: int) -> tuple[Dictionary, bool]:
                 break
             least = row.n
         hot = encoded.where(F.lit(False) if least is None else F.col("n") >= least)
-    return Dictionary(hot.select("hash", "ids").toArrow()), total <= most
+    return Dictionary(hot.select("hash", spelled_out(F.col("ids"), width).alias("spelled")).toArrow(), width), total <= most
 
 
 def encode(docs: DataFrame, model: Model, text_column: str = "text", most: int = DICTIONARY) -> DataFrame:
@@ -312,8 +309,10 @@ def encode(docs: DataFrame, model: Model, text_column: str = "text", most: int =
     names = [c for c in docs.columns if c != "ids"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_column}`").cast("string").alias("text"))
     encoded = store(encode_words(store(count_words(rows)), model))
-    hot, whole = dictionary(encoded, most)
+    largest = max([i for _, i, _ in model.pieces] + model.bytes)
+    hot, whole = dictionary(encoded, most, 2 if largest < 1 << 16 else 4)
     known = spark.sparkContext.broadcast(hot)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, places, hashes = known.value, {}, []
