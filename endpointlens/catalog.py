@@ -72,5 +72,12 @@ def with_catalog(df: DataFrame) -> DataFrame:
             .drop("_name", "_category"))
 
 
+def with_rule_texts(df: DataFrame) -> DataFrame:
+    """Adds `threat_name`, `category`, `catalog_mitre` and `description`; an unknown rule has its
+    id as name and description, and no technique."""
+    table = F.broadcast(rules(df.sparkSession).select("rule_id", "catalog_mitre", "description"))
+    return with_catalog(df).join(table, "rule_id", "left").withColumn("description", F.coalesce("description", "rule_id"))
+
+
 def rule_ids_named(term: str) -> list[str]:
     return [r[0] for r in RULES if term.lower() in r[1].lower()]

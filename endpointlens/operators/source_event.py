@@ -73,7 +73,12 @@ def with_source_event(alerts: DataFrame, events: DataFrame,
     by_rule = F.concat(F.lit("type" + _SEP), F.try_element_at(types, F.col("rule_id")))
     asked = (alerts.withColumn("_line", by_line)
              .withColumn("_key", F.coalesce("_line", by_rule)))
-    facts = events.select("tenant_id", "host", "ts", *SOURCE_FIELDS,
+    # Only events of a host and time that some alert asks about are spread over their keys.
+    width = 2 * window
+    slots = F.sequence(F.floor((F.col("ts") - window) / width), F.floor((F.col("ts") + window) / width))
+    near = alerts.select("tenant_id", "host", F.explode(slots).alias("_slot")).distinct()
+    close = events.withColumn("_slot", F.floor(F.col("ts") / width)).join(near, ["tenant_id", "host", "_slot"], "left_semi")
+    facts = close.select("tenant_id", "host", "ts", *SOURCE_FIELDS,
                           F.explode(_event_keys()).alias("_key"))
     joined = asof_join(asked, facts, ["tenant_id", "host", "_key"], back=window, ahead=window,
                        order=["seq"], payload=SOURCE_FIELDS, prefer_last=False, prune=True)

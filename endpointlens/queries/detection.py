@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from .. import scope
-from ..catalog import with_catalog
+from ..catalog import RULES, with_catalog, with_rule_texts
 from ..functions.ids import alert_id
 from ..functions.text import nz
 from ..operators import rules
@@ -360,6 +360,20 @@ def alert_threat_names(spark, d):
     return with_catalog(mixed).select("id", "rule_id", "threat_name", "category")
 
 
+_TEXTS = ", ".join("('" + "','".join((r[0], r[1], r[3], r[4])) + "')" for r in RULES)
+
+
+@query("alert_rule_texts", f"""WITH {A}, texts(rule_id, threat_name, catalog_mitre, description) AS (VALUES {_TEXTS}),
+mixed AS (SELECT tenant_id, CASE WHEN seq % 5 = 0 THEN 'UNLISTED' ELSE rule_id END AS rule_id FROM alerts)
+SELECT tenant_id, rule_id, coalesce(threat_name, rule_id) AS threat_name, catalog_mitre, coalesce(description, rule_id) AS description,
+  count(*) AS alerts FROM mixed LEFT JOIN texts USING (rule_id) GROUP BY ALL""")
+def alert_rule_texts(spark, d):
+    mixed = fx.alerts(spark, d, ["rule_id"]).select("tenant_id", F.when(F.col("seq") % 5 == 0, "UNLISTED").otherwise(
+        F.col("rule_id")).alias("rule_id"))
+    counted = mixed.groupBy("tenant_id", "rule_id").agg(F.count("*").alias("alerts"))
+    return with_rule_texts(counted).select("tenant_id", "rule_id", "threat_name", "catalog_mitre", "description", "alerts")
+
+
 @query("alert_responses", f"""WITH {S} SELECT a.tenant_id, a.id, a.host, a.rule_id, c.threat_name, a.mitre, a.severity,
   a.action, a.ts, coalesce(s.status,'open') AS status, a.matched, a.domain, a.dest_ip
 FROM alerts a JOIN catalog c USING (rule_id) LEFT JOIN status s USING (tenant_id, id)""")

@@ -9,6 +9,7 @@ from ..operators import correlation, flows, incidents, lineage
 from ..operators.source_event import source_event_id, with_source_event
 from ..catalog import RULES, with_catalog
 from ..plans import alerts as alert_plans
+from ..plans import incidents as incident_plans
 from .base import A, T, jint, query, uuid3
 
 TYPE_OF_RULE = ("CASE rule_id WHEN 'SCRIPT_FROM_TEMP_PATH' THEN 'script' WHEN 'FILE_IN_AUTORUN_PATH' THEN 'file' "
@@ -294,6 +295,30 @@ def alert_incident_ids(spark, d):
     return members.select("id", "incident_id", "anchor")
 
 
+def _decided(rolled):
+    """A decision on the incidents whose id begins with 0 to 4."""
+    first = F.substring("incident_id", 1, 1)
+    return rolled.where(first.isin("0", "1", "2", "3", "4")).select(
+        "tenant_id", F.col("incident_id").alias("id"), F.col("last_ts").alias("updated_at"),
+        F.when(first == "4", "false_positive").otherwise("confirmed").alias("status"))
+
+
+@query("incident_open_page", f"""{_INC}, shown AS (SELECT incident_id, host, last_ts, alert_count FROM incident
+  WHERE substr(incident_id, 1, 1) NOT IN ('0','1','2','3','4') AND host = 'h3')
+SELECT *, (SELECT count(*) FROM shown) > 7 AS has_more FROM shown ORDER BY last_ts DESC, incident_id LIMIT 5 OFFSET 2""")
+def incident_open_page(spark, d):
+    members, _ = incidents.group_alerts(fx.alerts(spark, d), fx.telemetry(spark, d))
+    rolled = incidents.roll_up(members)
+    shown = incident_plans.incident_page(rolled, alert_plans.triage_status(_decided(rolled)), "open", "h3", 5, 2)
+    return shown.select("incident_id", "host", "last_ts", "alert_count", "has_more")
+
+
+@query("alert_incidents_in_range", f"{_INC} SELECT tenant_id, id, incident_id, anchor FROM mem WHERE ts >= {fx.FROM} AND ts <= {fx.TO}")
+def alert_incidents_in_range(spark, d):
+    members, _ = incidents.group_alerts(fx.alerts(spark, d), fx.telemetry(spark, d))
+    return incident_plans.incidents_of_alerts(members, fx.FROM, fx.TO)
+
+
 @query("alert_host_spans", f"""WITH {A} SELECT tenant_id, host, min(ts) AS first_ts, max(ts) AS last_ts,
   greatest(min(ts) - 300000, 0) AS scan_from, max(ts) + 300000 AS scan_to FROM alerts GROUP BY ALL""")
 def alert_host_spans(spark, d):
