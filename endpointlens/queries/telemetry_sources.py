@@ -117,13 +117,13 @@ def windows_records(t):
             "QueryResults", F.when(n % 12 == 0, F.lit(" ; ")).otherwise(
                 F.lit("type:  5 cdn.example.net;type: 5;203.0.113.1,")))))
     return t.where("type IN ('process', 'network', 'file', 'dns')").select(
-        "host", "ts", "seq", provider.alias("provider"), event_id.alias("event_id"),
+        "tenant_id", "host", "ts", "seq", provider.alias("provider"), event_id.alias("event_id"),
         (1000 + u).cast("int").alias("header_pid"), props.alias("props"))
 
 
 _WIN = f"""{T}, w AS (SELECT *, seq % 150 AS uu, CASE type WHEN 'process' THEN 1000 + (seq % 150 + 20) % 150 ELSE 1000 + seq % 150 END AS asked FROM telemetry),
-st AS (SELECT host, ts, seq, 1000 + uu AS pid, process FROM w WHERE type = 'process' AND seq % 10 <> 3),
-nm AS (SELECT w.seq, arg_max(st.process, (st.ts, st.seq)) AS owner FROM w JOIN st ON st.host = w.host AND st.pid = w.asked AND st.ts <= w.ts GROUP BY w.seq),
+st AS (SELECT tenant_id, host, ts, seq, 1000 + uu AS pid, process FROM w WHERE type = 'process' AND seq % 10 <> 3),
+nm AS (SELECT w.seq, arg_max(st.process, (st.ts, st.seq)) AS owner FROM w JOIN st ON st.tenant_id = w.tenant_id AND st.host = w.host AND st.pid = w.asked AND st.ts <= w.ts GROUP BY w.seq),
 x AS (SELECT w.*, coalesce(owner, '') AS owner FROM w LEFT JOIN nm USING (seq))"""
 
 
@@ -135,23 +135,23 @@ def _records(spark, d):
 
 
 @query("windows_events", f"""WITH {_WIN}
-SELECT seq, host, ts, CASE WHEN lower(process) = 'powershell.exe' THEN 'script' ELSE 'process' END AS type, process, owner AS parent,
+SELECT seq, tenant_id, host, ts, CASE WHEN lower(process) = 'powershell.exe' THEN 'script' ELSE 'process' END AS type, process, owner AS parent,
   'C:\\Win\\' || process || '  -Password <redacted> /token:<redacted> run' AS cmdline, '' AS dest_ip, 0 AS dest_port, '' AS domain,
   '{{"pid":' || (1000 + uu) || ',"ppid":' || asked || '}}' AS detail FROM x WHERE type = 'process' AND seq % 10 <> 3
-UNION ALL SELECT seq, host, ts, 'network', owner, '', '', dest_ip, CASE WHEN seq % 7 = 0 THEN 0 ELSE dest_port END, '',
+UNION ALL SELECT seq, tenant_id, host, ts, 'network', owner, '', '', dest_ip, CASE WHEN seq % 7 = 0 THEN 0 ELSE dest_port END, '',
   '{{"pid":' || asked || ',"protocol":"tcp"}}' FROM x WHERE type = 'network' AND seq % 4 <> 0 AND seq % 10 <> 5
-UNION ALL SELECT seq, host, ts, 'file', CASE seq % 3 WHEN 0 THEN 'x.lnk' ELSE 'z.exe' END, '', CASE seq % 3 WHEN 0
+UNION ALL SELECT seq, tenant_id, host, ts, 'file', CASE seq % 3 WHEN 0 THEN 'x.lnk' ELSE 'z.exe' END, '', CASE seq % 3 WHEN 0
   THEN '\\Device\\HarddiskVolume3\\Users\\Bob\\Startup\\x.lnk' ELSE '\\??\\C:\\ProgramData\\z.exe' END, '', 0, '', '{{"action":"CREATE"}}'
   FROM x WHERE type = 'file' AND seq % 10 <> 7 AND seq % 3 <> 1
-UNION ALL SELECT seq, host, ts, 'dns', owner, '', '', '', 0, domain, '{{' || CASE WHEN seq % 12 = 0 THEN '' ELSE '"answers":["cdn.example.net","203.0.113.1"],' END ||
+UNION ALL SELECT seq, tenant_id, host, ts, 'dns', owner, '', '', '', 0, domain, '{{' || CASE WHEN seq % 12 = 0 THEN '' ELSE '"answers":["cdn.example.net","203.0.113.1"],' END ||
   '"pid":' || asked || ',"queryType":"' || CASE seq % 6 WHEN 0 THEN 'AAAA' WHEN 2 THEN '999' ELSE 'A' END || '"' ||
   CASE WHEN seq % 6 = 4 THEN '' ELSE ',"status":0' END || '}}' FROM x WHERE type = 'dns' AND seq % 8 <> 0""")
 def windows_events(spark, d):
-    return windows.parse_records(_records(spark, d), WIN_WATCH).select(*_OUT)
+    return windows.parse_records(_records(spark, d), WIN_WATCH).select("tenant_id", *_OUT)
 
 
-@query("windows_process_stops", f"""WITH {T} SELECT host, count(*) AS stops FROM telemetry
-WHERE type = 'process' AND seq % 10 = 3 GROUP BY host""")
+@query("windows_process_stops", f"""WITH {T} SELECT tenant_id, host, count(*) AS stops FROM telemetry
+WHERE type = 'process' AND seq % 10 = 3 GROUP BY tenant_id, host""")
 def windows_process_stops(spark, d):
     return windows.stop_count(_records(spark, d))
 
@@ -162,7 +162,7 @@ def l7_metadata(t):
     n, kind = F.col("seq"), F.col("type")
     octet = F.substring_index("dest_ip", ".", -1).try_cast("int")
     return t.where("type IN ('dns', 'l7', 'network')").select(
-        "host", "ts", "seq",
+        "tenant_id", "host", "ts", "seq",
         F.when(kind == "dns", "dns").when(kind == "l7", "tls").otherwise("http").alias("kind"),
         (n % 3 == 0).alias("is_response"),
         F.when(n % 5 == 1, "").otherwise(F.col("domain")).alias("domain"),
@@ -178,23 +178,23 @@ def l7_metadata(t):
 
 
 _L7 = f"""{T}, l AS (SELECT *, CASE WHEN seq % 5 = 1 THEN '' ELSE domain END AS dom FROM telemetry),
-own AS (SELECT l.seq, arg_max(n.process, (n.ts, n.seq)) AS owner FROM l JOIN telemetry n ON n.type = 'network' AND n.host = l.host
+own AS (SELECT l.seq, arg_max(n.process, (n.ts, n.seq)) AS owner FROM l JOIN telemetry n ON n.type = 'network' AND n.tenant_id = l.tenant_id AND n.host = l.host
   AND n.dest_ip = l.dest_ip AND n.ts BETWEEN l.ts - 60000 AND l.ts WHERE l.type IN ('l7','network') GROUP BY l.seq)"""
 
 
 @query("l7_metadata_events", f"""WITH {_L7}
-SELECT seq, host, ts, 'dns' AS type, '' AS process, '' AS parent, '' AS cmdline, '' AS dest_ip, 0 AS dest_port, dom AS domain,
+SELECT seq, tenant_id, host, ts, 'dns' AS type, '' AS process, '' AS parent, '' AS cmdline, '' AS dest_ip, 0 AS dest_port, dom AS domain,
   '{{"answers":["203.0.113.9"],"protocol":"udp","queryType":"A"}}' AS detail FROM l WHERE type = 'dns' AND seq % 3 = 0
-UNION ALL SELECT seq, host, ts, 'l7', coalesce(owner, ''), '', '', dest_ip, 443, dom, '{{' || CASE WHEN seq % 4 = 1 THEN '"alpn":["h2","http/1.1"],' ELSE '' END ||
+UNION ALL SELECT seq, tenant_id, host, ts, 'l7', coalesce(owner, ''), '', '', dest_ip, 443, dom, '{{' || CASE WHEN seq % 4 = 1 THEN '"alpn":["h2","http/1.1"],' ELSE '' END ||
   '"l7Protocol":"TLS","protocol":"tcp"' || CASE WHEN seq % 2 = 0 THEN '' ELSE ',"tlsVersion":"TLS 1.2"' END || '}}'
   FROM l LEFT JOIN own USING (seq) WHERE type = 'l7' AND dom <> ''
-UNION ALL SELECT seq, host, ts, 'l7', CASE WHEN seq % 3 = 0 THEN '' ELSE coalesce(owner, '') END, '', '', dest_ip, 443, dom,
+UNION ALL SELECT seq, tenant_id, host, ts, 'l7', CASE WHEN seq % 3 = 0 THEN '' ELSE coalesce(owner, '') END, '', '', dest_ip, 443, dom,
   CASE WHEN seq % 3 = 0 THEN '{{"httpStatusCode":200,"l7Protocol":"HTTP","protocol":"tcp"}}'
   ELSE '{{"httpMethod":"GET","httpPath":"/x","l7Protocol":"HTTP","protocol":"tcp"}}' END
   FROM l LEFT JOIN own USING (seq) WHERE type = 'network' AND (seq % 3 = 0 OR dom <> '')""")
 def l7_metadata_events(spark, d):
     t = fx.telemetry(spark, d)
-    return l7.metadata_events(l7_metadata(t), remembered_flows(t)).select(*_OUT)
+    return l7.metadata_events(l7_metadata(t), remembered_flows(t)).select("tenant_id", *_OUT)
 
 
 @query("typed_event_details", f"""WITH {T} SELECT seq, regexp_extract(cmdline, '([^/\\\\]*)$', 1) AS process, cmdline,

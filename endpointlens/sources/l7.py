@@ -12,10 +12,10 @@ def metadata_events(meta: DataFrame, flows: DataFrame) -> DataFrame:
     """Keeps DNS responses, TLS greetings with a server name, HTTP requests with a host and all
     HTTP responses. Owners come from flows remembered up to a minute; responses have none.
 
-    `meta`: host, ts, seq, kind, is_response, domain, local_port, remote_ip, remote_port,
+    `meta`: tenant_id, host, ts, seq, kind, is_response, domain, local_port, remote_ip, remote_port,
     query_type, answers, tls_version, alpn, method, path, user_agent, status_code.
     """
-    keep = ["host", "ts", "seq"]
+    keep = ["tenant_id", "host", "ts", "seq"]
     blank = F.lit("")
 
     def filled(name):

@@ -35,22 +35,22 @@ def _kind() -> Column:
 
 
 def process_starts(raw: DataFrame) -> DataFrame:
-    """(host, ts, seq, pid, path) of every process start, for naming pids later."""
+    """(tenant_id, host, ts, seq, pid, path) of every process start, for naming pids later."""
     props = F.col("props")
     path = F.coalesce(F.nullif(prop(props, "ImagePath"), F.lit("")), prop(props, "ImageName"))
     return raw.where((F.col("provider") == "process") & (F.col("event_id") == PROCESS_START)
-                     ).select("host", "ts", "seq", positive_int(prop(props, "ProcessID"))
+                     ).select("tenant_id", "host", "ts", "seq", positive_int(prop(props, "ProcessID"))
                               .alias("pid"), path.alias("path"))
 
 
 def stop_count(raw: DataFrame) -> DataFrame:
     """Process ends are counted, not emitted."""
     return raw.where((F.col("provider") == "process") & (F.col("event_id") == PROCESS_STOP)
-                     ).groupBy("host").agg(F.count("*").alias("stops"))
+                     ).groupBy("tenant_id", "host").agg(F.count("*").alias("stops"))
 
 
 def parse_records(raw: DataFrame, watch_paths: list[str]) -> DataFrame:
-    """Events of one table (host, ts, seq, provider, event_id, header_pid, props).
+    """Events of one table (tenant_id, host, ts, seq, provider, event_id, header_pid, props).
 
     Rows that give no event leave before the shuffle. One as-of lookup then names the parent of
     a start and the owner of a connection or query, and one projection builds all kinds.
@@ -69,7 +69,7 @@ def parse_records(raw: DataFrame, watch_paths: list[str]) -> DataFrame:
         .when(_kind() == "network", positive_int(prop(props, "PID")))
         .when((_kind() == "dns") & (F.col("header_pid") > 0), F.col("header_pid")),
     }
-    keep = ["host", "ts", "seq"]
+    keep = ["tenant_id", "host", "ts", "seq"]
     c = {name: F.col(name) for name in fields}
     gives_event = (F.when(c["kind"] == "process", c["exe"] != "")
                    .when(c["kind"] == "network", is_public_ip(c["dest"]))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from endpointlens import scope
+from endpointlens.operators.dedup import latest_alerts
+from endpointlens.plans import alerts as alert_plans
 from endpointlens.plans import hosts, ops, topology
 from endpointlens.sources import ingest, store
 
@@ -95,6 +97,7 @@ def test_tables_round_trip_and_expire(spark, make_events, tmp_path):
     events = make_events([{"ts": NOW, "ingested_at": NOW}, {"ts": NOW, "ingested_at": NOW - 8 * day}])
     store.write_events(events, str(tmp_path / "e"))
     back = store.read_events(spark, str(tmp_path / "e"))
+    back = back.drop("event_date")
     assert sorted(back.collect()) == sorted(events.select(*back.columns).collect())
     store.expire_events(spark, str(tmp_path / "e"), str(tmp_path / "f"), NOW)
     assert store.read_events(spark, str(tmp_path / "f")).count() == 1
@@ -109,6 +112,24 @@ def test_scan_prunes_columns_and_pushes_filters(spark, make_events, tmp_path):
     assert "ReadSchema: struct<host:string,ts:bigint>" in plan
 
 
+def test_time_ranges_open_days_only(spark, make_events, tmp_path):
+    day = 86_400_000
+    store.write_events(make_events([{"ts": NOW}, {"ts": NOW - 3 * day}]), str(tmp_path / "e"))
+    rows = scope.time_range(store.read_events(spark, str(tmp_path / "e")), NOW - 5, NOW + 5, closed=True)
+    plan = rows.select("host")._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert filters.count("event_date") >= 2 and "GreaterThanOrEqual(ts" in plan and rows.count() == 1
+
+
+def test_alert_fold_is_pruned(spark, tmp_path):
+    spark.createDataFrame([], store.ALERT_TABLE).write.partitionBy("tenant_id", "event_date").parquet(str(tmp_path / "a"))
+    log = store.read_alert_log(spark, str(tmp_path / "a"))
+    rows = scope.time_range(latest_alerts(log, ["severity"]), NOW, NOW + 5, closed=False)
+    plan = alert_plans.by_severity(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "event_date" in plan[plan.index("PartitionFilters"):]
+    assert "matched" not in plan and "dest_ip" not in plan and "severity" in plan
+
+
 def test_registrable_domains(spark):
     names = ["api.example.co.kr", "db.corp.internal", "10.0.0.9", "co.kr", "a.b.example.com",
              "com", "Example.com"]

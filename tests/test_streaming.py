@@ -1,5 +1,6 @@
 """Arrival orders, silence and restarts of the streaming detector."""
 
+import glob
 import time
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from endpointlens.operators.rules import detect
 from endpointlens.streaming import tables
 from endpointlens.streaming.detect import judged_triggers
+from endpointlens.streaming.flows import flow_owner_stream
 
 from test_operators import download, execution
 
@@ -103,3 +105,58 @@ def test_noise_does_not_push_evidence_out(spark, make_events, feed):
     feed.run()
     assert feed.judged() == [(0, 0, False)]
     assert detect(make_events(rows)).where(F.col("rule_id") == "DOWNLOAD_AND_EXECUTE").count() == 1
+
+
+def test_busy_host_loses_nothing(spark, make_events, feed):
+    """More than 200 pieces of evidence and more than 50 waiting triggers, over three batches."""
+    def downloads(first, count):
+        return [download(NOW + first + 3 * i, dest_ip=f"203.0.113.{i % 250}") for i in range(count)]
+
+    def executions(first, count):
+        return [execution(NOW + first + 7 * i) for i in range(count)]
+
+    waves = [downloads(-60_000, 300) + executions(0, 70)[::-1], executions(500, 40) + downloads(-900, 250)[::-1],
+             [idle(NOW + 9000)]]
+    for wave in waves:
+        feed.put(*wave)
+        feed.run()
+    batch = detect(make_events([{**r, "seq": i} for i, r in enumerate(sum(waves, []))]))
+    want = sorted((r.ts - NOW, 0, False) for r in batch.where("rule_id = 'DOWNLOAD_AND_EXECUTE'").collect())
+    assert len(want) == 110 and feed.judged() == want
+
+
+def test_two_tenants_with_one_host_name(spark, make_events, folder):
+    rows = [download(NOW - 2000, tenant_id="1"), execution(NOW, tenant_id="2"), idle(NOW + 5000), {**idle(NOW + 5000), "tenant_id": "2"}]
+    make_events(rows).write.parquet(f"{folder}/in")
+
+    def fired(group):
+        events = tables.event_stream(spark, f"{folder}/in")
+        return tables.run_to_table(judged_triggers(events, group=group)).where("rule IS NOT NULL").count()
+
+    assert fired(("host",)) == 1 and fired(("tenant_id", "host")) == 0
+
+
+def test_flow_owners_out_of_order(spark, folder):
+    """A later flow must not answer an earlier lookup, nor an old one replace a newer; four batches."""
+    flow = "tenant_id string, host string, ts long, seq long, local_port int, remote_ip string, remote_port int, path string"
+    key = (40_000, "203.0.113.5", 443)
+    flows = [("1", "h", 90_000, 1, *key, "/old"), ("1", "h", 100_000, 0, *key, "/new"), ("2", "h", 50_000, 5, *key, "/other")]
+    asked = [("1", "h", 50_000, 10, *key, ""), ("1", "h", 95_000, 11, *key, ""), ("1", "h", 101_000, 12, *key, ""),
+             ("1", "h", 161_000, 13, *key, "")]
+    for n, wave in enumerate(([flows[1], asked[0]], [flows[0], asked[1]], [asked[2], flows[2]], [asked[3]])):
+        spark.createDataFrame(wave, flow).coalesce(1).write.mode("append").parquet(f"{folder}/flows")
+        time.sleep(0.05)
+
+    def read():
+        return spark.readStream.schema(flow).option("maxFilesPerTrigger", 1).parquet(f"{folder}/flows")
+
+    stream = flow_owner_stream(read().where("path = ''"), read().where("path <> ''"), grace=70_000, quiet=1500)
+    got = {r.seq: r.owner_path for r in tables.run_to_table(stream, settle_ms=2500).collect()}
+    assert got == {11: "/old", 12: "/new"}
+
+
+def test_runs_leave_no_checkpoint(spark, make_events, folder):
+    make_events([idle(NOW)]).write.parquet(f"{folder}/in")
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/endpointlens/streams/*/checkpoint"))
+    assert tables.run_to_table(tables.event_stream(spark, f"{folder}/in")).count() == 1
+    assert set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/endpointlens/streams/*/checkpoint")) == before
