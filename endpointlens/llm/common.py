@@ -11,6 +11,8 @@ from ..session import shared_folder
 
 #: Bytes and rows of one Arrow batch, so that a worker's memory does not follow the length of the texts.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
+#: Links from which on the minima of a round of `components` are stored before they are joined.
+STORED_LINKS = 1_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -42,6 +44,8 @@ def store(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes a table of `store` that nothing reads any more."""
+    if not hasattr(df, "_stored_at"):
+        return
     spark = df.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -67,10 +71,12 @@ def components(links: DataFrame) -> DataFrame:
     while mark[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select("lo", "hi"))
-        least = store(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        # Only large folds are worth a table of their own.
+        keep = store if mark[0] > STORED_LINKS else lambda folded: folded
+        least = keep(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = store(both.where("v > u").join(least, "u")
                       .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        lowest = store(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        lowest = keep(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = (large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .union(lowest.select("hi", "m")).distinct())
         after = store(small)

@@ -175,10 +175,15 @@ def similar(similarity: float) -> Column:
     a, b = F.col("words_a"), F.col("words_b")
     most = F.floor(F.greatest("length_a", "length_b") * F.lit(1 - similarity) + 1e-9).cast("int")
     apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda n, d: n + d)
-    head = same_from(a, b)
-    tail = F.least(same_from(F.reverse(a), F.reverse(b)), F.least(F.size(a), F.size(b)) - head)
-    core = [F.array_join(F.slice(x, head + 1, F.size(x) - head - tail), " ") for x in (a, b)]
-    aligned = F.call_function("levenshtein", *core, most) >= 0
+    def between(ends: Column) -> Column:
+        """Edits between the words that both begin with and those that both end with; -1 for too many."""
+        tail = F.least(ends["tail"], F.least(F.size(a), F.size(b)) - ends["head"])
+        core = [F.array_join(F.slice(x, ends["head"] + 1, F.size(x) - ends["head"] - tail), " ") for x in (a, b)]
+        return F.call_function("levenshtein", *core, most)
+
+    # A lambda binds the ends, so that they are looked for once.
+    ends = F.struct(same_from(a, b).alias("head"), same_from(F.reverse(a), F.reverse(b)).alias("tail"))
+    aligned = F.get(F.transform(F.array(ends), between), F.lit(0)) >= 0
     return (F.abs(F.col("length_a") - F.col("length_b")) <= most) & (((F.size(a) == F.size(b)) & (apart <= most)) | aligned)
 
 
