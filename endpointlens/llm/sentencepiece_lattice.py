@@ -22,6 +22,7 @@ before a text and reads the sign for blanks in a text as a blank, as the model d
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -126,6 +127,11 @@ def end_of(edge: Column) -> Column:
     return F.shiftright(edge, 20).bitwiseAND(F.lit(63))
 
 
+def bound(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
 
@@ -142,8 +148,8 @@ def merged(edges: Column, size: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         mask = state["mask"]
         fit = F.filter(state["joins"], lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
-        best = F.array_min(fit)
-        return F.struct(F.when(best.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(best["inner"]))).alias("mask"), state["joins"].alias("joins"))
+        kept = bound(F.array_min(fit), lambda best: F.when(best.isNull(), mask).otherwise(mask.bitwiseAND(F.bitwise_not(best["inner"]))))
+        return F.struct(kept.alias("mask"), state["joins"].alias("joins"))
 
     start = F.struct((bit(size + 1) - 1).alias("mask"), joins.alias("joins"))
     turns = F.when(F.size(joins) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)))
@@ -159,17 +165,20 @@ def spelled(char: Column, model: Model) -> Column:
 
 
 def ids_of_bounds(edges: Column, mask: Column, word: Column, size: Column, model: Model) -> Column:
-    places = F.filter(F.sequence(F.lit(0), size), lambda i: mask.bitwiseAND(bit(i)) != 0)
-    spans = F.transform(F.sequence(F.lit(1), F.size(places) - 1), lambda k: F.struct(
-        F.element_at(places, k).alias("b"), F.element_at(places, k + 1).alias("e")))
+    def of(begin: Column, end: Column) -> Column:
+        edge = F.filter(edges, lambda x: (begin_of(x) == begin) & (end_of(x) == end))
+        return bound(edge, lambda e: F.when(F.size(e) > 0, F.array(F.get(e, F.lit(0)).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))).otherwise(
+            spelled(F.substring(word, begin + 1, F.lit(1)), model)))
 
-    def of(span: Column) -> Column:
-        edge = F.filter(edges, lambda x: (begin_of(x) == span["b"]) & (end_of(x) == span["e"]))
-        number = F.get(edge, F.lit(0)).bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-        return F.when(F.size(edge) > 0, F.array(number)).otherwise(
-            spelled(F.substring(word, span["b"] + 1, F.lit(1)), model))
+    def places(m: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), size), lambda i: m.bitwiseAND(bit(i)) != 0)
 
-    return F.flatten(F.transform(spans, of))
+    def ids(at: Column) -> Column:
+        ends = F.slice(at, F.lit(2), F.size(at))
+        starts = F.slice(at, F.lit(1), F.size(at) - 1)
+        return F.flatten(F.zip_with(starts, ends, of))
+
+    return bound(mask, lambda m: bound(places(m), ids))
 
 
 def viterbi(edges: Column, word: Column, size: Column, model: Model) -> Column:
@@ -229,8 +238,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     size, short = F.char_length("word"), F.char_length("word") <= FOLDED
     edged = lattice(words.where(short) if model.kind == BPE else words, model)
     if model.kind == BPE:
-        folded = edged.withColumn("mask", merged(F.col("edges"), size))
-        ids = ids_of_bounds(F.col("edges"), F.col("mask"), F.col("word"), size, model)
+        folded, ids = edged, ids_of_bounds(F.col("edges"), merged(F.col("edges"), size), F.col("word"), size, model)
     else:
         folded, ids = edged, viterbi(F.col("edges"), F.col("word"), size, model)
     out = folded.select("hash", "n", ids.alias("ids"))
@@ -362,21 +370,11 @@ def encode(docs: DataFrame, model: Model, text_column: str = "text", most: int =
 
 def decode(encoded: DataFrame, model: Model, name: str = "decoded") -> DataFrame:
     """The rows with the text of their `ids`; bytes that are no UTF-8 become replacement characters."""
-    ready(encoded.sparkSession)
     names = [c for c in encoded.columns if c != name]
-    kept = encoded.select(*[F.col(f"`{c}`") for c in names])
     table: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces}
     table |= {i: bytes([b]) for b, i in enumerate(model.bytes) if i != model.unknown}
-    spelling = [table.get(i, b"") for i in range(max(table) + 1)]
-
-    def text(ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        return b"".join([spelling[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(names.index("ids"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py()) for x in lists], pa.string())], names=[*names, name])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.StringType())]))
+    # One constant array of all pieces' bytes in hex, as large as the model.
+    spelling = F.from_json(F.lit(json.dumps([table.get(i, b"").hex() for i in range(max(table) + 1)])), "array<string>")
+    joined = F.array_join(F.transform("ids", lambda i: F.element_at(spelling, i + 1)), "")
+    text = F.make_valid_utf8(F.unhex(joined).cast("string"))
+    return encoded.select(*[F.col(f"`{c}`") for c in names], F.regexp_replace(text, "^ ", "").alias(name))
