@@ -97,15 +97,13 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     ranks = model.ranks()
     # The piece table is as large as the model file, and no larger.
     pieces = spark.createDataFrame([(p, i, float(s), ranks[p]) for p, i, s in model.pieces], "piece string, id int, score double, rank int")
-    size = F.char_length("word")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda b: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(model.longest), size - b + 1)),
-        lambda n: F.struct((b - 1).alias("begin"), (b - 1 + n).alias("end"), F.substring("word", b, n).alias("piece")))))
     # Words are dealt out once, so that grouping their edges moves nothing; only the first edge of
     # a word carries it, so that the rows to be grouped stay small.
     first = F.col("end") == 1
-    spread = (words.withColumn("hash", F.xxhash64("word")).repartition("hash")
-              .select("hash", "word", "n", F.explode(parts).alias("s")).select("hash", "word", "n", "s.*"))
+    dealt = words.select(F.xxhash64("word").alias("hash"), "word", "n", F.char_length("word").alias("size")).repartition("hash")
+    begun = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("begin"))
+    ended = begun.select("*", F.explode(F.sequence(F.col("begin") + 1, F.least(F.col("size"), F.col("begin") + model.longest))).alias("end"))
+    spread = ended.select("hash", "word", "n", "begin", "end", F.substring("word", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("piece"))
     edge = packed() if model.kind == BPE else F.struct("begin", "end", "id", "score")
     rows = spread.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | first).select(
         "hash", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("n")).alias("n"),
