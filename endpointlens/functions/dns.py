@@ -18,13 +18,6 @@ def is_reverse_name(name: Column) -> Column:
     return name.rlike(r"(^|\.)(in-addr|ip6)\.arpa$")
 
 
-def is_valid_domain(c: Column) -> Column:
-    label = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_-]{0,61}[\p{L}\p{N}_])?"
-    shape = c.rlike(rf"^(?:{label}\.)*{label}$") & (F.length(c) <= 253)
-    # The last label must not start with a digit.
-    return F.coalesce(shape & ~c.rlike(r"(^|\.)[0-9][^.]*$"), F.lit(False))
-
-
 def query_type_label(raw: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in QUERY_TYPES.items() for x in kv])
     number = F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("int"))

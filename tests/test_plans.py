@@ -103,6 +103,14 @@ def test_tables_round_trip_and_expire(spark, make_events, tmp_path):
     assert store.read_events(spark, str(tmp_path / "f")).count() == 1
 
 
+def test_old_alert_versions_expire(spark, tmp_path):
+    day = 86_400_000
+    rows = [(f"a{n}", "1", "h", "R", "T1", "LOW", "log", NOW, ["x"], "", "", "", n, NOW - n * day, None) for n in (0, 89, 91)]
+    store.write_alerts(spark.createDataFrame(rows, store.ALERT_TABLE), str(tmp_path / "a"))
+    store.expire_alerts(spark, str(tmp_path / "a"), str(tmp_path / "b"), NOW)
+    assert sorted(r.id for r in store.read_alerts(spark, str(tmp_path / "b")).collect()) == ["a0", "a89"]
+
+
 def test_scan_prunes_columns_and_pushes_filters(spark, make_events, tmp_path):
     store.write_events(make_events([{"tenant_id": "1"}, {"tenant_id": "2"}]), str(tmp_path / "e"))
     df = scope.tenant_scope(store.read_events(spark, str(tmp_path / "e")), "2")
