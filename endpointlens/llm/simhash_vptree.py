@@ -18,6 +18,7 @@ component whose ids are all null has a null `component_id`. Other columns are no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,28 +37,36 @@ SAMPLE, SHARD = 1 << 16, 2048
 OWN_BLOCK, VISIT_BLOCK = 4096, 32768
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one text as a signed 64-bit integer.
-
-    ASCII letters are folded to lower case; words are runs of bytes other than ASCII blanks;
-    shingles keep their repeats. A bit is set if more than half of the hashes have it.
-    """
-    words = (text or b"").lower().split()
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes (uint64) of the runs of `shingle` words, repeats included; a shorter text is one run."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, len(words))
     n = len(words) - width + 1
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash64(joined[a:b], SEED) for a, b in
-                          zip(begins[:n].tolist(), ends[width - 1:].tolist())), np.uint64, n)
+    return np.fromiter((hash64(joined[a:b], SEED) for a, b in
+                        zip(begins[:n].tolist(), ends[width - 1:].tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit integer of the bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text as a signed 64-bit integer.
+
+    ASCII letters are folded to lower case; words are runs of bytes other than ASCII blanks;
+    shingles keep their repeats. A bit is set if more than half of the hashes have it.
+    """
+    return majority(shingle_hashes((text or b"").lower().split(), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id",
@@ -168,7 +177,6 @@ def near_links(prints: DataFrame, *radii: int, shard: int = SHARD, sample: int =
                own_block: int = OWN_BLOCK, visit_block: int = VISIT_BLOCK) -> DataFrame:
     """Links (a, b, distance) between distinct fingerprints `fp` that give the same components as
     all pairs within the largest radius; closer radii are joined first. Only the bounded sample and one count for each block reach the driver."""
-    spark = prints.sparkSession
     total = prints.count()
     drawn = (prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow()
              .column("fp").to_numpy().astype(np.int64).view(np.uint64))
@@ -217,64 +225,115 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(named, "fp").select(id_column, "fp", "component_id")
 
 
-#: For one document of each group: shingle, distance that needs no check, widest distance, similarity.
-WORDS, SURE, WIDE, SIMILARITY = 5, 3, 10, 0.8
+#: For one document of each group: shingle, bits of the links that join clusters of copies first, similarity.
+WORDS, SURE, SIMILARITY = 5, 3, 0.8
+#: Texts whose shingles are counted to order the others' by, least count of a frequent one, and how many of them are kept.
+COUNTED, FREQUENT, KEPT = 2000, 3, 1 << 18
+
+
+def signatures(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, id, body, fp, size, tokens) of rows (key, id, text): hash of the words, fingerprint,
+    number of distinct shingles, and the shingles of which texts that are similar enough share one.
+
+    Of n shingles a similar text holds at least similarity x n, so it misses fewer than there are
+    tokens. That needs one order of all shingles, whichever: those frequent in a bounded count come
+    last, so that a passage of many texts is seldom a token.
+    """
+    every = max(1, rows.count() // COUNTED)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.xxhash64("text").alias("fp"), "text").dropDuplicates(["fp"])
+    counts = (shingle_sets(some).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(KEPT).orderBy("shingle").toArrow())
+    frequent, often = (counts.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, prints, sizes, tokens = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                words = (text or b"").lower().split()
+                hashes = shingle_hashes(words, WORDS)
+                known = np.unique(hashes).view(np.int64)
+                n = len(known)
+                count = np.zeros(n, np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, known), len(frequent) - 1)
+                    count = np.where(frequent[at] == known, often[at], 0)
+                order = np.lexsort((known, count))[:n - math.ceil(similarity * n - 1e-9) + 1]
+                bodies.append(xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63))
+                prints.append(majority(hashes))
+                sizes.append(n)
+                tokens.append(known[order])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bodies, pa.int64()), pa.array(prints, pa.int64()),
+                 pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "id", "body", "fp", "size", "tokens"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("key", "id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, f"key long, id {kind}, body long, fp long, size int, tokens array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     """(fp, shingles) of texts (fp, text): the distinct hashes of their shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in batch.column(1).to_pylist():
-                words = (text or b"").lower().split()
-                width = min(shingle, len(words)) or 1
-                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(words[i:i + width]), SEED) - (1 << 63)
-                                    for i in range(len(words) - width + 1)}))
+            sets = [np.unique(shingle_hashes((text or b"").lower().split(), shingle)).view(np.int64) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
 
     return docs.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
 
 
-def groups_of_similar(docs: DataFrame, similarity: float = SIMILARITY, **tuning: int) -> DataFrame:
-    """(fp, root) of the documents (fp, text) that belong with others: links of at most SURE bits
-    count as they are, wider ones join groups only if the texts' shingles are similar enough.
-
-    SURE is so small that even among billions of unrelated texts hardly any pair is that close.
-    """
-    spark = docs.sparkSession
-    distinct = store(docs.groupBy("fp").agg(F.min(F.xxhash64("text")).alias("mark")))
-    links = store(near_links(distinct, SURE, WIDE, **tuning).distinct())
-    sure = links.where(F.col("distance") <= SURE).select("a", "b")
-    roots = store(components(sure))
-
-    def rooted(rows: DataFrame, side: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        return rows.join(named, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
-
-    wide = rooted(rooted(links.where(F.col("distance") > SURE), "a"), "b").where("a_root <> b_root")
-    asked = store(wide.select("a", "b").distinct())
-    needed = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp")
-    texts = docs.join(needed, "fp").where(F.xxhash64("text") == F.col("mark")).dropDuplicates(["fp"])
-    sets = store(shingle_sets(texts))
+def alike(pairs: DataFrame, signed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) of bodies whose shingles' Jaccard similarity is large enough."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct()
+    keys = signed.join(needed, "body").groupBy("body").agg(F.min("key").alias("key"))
+    texts = rows.select("key", "text").join(keys, "key").dropDuplicates(["body"])
+    sets = store(shingle_sets(texts.select(F.col("body").alias("fp"), "text")))
     one, other = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = asked.join(one, "a").join(other, "b").where(
-        both >= similarity * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
-    return components(sure.union(alike)).select(F.col("node").alias("fp"), "root")
+    # One lambda binds the common shingles, so that they are counted once.
+    enough = F.get(F.transform(F.array(both), lambda n: n >= similarity * (F.size("set_a") + F.size("set_b") - n) - 1e-9), F.lit(0))
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
+
+
+def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, **tuning: int) -> DataFrame:
+    """(body, root) of the bodies in `signed` that belong with others: links of at most SURE bits,
+    and pairs with enough shingles in common, close transitively.
+
+    Texts that share a token are first compared with the smallest and the largest body of the token
+    only; after that, every pair of a token whose groups still differ is.
+    """
+    prints = store(signed.groupBy("fp").agg(F.min("body").alias("body")))
+    close = near_links(prints, SURE, **tuning).select("a", "b")
+    copies = signed.select("fp", F.col("body").alias("b")).join(prints, "fp").select(F.col("body").alias("a"), "b").where("a <> b")
+    sure = store(close.join(prints.toDF("a", "one"), "a").join(prints.toDF("b", "other"), "b").select(
+        F.col("one").alias("a"), F.col("other").alias("b")).union(copies).distinct())
+
+    dealt = signed.select("body", "size", F.explode("tokens").alias("token"))
+    ends = store(dealt.groupBy("token").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high"))
+    shared = store(dealt.join(ends.select("token"), "token").distinct())
+    star = shared.join(ends, "token").select(F.explode(F.array("low", "high")).alias("a"), F.col("body").alias("b")).where("a <> b")
+    first = store(alike(store(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), signed, rows, similarity).union(sure))
+
+    owned = shared.join(components(first).withColumnRenamed("node", "body"), "body", "left").withColumn("own", F.coalesce("root", "body"))
+    mixed = owned.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("token")
+    open_ = store(owned.join(mixed, "token").select("token", "body", "size", "own"))
+    one, other = open_.toDF("token", "a", "size_a", "own_a"), open_.toDF("token", "b", "size_b", "own_b")
+    across = store(one.join(other, "token").where("a < b AND own_a <> own_b").where(
+        F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9).select("a", "b").distinct())
+    links = first.union(alike(across, signed, rows, similarity))
+    return components(links).select(F.col("node").alias("body"), "root")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **tuning: int) -> DataFrame:
     """The rows without near duplicates, with the columns they came with: of every group, and of
-    repeated rows, the one with the smallest id stays (a null id comes last)."""
+    repeated rows, the one with the smallest id stays (a null id comes last). Texts of the same
+    words are equal, those without words too."""
     names = docs.columns
     key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), key.alias("key"), F.col(f"`{text_column}`").alias("text"))
-    prints = store(fingerprints(rows.select(F.col("key").alias("id"), "text"), WORDS, "id", "text").select(F.col("id").alias("key"), "fp"))
-    named = store(rows.join(prints.distinct(), "key").select("key", "id", "fp", "text"))
-    grouped = groups_of_similar(named.select("fp", "text"), **tuning)
+    signed = store(signatures(rows))
+    grouped = groups_of_similar(signed, rows, **tuning)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    first = named.select("key", "id", "fp").join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = signed.select("key", "id", "body").join(grouped, "body", "left").withColumn("root", F.coalesce("root", "body"))
     kept = store(first.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("kept_key")))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("kept_key"))
     once = whole.join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"])

@@ -112,3 +112,36 @@ def test_unlike_texts_stay(spark):
     # Whoever went has a similar text; whoever is like nothing else stayed.
     assert all(any(alike(i, j) for j in range(40) if j != i) for i in range(40) if i not in kept)
     assert {i for i in range(40) if not any(alike(i, j) for j in range(40) if j != i)} <= kept
+
+
+def family(rng, base, most):
+    """Texts that differ from one base in up to `most` words each, unlike sizes included."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for i in range(60):
+        changed = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(0, most)):
+            changed[at] = word()
+        rows.append((i, " ".join(changed)))
+    return rows
+
+
+def firsts(rows, similarity=0.8):
+    """Smallest id of every group, by comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {rows[r][0] for r in root}
+
+
+def test_links_that_fail_hide_no_others(spark):
+    """Among texts of one template most near fingerprints fail the check; the true links between them must survive."""
+    rng = random.Random(12)
+    rows = family(rng, ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)], 9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in vp.one_of_each(docs).collect()} == firsts(rows)
+    assert 1 < len(firsts(rows)) < 60
