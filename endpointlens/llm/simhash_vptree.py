@@ -295,8 +295,8 @@ def alike(pairs: DataFrame, signed: DataFrame, rows: DataFrame, similarity: floa
 
 
 def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, **tuning: int) -> DataFrame:
-    """(body, root) of the bodies in `signed` that belong with others: links of at most SURE bits,
-    and pairs with enough shingles in common, close transitively.
+    """(body, root) of the bodies in `signed` that belong with others: pairs with enough shingles in
+    common, close transitively. Fingerprints only propose pairs; equal ones are checked too.
 
     Texts that share a token are first compared with the smallest and the largest body of the token
     only; after that, every pair of a token whose groups still differ is.
@@ -305,13 +305,14 @@ def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SI
     close = near_links(prints, SURE, **tuning).select("a", "b")
     copies = signed.select("fp", F.col("body").alias("b")).join(prints, "fp").select(F.col("body").alias("a"), "b").where("a <> b")
     sure = store(close.join(prints.toDF("a", "one"), "a").join(prints.toDF("b", "other"), "b").select(
-        F.col("one").alias("a"), F.col("other").alias("b")).union(copies).distinct())
+        F.col("one").alias("a"), F.col("other").alias("b")).union(copies))
 
     dealt = signed.select("body", "size", F.explode("tokens").alias("token"))
     ends = store(dealt.groupBy("token").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high"))
     shared = store(dealt.join(ends.select("token"), "token").distinct())
     star = shared.join(ends, "token").select(F.explode(F.array("low", "high")).alias("a"), F.col("body").alias("b")).where("a <> b")
-    first = store(alike(store(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), signed, rows, similarity).union(sure))
+    asked = store(star.union(sure).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = store(alike(asked, signed, rows, similarity))
 
     owned = shared.join(components(first).withColumnRenamed("node", "body"), "body", "left").withColumn("own", F.coalesce("root", "body"))
     mixed = owned.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("token")

@@ -145,3 +145,14 @@ def test_links_that_fail_hide_no_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in vp.one_of_each(docs).collect()} == firsts(rows)
     assert 1 < len(firsts(rows)) < 60
+
+
+def test_near_fingerprints_are_checked(spark, monkeypatch):
+    """However near the fingerprints, even equal ones: texts below the similarity stay, those at it go."""
+    rng = random.Random(21)
+    rows = family(rng, ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(120)], 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(vp, "SURE", 24)
+    assert {r.doc_id for r in vp.one_of_each(docs).collect()} == firsts(rows)
+    monkeypatch.setattr(vp, "majority", lambda hashes: 5)
+    assert {r.doc_id for r in vp.one_of_each(docs).collect()} == firsts(rows)
