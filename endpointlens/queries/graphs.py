@@ -116,6 +116,32 @@ def alert_lineage_edges(spark, d):
     return _around(spark, d)[1]
 
 
+_EVERY = _AROUND.replace("""ts AS mid, id AS graph_id FROM alerts
+  QUALIFY row_number() OVER (PARTITION BY tenant_id, host ORDER BY ts DESC, id DESC) = 1)""",
+                         "ts AS mid, min(id) AS graph_id FROM alerts GROUP BY tenant_id, host, ts)")
+
+
+def _around_every(spark, d):
+    """Lineage of every alert; alerts of one host and time share a graph."""
+    near = lineage.events_around(fx.alerts(spark, d), fx.telemetry(spark, d))
+    return lineage.build_graph(near, ["graph_id"])
+
+
+@query("every_alert_lineage_nodes", f"WITH {_EVERY} SELECT graph_id, node_id, kind, label, ts, seq, step FROM gnodes")
+def every_alert_lineage_nodes(spark, d):
+    return _around_every(spark, d)[0]
+
+
+@query("every_alert_lineage_edges", f"WITH {_EVERY} SELECT * FROM gedges")
+def every_alert_lineage_edges(spark, d):
+    return _around_every(spark, d)[1]
+
+
+@query("every_alert_lineage_members", f"WITH {_EVERY} SELECT a.id, p.graph_id FROM alerts a JOIN picked p ON a.tenant_id = p.tenant_id AND a.host = p.host AND a.ts = p.mid")
+def every_alert_lineage_members(spark, d):
+    return lineage.graph_members(fx.alerts(spark, d))
+
+
 # --- Correlation -----------------------------------------------------------------------------
 
 _FILL = """need AS (SELECT *, json_extract_string(detail, '$.answers[0]') AS ans FROM telemetry WHERE type = 'dns' AND trim(process) = ''),

@@ -329,3 +329,17 @@ def test_own_sequence_rule(make_events):
                           {"cmdline": "/etc/x", "ts": 500}])
     got = detect(events, lookback=100, sequence_rules=(rule,), point_rules=())
     assert [(r.rule_id, r.ts, r.action) for r in got.collect()] == [("SCRIPT_THEN_WRITE", 50, "notify")]
+
+
+def test_lineage_of_every_alert(spark, make_events):
+    """Two alerts of a host apart by more than the window have a graph each; alerts of one time share it."""
+    alerts = spark.createDataFrame([("1", "h1", 1_000_000, "b"), ("1", "h1", 1_000_000, "a"), ("1", "h1", 9_000_000, "c")],
+                                   "tenant_id string, host string, ts long, id string")
+    events = make_events([{"ts": ts, "process": p, "parent": "sh"} for ts, p in
+                          ((699_999, "early"), (700_000, "one"), (1_300_000, "two"), (9_000_000, "three"))])
+    nodes, _ = lineage.build_graph(lineage.events_around(alerts, events), ["graph_id"])
+    assert {(r.graph_id, r.label) for r in nodes.collect()} == {
+        ("a", "one"), ("a", "two"), ("a", "sh"), ("c", "three"), ("c", "sh")}
+    assert {tuple(r) for r in lineage.graph_members(alerts).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    import __spark_entry__ as entry
+    assert {f"every_alert_lineage_{x}" for x in ("nodes", "edges", "members")} <= set(entry.queries())
