@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (language_id, line_dedup, pii, qgram_filter, sentencepiece_lattice, simhash_vptree,
+from . import (filter_audit, language_id, line_dedup, pii, qgram_filter, sentencepiece_lattice, simhash_vptree,
                toxicity, url_filter, va_file, warc)
 from .common import new_folder, table
 
@@ -109,3 +109,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+@query("op12_filter_interaction_audit", r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [
+      len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+      100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM texts LEFT JOIN marks USING (doc_id)),
+docs AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, f),
+one AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)) AS t(l, i)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o
+  FROM one a, one b, one c, one d, one e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+seen AS (
+  SELECT part, filter_order, step, o[step] AS filter, n, good, toxic, f[o[step]] AS failing,
+         len(list_filter(o[1:step - 1], lambda i: f[i])) > 0 AS earlier,
+         len(list_filter(f, lambda x: x)) = 1 AND f[o[step]] AS alone
+  FROM docs, steps),
+totals AS (
+  SELECT part, filter_order, step, filter,
+         coalesce(sum(n) FILTER (NOT failing AND NOT earlier), 0) AS kept,
+         coalesce(sum(n) FILTER (failing AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (failing AND earlier), 0) AS redundant,
+         coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (failing AND NOT earlier), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (failing AND NOT earlier), 0) AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM totals""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
