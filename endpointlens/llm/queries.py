@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (filter_audit, language_id, line_dedup, pii, qgram_filter, sentencepiece_lattice, simhash_vptree,
+from . import (filter_audit, heap_kmeans, language_id, line_dedup, pii, qgram_filter, sentencepiece_lattice, simhash_vptree,
                toxicity, url_filter, va_file, warc)
 from .common import new_folder, table
 
@@ -110,6 +110,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+def _kmeans_sql(k: int = 8, rounds: int = 10) -> str:
+    """Every round as plain scans of all pairs of a vector and a centroid."""
+    parts = [r"""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c
+  FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, j, c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id, v ORDER BY d, j) AS place FROM (
+      SELECT vec_id, v, j, c, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+      FROM v, c{r}))
+  WHERE place = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.j, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM (
+      SELECT j, pos, sum(x) AS s, count(*) AS n
+      FROM (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM a{r}) GROUP BY j, pos)
+    GROUP BY j) AS m USING (j))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds}"""
+
+
+@query("op11_centroid_clustering", _kmeans_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vector = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
+    kept = table(spark, sf_dir, "embeddings").where((F.size("embedding") == 64) & fit)
+    return heap_kmeans.cluster(kept.select("vec_id", vector.alias("vector")))
+
+
 @query("op12_filter_interaction_audit", r"""
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
