@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (filter_audit, heap_kmeans, language_id, line_dedup, pii, qgram_filter, sentencepiece_lattice, simhash_vptree,
-               toxicity, url_filter, va_file, warc)
+from . import (filter_audit, heap_kmeans, language_id, line_dedup, pii, qgram_filter, recompression, sentencepiece_lattice,
+               simhash_vptree, toxicity, url_filter, va_file, warc)
 from .common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,23 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM totals""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+@query("op13_substring_dedup", r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS w FROM places),
+gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS least FROM windows) WHERE doc_id > least),
+covered AS (
+  SELECT doc_id, list(k) AS ks FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM gone) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, words, CASE WHEN ks IS NULL THEN words
+         ELSE list_filter(words, lambda w, k: NOT list_contains(ks, k)) END AS left_words
+  FROM texts LEFT JOIN covered USING (doc_id))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(left_words) AS BIGINT) AS n_removed,
+       sha256(array_to_string(left_words, ' ')) AS kept_sha256
+FROM kept""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
