@@ -26,6 +26,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import store
+
 BLANKS = r"[\x20\x09-\x0D]+"
 MEASURES = ("n", "good", "toxic")
 
@@ -99,6 +101,8 @@ def audit(counts: DataFrame, letters: str = "ABCDE") -> DataFrame:
     `counts` has a row for each part and mask with `n`, `good` and `toxic`.
     """
     spark = counts.sparkSession
+    # A few rows for each part, read by two branches below.
+    counts = store(counts)
     reach = F.broadcast(spark.createDataFrame(intervals(letters), "mask int, step int, lo int, hi int"))
     signed = [F.struct(F.col(at).alias("rank"), *[(F.col(m) * sign).alias(m) for m in MEASURES])
               for at, sign in (("lo", 1), ("hi", -1))]
