@@ -102,8 +102,7 @@ def _around(spark, d):
     """Lineage of the newest alert of every host."""
     newest = fx.alerts(spark, d).groupBy("tenant_id", "host").agg(
         F.max(F.struct("ts", "id")).alias("a")).select("tenant_id", "host", "a.ts", "a.id")
-    near = lineage.events_around(newest, fx.telemetry(spark, d))
-    return lineage.build_graph(near, ["graph_id"])
+    return lineage.window_graphs(newest, fx.telemetry(spark, d))
 
 
 @query("alert_lineage_nodes", f"WITH {_AROUND} SELECT graph_id, node_id, kind, label, ts, seq, step FROM gnodes")
@@ -123,8 +122,7 @@ _EVERY = _AROUND.replace("""ts AS mid, id AS graph_id FROM alerts
 
 def _around_every(spark, d):
     """Lineage of every alert; alerts of one host and time share a graph."""
-    near = lineage.events_around(fx.alerts(spark, d), fx.telemetry(spark, d))
-    return lineage.build_graph(near, ["graph_id"])
+    return lineage.window_graphs(fx.alerts(spark, d), fx.telemetry(spark, d))
 
 
 @query("every_alert_lineage_nodes", f"WITH {_EVERY} SELECT graph_id, node_id, kind, label, ts, seq, step FROM gnodes")

@@ -337,9 +337,51 @@ def test_lineage_of_every_alert(spark, make_events):
                                    "tenant_id string, host string, ts long, id string")
     events = make_events([{"ts": ts, "process": p, "parent": "sh"} for ts, p in
                           ((699_999, "early"), (700_000, "one"), (1_300_000, "two"), (9_000_000, "three"))])
-    nodes, _ = lineage.build_graph(lineage.events_around(alerts, events), ["graph_id"])
+    nodes, _ = lineage.window_graphs(alerts, events)
     assert {(r.graph_id, r.label) for r in nodes.collect()} == {
         ("a", "one"), ("a", "two"), ("a", "sh"), ("c", "three"), ("c", "sh")}
     assert {tuple(r) for r in lineage.graph_members(alerts).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
     import __spark_entry__ as entry
     assert {f"every_alert_lineage_{x}" for x in ("nodes", "edges", "members")} <= set(entry.queries())
+
+
+@pytest.mark.parametrize("low,high", [(0, 0), (3, 4), (0, 64), (5, 77), (63, 65), (1, 128), (1000, 1061), (64, 128)])
+def test_dyadic_cells_cover_a_window_once(spark, low, high):
+    cells = spark.range(1).select(lineage._cells(F.lit(low).cast("long"), F.lit(high).cast("long"), 5).alias("c")).first().c
+    covered = sorted(i for c in cells for i in range(c["cell"] << c["level"], (c["cell"] + 1) << c["level"]))
+    assert covered == list(range(low, high))
+    assert len(cells) <= 2 * 5 + max(0, (high - low) >> 5)
+
+
+@pytest.mark.parametrize("window", [1, 40, 1000])
+def test_window_graphs_equal_the_events_of_each_window(spark, make_events, window):
+    """Dense alerts on a busy host, windows that begin before time zero, repeated times and ids."""
+    rng = random.Random(window)
+    rows = [{"host": rng.choice(["busy", "busy", "busy", "calm"]), "ts": rng.randint(0, 2500),
+             "type": rng.choice(["process", "network", "file"]), "process": rng.choice(["a", "b", "", "c"]),
+             "parent": rng.choice(["a", "p", ""]), "dest_ip": rng.choice(["", "1.1.1.1", "2.2.2.2"]), "dest_port": 443,
+             "detail": rng.choice(["", '{"pid":1,"ppid":2}', '{"pid":3}'])} for _ in range(300)]
+    events = make_events(rows)
+    spots = [(f"a{i}", "1", rng.choice(["busy", "calm", "none"]), rng.randint(0, 2600)) for i in range(60)]
+    alerts = spark.createDataFrame([*spots, ("a00", *spots[0][1:])], "id string, tenant_id string, host string, ts long")
+    graphs = {(s[2], s[3]): min(t[0] for t in [*spots, ("a00", *spots[0][1:])] if t[2:] == s[2:]) for s in spots}
+    near = None
+    for (host, at), graph in graphs.items():
+        some = events.where((F.col("host") == host) & F.col("ts").between(max(at - window, 0), at + window)).withColumn("graph_id", F.lit(graph))
+        near = some if near is None else near.unionByName(some)
+    near = spark.createDataFrame(near.collect(), near.schema)
+    for got, want in zip(lineage.window_graphs(alerts, events, window), lineage.build_graph(near, ["graph_id"])):
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in want.collect()}
+
+
+def test_a_window_does_not_copy_every_event(spark, make_events):
+    """One process told of a thousand times: many alerts near it read its folds, not its events."""
+    events = make_events([{"ts": i * 600, "process": "p", "parent": "q"} for i in range(1000)])
+    alerts = spark.createDataFrame([(f"a{i}", "1", "h1", 150_000 + i * 600) for i in range(500)], "id string, tenant_id string, host string, ts long")
+    width = 1 << (2 * 300_000 // lineage.FINEST).bit_length() - 1
+    spots = lineage._windows(alerts, 300_000, width, 6)
+    asked = spots.agg(F.sum(F.size("whole")), F.sum(F.size("cut"))).first()
+    assert asked[0] <= 500 * 13 and asked[1] <= 500 * 2
+    nodes, _ = lineage.window_graphs(alerts, events)
+    assert nodes.count() == 1000
