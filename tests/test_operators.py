@@ -9,6 +9,7 @@ from endpointlens.operators import correlation, incidents, lineage
 from endpointlens.operators.asof import asof_join
 from endpointlens.operators.dedup import latest_alerts
 from endpointlens.operators.rules import SequenceRule, detect
+from endpointlens.operators import scan
 from endpointlens.operators.scan import cooldown, running_max
 from endpointlens.operators.source_event import summary_key, with_source_event
 from endpointlens.sources.store import ALERT_TABLE
@@ -385,3 +386,49 @@ def test_a_window_does_not_copy_every_event(spark, make_events):
     assert asked[0] <= 500 * 13 and asked[1] <= 500 * 2
     nodes, _ = lineage.window_graphs(alerts, events)
     assert nodes.count() == 1000
+
+
+def test_composed_steps_equal_a_walk():
+    """Any tree of chunks, any incoming state it can meet, times in and out of order."""
+    rng = random.Random(3)
+    for trial in range(300):
+        window = rng.choice([1, 5, 40])
+        rows, now = [], 0
+        for _ in range(rng.randint(2, 40)):
+            now += rng.randint(0, 9)
+            rows.append((max(0, now - rng.choice([0, 0, 0, rng.randint(0, 60)])), rng.random() < 0.8))
+        cuts = sorted(rng.sample(range(1, len(rows)), min(len(rows) - 1, rng.randint(1, 6))))
+        chunks = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        reach, steps = max(t for t, _ in chunks[0]), None
+        states = {scan._NONE, *(t for t, _ in chunks[0])}
+        for at, chunk in enumerate(chunks[1:], 1):
+            top = max(t for c in chunks[:at] for t, _ in c)
+            one = scan._reachable(scan._chunk_effect([t for t, _ in chunk], [o for _, o in chunk], window), top, window)
+            steps = one if steps is None else scan._reachable(scan._composed(steps, one, window), reach, window)
+        for last in states:
+            want = last
+            for t, o in (row for chunk in chunks[1:] for row in chunk):
+                if want == scan._NONE or t - want >= window:
+                    want = t if o else scan._NONE
+            assert scan._leaves(steps, last, window) == want
+
+
+def test_summaries_hold_one_window_of_steps():
+    """A key that sends every millisecond: however long the chunks, no summary outgrows the window."""
+    window, size = 50, 1000
+    chunk = lambda c: scan._reachable(scan._chunk_effect(
+        list(range(c * size, (c + 1) * size)), [True] * size, window), c * size - 1, window)
+    steps = chunk(1)
+    for c in range(2, 20):
+        steps = scan._reachable(scan._composed(steps, chunk(c), window), size - 1, window)
+        assert len(steps[0]) <= window + 2
+
+
+def test_cooldown_of_one_key_over_a_thousand_chunks(spark):
+    rng = random.Random(8)
+    rows = [("hot", i, i * 3 + rng.choice([0, 0, -5]), i % 11 != 0) for i in range(4000)] + [
+        ("calm", 4000, 7, True), ("twice", 1, 5, True), ("twice", 3999, 6, True)]
+    df = spark.createDataFrame(rows, "k string, seq long, ts long, ok boolean")
+    got = cooldown(df, ["k"], "seq", "ts", 40, "ok", chunk=4)
+    assert {(r.k, r.seq) for r in got.where("passed").collect()} == {
+        (k, seq) for k in ("hot", "calm", "twice") for seq in cooldown_by_hand([(seq, key, ts, ok) for key, seq, ts, ok in rows if key == k], 40)}
