@@ -159,14 +159,6 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
 
     longs, lists = pa.int64(), pa.list_(pa.int64())
 
-    # One row a chunk: how far earlier chunks have come, and whether the key has others.
-    tops = slim.groupBy("_key", "_chunk").agg(F.max("_ts").alias("_top"))
-    earlier = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = cut_lineage(tops.select("_key", "_chunk", F.max("_top").over(earlier).alias("_reach"),
-                                   (F.count(F.lit(1)).over(Window.partitionBy("_key")) > 1).alias("_many")))
-    several = tops.where("_many").drop("_many")
-    low, high = several.agg(F.min("_chunk"), F.max("_chunk")).first()
-
     def summarise(table: pa.Table) -> pa.Table:
         _, ts_list, ok_list = columns(table, "_order", "_ts", "_ok")
         reach = table.column("_reach")[0].as_py()
@@ -197,8 +189,14 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
         return pa.table({"_key": table.column("_key").slice(0, 1).combine_chunks().take(pa.array([0] * len(nodes))),
                          "_node": pa.array(nodes, longs), "_entry": pa.array(entry, longs)})
 
-    entries = tops.where("NOT _many").select("_key", "_chunk", F.lit(_NONE).alias("_entry"))
-    if low is not None:
+    def entered() -> DataFrame:
+        """The state in which every chunk of a key begins."""
+        # One row a chunk: how far earlier chunks have come, and whether the key has others.
+        tops = slim.groupBy("_key", "_chunk").agg(F.max("_ts").alias("_top"))
+        earlier = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        tops = cut_lineage(tops.select("_key", "_chunk", F.max("_top").over(earlier).alias("_reach"),
+                                       (F.count(F.lit(1)).over(Window.partitionBy("_key")) > 1).alias("_many")))
+        several, alone = tops.where("_many").drop("_many"), tops.where("NOT _many")
         levels = [cut_lineage(slim.join(several, ["_key", "_chunk"]).withColumn("_chunk", F.col("_chunk") - low)
                               .groupBy("_key", "_chunk").applyInArrow(summarise, summary))]
         parent = F.shiftright("_node", 1).alias("_parent")
@@ -210,7 +208,8 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
             state = (level.withColumn("_parent", parent).join(state, ["_key", "_parent"]).groupBy("_key", "_parent")
                      .applyInArrow(hand_down, f"_key {key_type}, _node bigint, _entry bigint")
                      .select("_key", F.col("_node").alias("_parent"), "_entry"))
-        entries = entries.unionByName(state.select("_key", (F.col("_parent") + low).alias("_chunk"), "_entry"))
+        return (alone.select("_key", "_chunk", F.lit(_NONE).alias("_entry"))
+                .unionByName(state.select("_key", (F.col("_parent") + low).alias("_chunk"), "_entry")))
 
     def judge(table: pa.Table) -> pa.Table:
         order_list, ts_list, ok_list = columns(table, "_order", "_ts", "_ok")
@@ -223,7 +222,10 @@ def cooldown(df: DataFrame, keys: list[str], order: str, ts: str, window: int,
             at = nxt[at]
         return answer(table, _hits=pa.array([hits], lists))
 
-    passed = (slim.join(entries, ["_key", "_chunk"]).groupBy("_key", "_chunk")
+    low, high = slim.agg(F.min("_chunk"), F.max("_chunk")).first()
+    # A single chunk is a tree without levels.
+    begun = slim.withColumn("_entry", F.lit(_NONE)) if low == high else slim.join(entered(), ["_key", "_chunk"])
+    passed = (begun.groupBy("_key", "_chunk")
               .applyInArrow(judge, f"_key {key_type}, _hits array<bigint>"))
     marks = passed.select("_key", F.explode("_hits").alias(order), F.lit(True).alias("passed"))
     return (df.join(marks, ["_key", order], "left")

@@ -1,50 +1,45 @@
 """Destinations by country."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import centroids
 from ..functions.net import ip_key, is_public_ip
 from ..functions.text import jtrim
-
-#: How the key of an IPv4 address begins.
-V4 = "0" * 20 + "ffff"
-
-
-def _block(key: Column) -> Column:
-    """Upper 16 bits of an IPv4 address, upper 32 of another, as hex digits of its key."""
-    return F.when(key.startswith(V4), F.substring(key, 1, 28)).otherwise(F.substring(key, 1, 8))
-
-
-def _blocks_of(start: Column, end: Column) -> Column:
-    """All blocks that a range touches."""
-    def numbered(prefix: str, digits: int) -> Column:
-        first, last = (F.conv(F.substring(k, len(prefix) + 1, digits), 16, 10).cast("long") for k in (start, end))
-        return F.transform(F.sequence(first, last), lambda n: F.concat(F.lit(prefix), F.lpad(F.lower(F.hex(n)), digits, "0")))
-
-    return F.when(start.startswith(V4), numbered(V4, 4)).otherwise(numbered("", 8))
+from ..session import cut_lineage
 
 
 def countries_of(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """(dest_ip, code) for public addresses inside a supplied range (start_ip, end_ip, iso2).
 
-    An address takes the nearest range start at or below it, within blocks of the address space,
-    if the range reaches that far. Ranges of one table don't overlap; of equal starts the
-    narrower one counts.
+    An address takes the nearest range start at or below it, if the range reaches that far. Ranges
+    of one table don't overlap; of equal starts the narrower one counts.
+
+    Starts and addresses are dealt out by ranges of their order, cut where the rows are, so a crowded
+    network is as many partitions as it needs. Within a partition the last start is carried forward;
+    the last start of each partition goes over to those behind it, one row a partition.
     """
+    spark = addresses.sparkSession
     place = F.col("dest_ip")
     public = (addresses.select("dest_ip").distinct().where(is_public_ip(place))
               .select("dest_ip", ip_key(jtrim(place)).alias("at")).where("at IS NOT NULL"))
-    spans = ranges.select(ip_key(jtrim(F.col("start_ip"))).alias("start"), ip_key(jtrim(F.col("end_ip"))).alias("end"),
-                          F.upper(F.trim("iso2")).alias("code")).where("start <= end")
-    spans = spans.withColumn("block", F.explode(_blocks_of(F.col("start"), F.col("end"))))
-    begun = spans.select("block", F.greatest("start", F.rpad("block", 32, "0")).alias("at"), F.struct("end", "code").alias("span"),
-                         F.lit(None).cast("string").alias("dest_ip"))
-    asked = public.select(_block(F.col("at")).alias("block"), "at", F.lit(None).cast(begun.schema["span"].dataType).alias("span"), "dest_ip")
-    order = Window.partitionBy("block").orderBy(F.col("at"), F.col("span").isNull(), F.desc("span.end")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    found = begun.unionByName(asked).withColumn("held", F.last("span", ignorenulls=True).over(order))
-    return found.where("dest_ip IS NOT NULL AND held.end >= at").select("dest_ip", F.col("held.code").alias("code"))
+    spans = (ranges.select(ip_key(jtrim(F.col("start_ip"))).alias("at"), ip_key(jtrim(F.col("end_ip"))).alias("end"),
+                           F.upper(F.trim("iso2")).alias("code")).where("at <= end")
+             .groupBy("at").agg(F.min(F.struct("end", "code")).alias("span")))
+    # The cuts are drawn once: the table of the dealt rows is what both readers below see.
+    dealt = cut_lineage(spans.unionByName(public, allowMissingColumns=True).repartitionByRange("at")
+                        .withColumn("part", F.spark_partition_id()))
+    last = F.max(F.when(F.col("span").isNotNull(), F.struct("at", "span")))
+    carried, held = [], None
+    for row in dealt.groupBy("part").agg(last.alias("last")).orderBy("part").collect():
+        if held is not None:
+            carried.append((row["part"], held))
+        held = row["last"]["span"] if row["last"] else held
+    carry = spark.createDataFrame(carried, f"part int, carry {dealt.schema['span'].dataType.simpleString()}")
+    order = Window.partitionBy("part").orderBy("at", F.col("span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = dealt.join(F.broadcast(carry), "part", "left").withColumn(
+        "held", F.coalesce(F.last("span", ignorenulls=True).over(order), "carry"))
+    return held.where("dest_ip IS NOT NULL AND held.end >= at").select("dest_ip", F.col("held.code").alias("code"))
 
 
 def by_country(per_ip: DataFrame, ranges: DataFrame) -> DataFrame:

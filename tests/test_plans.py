@@ -1,6 +1,8 @@
 """Guards, ingestion, and registry checks."""
 
+import ipaddress
 import json
+import random
 
 import pytest
 from pyspark.sql import Observation
@@ -10,7 +12,7 @@ import __spark_entry__ as entry
 from endpointlens import scope
 from endpointlens.operators.dedup import latest_alerts
 from endpointlens.plans import alerts as alert_plans
-from endpointlens.plans import hosts, ops, topology
+from endpointlens.plans import geo, hosts, ops, topology
 from endpointlens.sources import ingest, store
 
 NOW = 1_700_000_000_000
@@ -179,3 +181,40 @@ def test_query_agrees_with_sql(spark, name):
     sf = entry.SMALL
     note, _, rows = compare(spark, connect(sf), sf, entry.queries()[name], entry.oracle_sql()[name])
     assert note == "" and rows > 0
+
+
+def test_country_of_an_address_by_order(spark):
+    """Wide ranges, one crowded network, gaps, equal starts and partitions without a start of their own."""
+    rng = random.Random(5)
+    ranges = [("20.0.0.0", "20.255.255.255", "us"), ("2a00::", "2aff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "DE"),
+              ("2a00::", "2bff::", "XX"), ("8.8.8.8", "8.8.8.8", " jp "), ("9.0.0.0", "8.0.0.0", "ZZ")]
+    ranges += [(f"2001:db8::{i:x}00", f"2001:db8::{i:x}7f", rng.choice(["KR", "FR"])) for i in range(200)]
+    asked = [f"2001:db8::{rng.randrange(200 << 8):x}" for _ in range(3000)] + ["8.8.8.8", "8.8.8.9", "9.0.0.0", "nonsense", "10.0.0.1", None]
+    asked += [f"20.{rng.randrange(256)}.1.{i}" for i in range(200)] + [f"2a{i:02x}::{i}" for i in range(256)] + ["2bff::1", "::ffff:20.1.1.1"]
+
+    def number(text):
+        ip = ipaddress.ip_address(text)
+        return int(ip) if ip.version == 6 else (0xFFFF << 32) + int(ip)
+
+    spans = sorted((number(a), number(b), c.strip().upper()) for a, b, c in ranges if number(a) <= number(b))
+    want = set()
+    for ip in {a for a in asked if a and a not in ("nonsense", "10.0.0.1")}:
+        below = [s for s in spans if s[0] <= number(ip)]
+        start = max((s[0] for s in below), default=None)
+        best = min((s for s in below if s[0] == start), default=None)
+        if best and best[1] >= number(ip):
+            want.add((ip, best[2]))
+    addresses = spark.createDataFrame([(a,) for a in asked], "dest_ip string")
+    table = spark.createDataFrame(ranges, "start_ip string, end_ip string, iso2 string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", before, "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            found = geo.countries_of(addresses, table).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert geo.countries_of(addresses.limit(0), table).count() == 0
+    assert geo.countries_of(addresses, table.limit(0)).count() == 0
