@@ -1,16 +1,18 @@
 """Removal of word passages that repeat across documents, by recompression.
 
-A text is rewritten in rounds: first every run of one symbol becomes a symbol, then every pair of a
-left and a right symbol does, where the side follows from a round's bit of the symbol. A new symbol's
-name is a hash of what it replaces, so all tasks give equal strings equal names without asking each
-other, and two copies of a passage agree on all symbols but a few at its ends. Each symbol carries
-the span of words that its making looked at; any copy of that span holds the same symbol.
-
-`ROUNDS` rounds leave symbols of some eight words. Spark folds them over the corpus: a symbol that only one
-text holds shows that no window around its span repeats. What is left of a text are windows
-whose high-level symbols are all shared; these are verified word by word, by a fold of 128-bit
-hashes of the whole window, which also finds the smallest document that holds it. Windows without
-any such symbol, as in long runs of a word, are verified as well, so nothing is missed.
+A text is rewritten in rounds: every run of one symbol becomes a symbol (in the first rounds; later
+ones hold hardly any), then every pair of a left and a right symbol does, where the side follows
+from a round's bit of the symbol. A new symbol's name is a hash of what it replaces, so all tasks
+give equal strings equal names without asking each other, and two copies of a passage agree on all
+symbols but a few at its ends. Each symbol carries the span of words that its making looked at; any
+copy of that span holds the same symbol.
+
+`ROUNDS` rounds leave symbols of some eight words. Spark folds them over the corpus: a symbol that
+only one text holds shows that no window around its span repeats. What is left of a text are windows
+whose high-level symbols are all shared. Only texts with such windows are read again, to have them
+verified over all their words by a fold of 128-bit hashes, which also finds the smallest document
+that holds a window. Windows without any such symbol, as in long runs of a word, are verified as
+well, so nothing is missed.
 
 Texts of equal words are one class, named by its SHA-256 and judged once, with the smallest id as
 its own: of longer copies than a window every word goes. All folds combine before their shuffle, and
@@ -39,7 +41,7 @@ ROUNDS = 7
 #: Rounds that name runs as well: later symbols hardly ever repeat side by side.
 RUN_ROUNDS = (0, 1)
 #: Texts are rewritten together until so many bytes are reached.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 MULTIPLIER, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LAST = (1 << 63) - 1
 
@@ -156,13 +158,14 @@ def rewritten(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols.name[fits], symbols.low[fits], symbols.high[fits]
 
 
-def free_windows(words: Words, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, owners) of the windows that hold none of these spans."""
-    closed = np.zeros(words.size + 1, np.int64)
+def free_windows(first: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, owners) of the windows that hold none of these spans, in texts of so many words from these places on."""
+    size = int(first[-1] + counts[-1]) + 2 if len(first) else 1
+    closed = np.zeros(size, np.int64)
     np.add.at(closed, np.maximum(high - WINDOW, 0), 1)
     np.add.at(closed, low + 1, -1)
-    fits = np.maximum(words.counts - WINDOW + 1, 0)
-    place = np.repeat(words.first - np.cumsum(fits) + fits, fits) + np.arange(fits.sum())
+    fits = np.maximum(counts - WINDOW + 1, 0)
+    place = np.repeat(first - np.cumsum(fits) + fits, fits) + np.arange(fits.sum())
     free = np.cumsum(closed)[place] == 0
     return place[free], np.repeat(np.arange(len(fits)), fits)[free]
 
@@ -188,63 +191,86 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, row, text) to (id, row, body, n_words, names, bare): the names of each text's symbols once each,
-    and whether any of its windows holds no symbol."""
+    """(id, row, text) to (id, row, body, n_words, names, low, width): a text's symbols by place, with
+    first word and number of words of what they looked at."""
     for batch in batches:
         texts = _texts(batch.column("text"))
-        names: list[np.ndarray] = []
-        counts: list[int] = []
-        bare: list[np.ndarray] = []
+        names, lows, widths, counts = [], [], [], [np.zeros(0, np.int64)]
         for some in _passes(texts):
             words = Words(texts[some])
             name, low, high = rewritten(words)
-            bare.append(np.bincount(free_windows(words, low, high)[1], minlength=len(words.counts)) > 0)
             ends = np.searchsorted(low, np.append(words.first, words.size))
-            names += [np.unique(name[a:b]).view(np.int64) for a, b in zip(ends, ends[1:])]
-            counts += words.counts.tolist()
+            for first, a, b in zip(words.first, ends, ends[1:]):
+                names.append(name[a:b].view(np.int64))
+                lows.append(low[a:b] - first)
+                widths.append(high[a:b] - low[a:b])
+            counts.append(words.counts)
         bodies = [hashlib.sha256(b" ".join(t.split())).digest() for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("row"), pa.array(bodies, pa.binary()), pa.array(counts, pa.int64()),
-             _lists(names, pa.int64()), pa.array(np.concatenate([*bare, np.zeros(0, bool)]))],
-            ["id", "row", "body", "n_words", "names", "bare"])
+            [batch.column("id"), batch.column("row"), pa.array(bodies, pa.binary()), pa.array(np.concatenate(counts)),
+             _lists(names, pa.int64()), _lists(lows, pa.int32()), _lists(widths, pa.int16())],
+            ["id", "row", "body", "n_words", "names", "low", "width"])
+
+
+def _alone(sizes: np.ndarray, shared: list[np.ndarray]) -> np.ndarray:
+    """Which symbols of texts of so many are not among the shared ones, given by their places."""
+    alone = np.ones(sizes.sum(), bool)
+    for begin, places in zip(np.cumsum(sizes) - sizes, shared):
+        alone[begin + places] = False
+    return alone
+
+
+def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, as symbols, that have a window without any symbol of theirs alone."""
+    for batch in batches:
+        counts = batch.column("n_words").to_numpy()
+        first = np.cumsum(counts + 1) - counts
+        low, width, shared = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("low", "width", "shared"))
+        sizes = np.fromiter(map(len, low), np.int64, len(low))
+        alone = _alone(sizes, list(shared))
+        begin = (np.repeat(first, sizes) + np.concatenate([*low, np.zeros(0, np.int32)]))[alone]
+        owners = free_windows(first, counts, begin, begin + np.concatenate([*width, np.zeros(0, np.int16)])[alone])[1]
+        keep = pa.array(np.bincount(owners, minlength=len(counts)) > 0)
+        yield batch.select(["row", "body", "class", "id", "shared"]).filter(keep)
 
 
 def open_windows(texts: list[bytes], shared: list[np.ndarray]) -> Iterator[tuple[slice, Words, np.ndarray, np.ndarray]]:
     """(texts of a pass, their words, window places, owners): the windows that hold no symbol of one text only."""
     for some in _passes(texts):
         words = Words(texts[some])
-        name, low, high = rewritten(words)
-        ends = np.append(words.first, words.size)
-        owner = np.searchsorted(ends, low, "right") - 1
-        key = lambda names, texts: mixed(names + mixed(texts.astype(np.uint64)))
-        known = shared[some]
-        has = key(np.concatenate([*known, np.zeros(0, np.int64)]).view(np.uint64), np.repeat(np.arange(len(known)), list(map(len, known))))
-        alone = ~np.isin(key(name, owner), has)
-        yield some, words, *free_windows(words, low[alone], high[alone])
+        _, low, high = rewritten(words)
+        alone = _alone(np.diff(np.searchsorted(low, np.append(words.first, words.size))), shared[some])
+        yield some, words, *free_windows(words.first, words.counts, low[alone], high[alone])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, id, text, names) to a row (w1, w2, id, class, pos) for each window that may repeat."""
+    """(class, id, text, shared) to a row (w1, w2, id, class) for each window of a text that may repeat, once each."""
     for batch in batches:
         texts, ids, kinds = _texts(batch.column("text")), batch.column("id").to_numpy(), batch.column("class").to_numpy()
-        for some, words, place, owner in open_windows(texts, list(batch.column("names").to_numpy(zero_copy_only=False))):
-            arrays = [words.windows(place, MULTIPLIER).view(np.int64), words.windows(place, SECOND).view(np.int64),
-                      ids[some][owner], kinds[some][owner], (place - words.first[owner]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w1", "w2", "id", "class", "pos"])
+        for some, words, place, owner in open_windows(texts, list(batch.column("shared").to_numpy(zero_copy_only=False))):
+            w1, w2 = words.windows(place, MULTIPLIER), words.windows(place, SECOND)
+            order = np.lexsort((w2, w1, owner))
+            w1, w2, owner = w1[order], w2[order], owner[order]
+            new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (owner[1:] != owner[:-1]))[:len(w1)]
+            arrays = w1[new].view(np.int64), w2[new].view(np.int64), ids[some][owner[new]], kinds[some][owner[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["w1", "w2", "id", "class"])
 
 
 def removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(body, text, places of windows) to (body, n_removed, kept_sha256, spans of words removed)."""
+    """(body, text, repeated windows) to (body, n_removed, kept_sha256, spans of words removed)."""
     for batch in batches:
         out = []
-        for body, text, places in zip(batch.column("body").to_pylist(), _texts(batch.column("text")), batch.column("places").to_pylist()):
-            words = text.split()
-            edge = np.zeros(len(words) + 1, np.int64)
+        for body, text, repeated in zip(batch.column("body").to_pylist(), _texts(batch.column("text")), batch.column("repeated").to_pylist()):
+            words = Words([text])
+            count = int(words.counts[0])
+            hashes = words.windows(1 + np.arange(count - WINDOW + 1), MULTIPLIER).view(np.int64)
+            places = np.flatnonzero(np.isin(hashes, np.array(repeated, np.int64)))
+            edge = np.zeros(count + 1, np.int64)
             np.add.at(edge, places, 1)
-            np.add.at(edge, np.array(places) + WINDOW, -1)
+            np.add.at(edge, places + WINDOW, -1)
             gone = np.cumsum(edge)[:-1] > 0
             turns = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))).reshape(-1, 2)
-            kept = b" ".join(w for w, g in zip(words, gone) if not g)
+            kept = b" ".join(w for w, g in zip(text.split(), gone) if not g)
             out.append((body, int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in turns.tolist()]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(column, kind) for column, kind in zip(zip(*out) if out else [()] * 4, (
@@ -261,26 +287,31 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(F.col(id_column), F.col(text_column)).alias("row"),
                        F.col(text_column).alias("text"))
-    texts = store(rows.mapInArrow(parsed, "id long, row long, body binary, n_words long, names array<long>, bare boolean"))
+    symbols = store(rows.mapInArrow(parsed, "id long, row long, body binary, n_words long, names array<long>, low array<int>, width array<short>"))
+    texts = store(symbols.select("id", "row", "body", "n_words"))
     # A null id lies behind all others.
     own = F.coalesce("id", F.lit(LAST))
-    ranked = texts.where(F.col("n_words") >= WINDOW).select("body", own.alias("id"), "row", F.xxhash64("body").alias("class"), "names", "bare")
+    ranked = symbols.where(F.col("n_words") >= WINDOW).withColumns({"id": own, "class": F.xxhash64("body")})
     # The class is a second hash of the body: two texts can only be taken for one if they share a symbol too.
-    seen = ranked.select("class", F.explode("names").alias("name"))
-    shared = seen.groupBy("name").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("name")
-    known = seen.join(shared, "name").groupBy("class").agg(F.collect_set("name").alias("names"))
-    classes = store(ranked.groupBy("body").agg(F.min(F.struct("id", "row")).alias("first"), F.bool_or("bare").alias("bare")))
-    asked = (classes.select("body", F.xxhash64("body").alias("class"), "first.*", "bare").join(known, "class", "left")
-             .where("bare OR names IS NOT NULL").withColumn("names", F.coalesce("names", F.array().cast("array<long>"))))
-    # Copies of a row fold before they move.
-    whole = rows.where("text IS NOT NULL").groupBy("row").agg(F.any_value("text").alias("text"))
-    held = store(whole.join(asked, "row").select("body", "class", "id", "text", "names"))
-    every = store(held.select("class", "id", "text", "names").mapInArrow(windows, "w1 long, w2 long, id long, class long, pos int"))
-    least = every.groupBy("w1", "w2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("w1", "w2", "a")
-    gone = every.join(least, ["w1", "w2"]).where("id > a").groupBy("class").agg(F.collect_list("pos").alias("places"))
-    cut = store(held.select("body", "class", "text").join(gone, "class").select("body", "text", "places")
+    seen = ranked.select("class", F.posexplode("names").alias("at", "name"))
+    names = seen.groupBy("name").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("name")
+    known = seen.join(names, "name").groupBy("class").agg(F.collect_set("at").alias("shared"))
+    classes = store(ranked.groupBy("body").agg(F.min(F.struct("id", "row")).alias("first")))
+    asked = (classes.select("body", F.xxhash64("body").alias("class"), "first.*").join(known, "class", "left")
+             .withColumn("shared", F.coalesce("shared", F.array().cast("array<int>"))))
+    # Copies of a row fold before they move; a shorter text has no window.
+    spans = ranked.groupBy("row").agg(*[F.any_value(c).alias(c) for c in ("n_words", "low", "width")])
+    left = asked.join(spans, "row").mapInArrow(survivors, "row long, body binary, class long, id long, shared array<int>")
+    whole = rows.where(F.octet_length("text") >= 2 * WINDOW - 1).groupBy("row").agg(F.any_value("text").alias("text"))
+    held = store(whole.join(left, "row").drop("row"))
+    discard(symbols)
+    every = store(held.select("class", "id", "text", "shared").mapInArrow(windows, "w1 long, w2 long, id long, class long"))
+    # A table of its own, so that adaptive execution can split the join of a hot window.
+    least = store(every.groupBy("w1", "w2").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("w1", "w2", "a"))
+    gone = every.join(least, ["w1", "w2"]).where("id > a").groupBy("class").agg(F.collect_list("w1").alias("repeated"))
+    cut = store(held.select("body", "class", "text").join(gone, "class").select("body", "text", "repeated")
                 .mapInArrow(removals, f"body binary, n_removed long, kept_sha256 string, spans {SPANS}"))
-    for done in (every, held):
+    for done in (every, least, held):
         discard(done)
     first = classes.select("body", F.col("first.id").alias("least")).join(cut, "body", "left")
     copy = F.coalesce(own > F.col("least"), F.lit(False))
