@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detail import parse_detail
-from ..functions.net import is_ip
-from ..functions.text import is_blank, nz
+from ..functions.net import canonical_ip, is_ip
+from ..functions.text import is_blank, jtrim, nz
 from ..schema import BACKFILL_AFTER_MS, BACKFILL_BEFORE_MS, CONNECT_TYPES
 from .asof import asof_lookup
 
@@ -32,6 +32,33 @@ def parse_target(raw: str | None) -> tuple[str, str]:
     return "DOMAIN", domain
 
 
+_LABEL = r"(?:[\p{L}\p{N}](?:[\w-]{0,61}\w)?|\w)"
+
+
+def parsed_targets(asked: DataFrame, raw: str = "raw") -> DataFrame:
+    """(kind, value) of all that callers ask about, each once, by the rule of `parse_target`; what is
+    neither an address nor a domain drops out."""
+    text = jtrim(nz(F.col(raw)))
+    address, domain = canonical_ip(text), F.regexp_replace(F.lower(text), r"\.+$", "")
+    named = (domain.rlike(rf"(?U)^(?:{_LABEL}\.)*{_LABEL}$") & (F.char_length(domain) <= 253)
+             & ~domain.rlike(r"(?U)(?:^|\.)\d[^.]*$"))
+    return (asked.select(F.when(address.isNotNull(), F.struct(F.lit("IP").alias("kind"), address.alias("value")))
+                         .when(named, F.struct(F.lit("DOMAIN").alias("kind"), domain.alias("value"))).alias("t"))
+            .where("t IS NOT NULL").select("t.*").distinct())
+
+
+def events_of_seeds(events: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Events by each of the seeds (kind, value; each once) that they mention: a domain, or an address as
+    destination or DNS answer. One equality join, however many seeds there are."""
+    def said(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    answers = F.coalesce(parse_detail(F.col("detail"))["answers"], F.array().cast("array<string>"))
+    mentions = F.concat(said("DOMAIN", F.array("domain")), said("IP", F.array_distinct(F.concat(F.array("dest_ip"), answers))))
+    rows = events.where(F.col("type").isin(*SEED_TYPES)).withColumn("m", F.explode(mentions)).where("m.value <> ''")
+    return rows.select("*", "m.kind", "m.value").drop("m").join(seeds, ["kind", "value"])
+
+
 def seed_events(events: DataFrame, kind: str, value: str) -> DataFrame:
     """Events that mention a domain, or an address as destination or DNS answer."""
     rows = events.where(F.col("type").isin(*SEED_TYPES))

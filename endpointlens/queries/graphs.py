@@ -200,6 +200,47 @@ def correlation_seed_events(spark, d):
         "seq", "host", "type", "ts")
 
 
+_SAID = """said AS (SELECT seq, tenant_id, host, type, ts, 'DOMAIN' AS kind, domain AS value FROM telemetry
+    WHERE type IN ('dns','network','l7') AND domain <> ''
+  UNION SELECT seq, tenant_id, host, type, ts, 'IP', dest_ip FROM telemetry WHERE type IN ('dns','network','l7') AND dest_ip <> ''
+  UNION SELECT seq, tenant_id, host, type, ts, 'IP', json_extract_string(detail, '$.answers[0]') FROM telemetry WHERE type = 'dns'),
+seeds AS (SELECT DISTINCT kind, value FROM said WHERE seq % 3 = 0)"""
+
+
+def _asked_targets(spark, d):
+    """What callers might type: domains in capitals with a trailing dot, addresses plain or mapped, and junk."""
+    t = fx.telemetry(spark, d).where((F.col("seq") % 3 == 0) & F.col("type").isin(*correlation.SEED_TYPES))
+    answer = F.get_json_object("detail", "$.answers[0]")
+    shown = lambda ip: F.when(F.col("seq") % 2 == 0, F.concat(F.lit(" ::FFFF:"), ip)).otherwise(ip)
+    typed = F.array(F.concat(F.lit(" "), F.upper("domain"), F.lit(". ")), shown(F.col("dest_ip")), shown(answer),
+                    F.concat(F.lit("no target "), "host"), F.concat("dest_ip", F.lit("999")))
+    return t.select(F.explode(typed).alias("raw"))
+
+
+@query("correlation_events_of_every_seed", f"""WITH {T}, {_SAID} SELECT kind, value, seq, tenant_id, host, type, ts
+FROM said JOIN seeds USING (kind, value)""")
+def correlation_events_of_every_seed(spark, d):
+    """The seed scan for any number of domains and addresses, as callers wrote them."""
+    seeds = correlation.parsed_targets(_asked_targets(spark, d))
+    return correlation.events_of_seeds(fx.telemetry(spark, d), seeds).select("kind", "value", "seq", "tenant_id", "host", "type", "ts")
+
+
+@query("correlation_live_edges", f"""WITH {T}, r AS (SELECT tenant_id, seq, domain, json_extract_string(detail, '$.answers[0]') AS ip FROM telemetry
+  WHERE type = 'dns'), e AS (SELECT tenant_id, 'domain:' || domain AS "from", 'ip:' || ip AS "to", 'RESOLVED_TO' AS relation FROM r WHERE seq % 4 <> 0
+  UNION SELECT tenant_id, 'ip:' || ip, 'ptr_name:' || domain, 'PTR_CANDIDATE' FROM r WHERE seq % 5 <> 0)
+SELECT *, 'LIVE_DNS' AS origin, CAST(0 AS BIGINT) AS observations, CAST(NULL AS BIGINT) AS first_seen,
+  CAST(NULL AS BIGINT) AS last_seen, CAST(NULL AS VARCHAR) AS basis FROM e""")
+def correlation_live_edges(spark, d):
+    """Relations of live lookups of all domains and addresses; some of the lookups failed."""
+    t = fx.telemetry(spark, d).where("type = 'dns'").select(
+        "tenant_id", "seq", "domain", F.get_json_object("detail", "$.answers[0]").alias("ip"))
+    forward = t.select("tenant_id", F.lit("DOMAIN").alias("seed_kind"), F.col("domain").alias("seed"), F.col("ip").alias("answer"),
+                       (F.col("seq") % 4 != 0).alias("ok"))
+    reverse = t.select("tenant_id", F.lit("IP").alias("seed_kind"), F.col("ip").alias("seed"), F.col("domain").alias("answer"),
+                       (F.col("seq") % 5 != 0).alias("ok"))
+    return correlation.live_edges(forward.unionByName(reverse), ["tenant_id"])
+
+
 # --- Incidents -------------------------------------------------------------------------------
 
 THREAT_CASE = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in RULES) + " ELSE rule_id END"

@@ -432,3 +432,16 @@ def test_cooldown_of_one_key_over_a_thousand_chunks(spark):
     got = cooldown(df, ["k"], "seq", "ts", 40, "ok", chunk=4)
     assert {(r.k, r.seq) for r in got.where("passed").collect()} == {
         (k, seq) for k in ("hot", "calm", "twice") for seq in cooldown_by_hand([(seq, key, ts, ok) for key, seq, ts, ok in rows if key == k], 40)}
+
+
+def test_column_form_of_targets_follows_the_rule(spark):
+    texts = [" 8.8.8.8 ", "::ffff:8.8.8.8", "2001:DB8::1", "Example.COM.", "a-b.c", "-a.b", "a..b", "", None, ".", "1.2.3", "x_y.de",
+             "_dmarc.x.de", "bücher.example", "a" * 64 + ".de", "host", "1.2.3.999", "two words", "x.1a", "a." * 130 + "de"]
+    want = set()
+    for text in texts:
+        try:
+            want.add(correlation.parse_target(text))
+        except ValueError:
+            pass
+    found = correlation.parsed_targets(spark.createDataFrame([(t,) for t in texts], "raw string"))
+    assert {tuple(r) for r in found.collect()} == want
