@@ -27,6 +27,8 @@ from .common import store
 
 #: Labelled urls that the trees are fitted on (expected number, drawn by hash), trees and their depth.
 SAMPLE, TREES, DEPTH, STEP = 20_000, 16, 4, 0.3
+#: Urls of a label that are taken if the draw has none of it.
+LEAST = 50
 #: Urls that a suffix's share of blocked ones is smoothed by.
 SMOOTH = 10.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,14 +139,18 @@ def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, id_column:
     if len(known) < 2:
         common = next(iter(known), "allow")
         return rows.select(*columns, F.coalesce("verdict", F.lit(common)).alias("verdict"), F.lit(float(common == "block")).alias("block_probability"))
-    share = int(min(1.0, sample / sum(known.values())) * (1 << 30))
-    drawn = F.pmod(F.xxhash64("host", "path", id_column, F.lit("sample")), F.lit(1 << 30)) < share
-    learn = store(rich.where("verdict IS NOT NULL").where(drawn).select(
-        (F.col("verdict") == "block").cast("double").alias("label"), *features))
-    seen = [r.label for r in learn.select("label").distinct().collect()]
-    if len(seen) < 2:
-        raise ValueError("the sample holds one label only; raise its bound")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=5, maxBins=64).fit(vectors.transform(learn))
+    # Each label gives half of the sample, or all it has; weights bring its share of all labels back.
+    shares = {v: min(1.0, sample / 2 / n) for v, n in known.items()}
+    share = F.when(F.col("verdict") == "block", shares["block"]).otherwise(shares["allow"])
+    place = F.pmod(F.xxhash64("host", "path", id_column, F.lit("sample")), F.lit(1 << 30))
+    labelled = rich.where("verdict IS NOT NULL").select(
+        (F.col("verdict") == "block").cast("double").alias("label"), (1 / share).alias("weight"), *features, place.alias("place"), share.alias("share"))
+    learn = store(labelled.where(F.col("place") < F.col("share") * (1 << 30)))
+    seen = {r.label for r in learn.select("label").distinct().collect()}
+    for label in {0.0, 1.0} - seen:
+        # All its rows lie beyond a small bound: its first ones in the order of the draw.
+        learn = learn.unionByName(labelled.where(F.col("label") == label).orderBy("place").limit(LEAST))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=5, maxBins=64, weightCol="weight").fit(vectors.transform(learn))
     scored = trees.transform(vectors.transform(rich)).withColumn("block_probability", vector_to_array("probability")[1])
     own = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return scored.select(*columns, F.coalesce("verdict", own).alias("verdict"), "block_probability")

@@ -57,3 +57,12 @@ def test_trees_learn_what_the_rules_say(spark):
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
     ruled = [r for r in got.collect() if r.rule]
     assert sum((r.block_probability >= 0.5) == (r.verdict == "block") for r in ruled) > 0.8 * len(ruled)
+
+
+@pytest.mark.parametrize("sample", [1, 40])
+def test_a_rare_label_is_in_the_sample(spark, sample):
+    """Three blocked urls among hundreds, a bound that may draw none of either: the trees are fitted all the same."""
+    urls = [f"http://b{i}.net/fr/{i}" for i in range(3)] + [f"http://a{i}.com/page/{i}" for i in range(400)] + ["http://c.org/x", "http://c.net/fr"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in uf.judge(pages, RULES, sample=sample).collect()}
+    assert len(got) == len(urls) and all(got[i] == "block" for i in range(3)) and all(got[i] == "allow" for i in range(3, 403))
