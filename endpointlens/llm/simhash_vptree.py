@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ready, store
+from .common import components, discard, ready, store
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints of the sample the tree is fitted on, and wanted fingerprints of a shard.
@@ -281,47 +281,81 @@ def shingle_sets(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     return docs.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
 
 
-def alike(pairs: DataFrame, signed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) of bodies whose shingles' Jaccard similarity is large enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct()
-    keys = signed.join(needed, "body").groupBy("body").agg(F.min("key").alias("key"))
-    texts = rows.select("key", "text").join(keys, "key").dropDuplicates(["body"])
+def alike(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) of bodies whose shingles' Jaccard similarity is large enough; stored."""
+    # A table of its own, so that Spark knows its size and need not shuffle the texts for a small one.
+    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(keyed, "body").select("body", "key"))
+    texts = rows.select("key", "text").join(wanted, "key").dropDuplicates(["body"])
     sets = store(shingle_sets(texts.select(F.col("body").alias("fp"), "text")))
     one, other = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     # One lambda binds the common shingles, so that they are counted once.
     enough = F.get(F.transform(F.array(both), lambda n: n >= similarity * (F.size("set_a") + F.size("set_b") - n) - 1e-9), F.lit(0))
-    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
+    found = store(pairs.join(one, "a").join(other, "b").where(enough).select("a", "b"))
+    discard(wanted)
+    discard(sets)
+    return found
+
+
+def best_partner(votes: DataFrame) -> DataFrame:
+    """(a, b) of votes (body, hub): each body with the hub that has most votes, ties to the larger hub."""
+    counted = votes.where("body <> hub").groupBy("body", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("body").agg(F.max(F.struct("n", "hub")).alias("best")).select("body", F.col("best.hub").alias("hub"))
+    return best.select(F.least("body", "hub").alias("a"), F.greatest("body", "hub").alias("b"))
 
 
 def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, **tuning: int) -> DataFrame:
     """(body, root) of the bodies in `signed` that belong with others: pairs with enough shingles in
     common, close transitively. Fingerprints only propose pairs; equal ones are checked too.
 
-    Texts that share a token are first compared with the smallest and the largest body of the token
-    only; after that, every pair of a token whose groups still differ is.
+    Of texts that share tokens each is first compared with one other, the smallest or largest body of
+    most of its tokens; those whose tokens still hold several groups then with one of another group;
+    after that, every pair of a token whose groups still differ is.
     """
     prints = store(signed.groupBy("fp").agg(F.min("body").alias("body")))
     close = near_links(prints, SURE, **tuning).select("a", "b")
     copies = signed.select("fp", F.col("body").alias("b")).join(prints, "fp").select(F.col("body").alias("a"), "b").where("a <> b")
     sure = store(close.join(prints.toDF("a", "one"), "a").join(prints.toDF("b", "other"), "b").select(
         F.col("one").alias("a"), F.col("other").alias("b")).union(copies))
-
-    dealt = signed.select("body", "size", F.explode("tokens").alias("token"))
-    ends = store(dealt.groupBy("token").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high"))
-    shared = store(dealt.join(ends.select("token"), "token").distinct())
-    star = shared.join(ends, "token").select(F.explode(F.array("low", "high")).alias("a"), F.col("body").alias("b")).where("a <> b")
-    asked = store(star.union(sure).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = store(alike(asked, signed, rows, similarity))
-
-    owned = shared.join(components(first).withColumnRenamed("node", "body"), "body", "left").withColumn("own", F.coalesce("root", "body"))
-    mixed = owned.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("token")
-    open_ = store(owned.join(mixed, "token").select("token", "body", "size", "own"))
-    one, other = open_.toDF("token", "a", "size_a", "own_a"), open_.toDF("token", "b", "size_b", "own_b")
+    discard(prints)
+
+    # Tokens of one row of a body only; their table is shuffled with nothing but the body.
+    keyed = store(signed.groupBy("body").agg(F.min("key").alias("key"), F.max("size").alias("size")))
+    dealt = signed.join(keyed.select("key"), "key", "left_semi").select("body", F.explode("tokens").alias("token"))
+    ends = dealt.groupBy("token").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high")
+    shared = store(dealt.join(ends, "token").distinct())
+    star = best_partner(shared.select("body", F.explode(F.array("low", "high")).alias("hub")))
+    asked = store(star.union(sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    discard(sure)
+    first = alike(asked, keyed, rows, similarity)
+
+    open_ = store(_open(shared.select("token", "body"), first))
+    discard(shared)
+    order = F.struct("own", "body")
+    hubs = open_.groupBy("token").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    votes = open_.join(hubs, "token").select("body", "own", F.explode(F.array("low", "high")).alias("hub")).where("own <> hub.own")
+    again = store(best_partner(votes.select("body", F.col("hub.body").alias("hub"))).distinct().join(asked, ["a", "b"], "left_anti"))
+    second = alike(again, keyed, rows, similarity)
+
+    left = store(_open(open_.select("token", "body"), first.union(second)).join(keyed.select("body", "size"), "body"))
+    discard(open_)
+    one, other = left.toDF("a", "token", "own_a", "size_a"), left.toDF("b", "token", "own_b", "size_b")
     across = store(one.join(other, "token").where("a < b AND own_a <> own_b").where(
-        F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9).select("a", "b").distinct())
-    links = first.union(alike(across, signed, rows, similarity))
-    return components(links).select(F.col("node").alias("body"), "root")
+        F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9).select("a", "b").distinct()
+        .join(asked.union(again), ["a", "b"], "left_anti"))
+    links = first.union(second).union(alike(across, keyed, rows, similarity))
+    grouped = components(links).select(F.col("node").alias("body"), "root")
+    for done in (left, across, asked, again, keyed, first, second):
+        discard(done)
+    return grouped
+
+
+def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(body, token, own) of the rows (token, body) whose token is shared by more than one group."""
+    owned = shared.join(components(links).withColumnRenamed("node", "body"), "body", "left").select(
+        "body", "token", F.coalesce("root", "body").alias("own"))
+    mixed = owned.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("token")
+    return owned.join(mixed, "token").select("body", "token", "own")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **tuning: int) -> DataFrame:
@@ -336,6 +370,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
     first = signed.select("key", "id", "body").join(grouped, "body", "left").withColumn("root", F.coalesce("root", "body"))
     kept = store(first.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("kept_key")))
+    discard(signed)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("kept_key"))
     once = whole.join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"])
     return once.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
