@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, ready, store
@@ -319,29 +319,33 @@ def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SI
         F.col("one").alias("a"), F.col("other").alias("b")).union(copies))
     discard(prints)
 
-    # Tokens of one row of a body only; their table is shuffled with nothing but the body.
+    # Tokens of one row of a body only, with the number of the body's shingles from the token on.
     keyed = store(signed.groupBy("body").agg(F.min("key").alias("key"), F.max("size").alias("size")))
-    dealt = signed.join(keyed.select("key"), "key", "left_semi").select("body", F.explode("tokens").alias("token"))
-    ends = dealt.groupBy("token").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high")
+    dealt = signed.join(keyed.select("key"), "key", "left_semi").select("body", "size", F.posexplode("tokens").alias("pos", "token")).select(
+        "token", "body", (F.col("size") - F.col("pos")).alias("rest"), "size")
+    end = F.struct("body", "rest", "size")
+    ends = dealt.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.body <> high.body")
     shared = store(dealt.join(ends, "token").distinct())
-    star = best_partner(shared.select("body", F.explode(F.array("low", "high")).alias("hub")))
+    star = best_partner(shared.select("body", "rest", "size", F.explode(F.array("low", "high")).alias("hub"))
+                        .where(_possible("rest", "size", "hub.rest", "hub.size", similarity)).select("body", F.col("hub.body").alias("hub")))
     asked = store(star.union(sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     discard(sure)
     first = alike(asked, keyed, rows, similarity)
 
-    open_ = store(_open(shared.select("token", "body"), first))
+    open_ = store(_open(shared.drop("low", "high"), first))
     discard(shared)
-    order = F.struct("own", "body")
+    order = F.struct("own", "body", "rest", "size")
     hubs = open_.groupBy("token").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    votes = open_.join(hubs, "token").select("body", "own", F.explode(F.array("low", "high")).alias("hub")).where("own <> hub.own")
+    votes = open_.join(hubs, "token").select("body", "own", "rest", "size", F.explode(F.array("low", "high")).alias("hub")).where(
+        _possible("rest", "size", "hub.rest", "hub.size", similarity) & F.expr("own <> hub.own"))
     again = store(best_partner(votes.select("body", F.col("hub.body").alias("hub"))).distinct().join(asked, ["a", "b"], "left_anti"))
     second = alike(again, keyed, rows, similarity)
 
-    left = store(_open(open_.select("token", "body"), first.union(second)).join(keyed.select("body", "size"), "body"))
+    left = store(_open(open_.drop("own"), first.union(second)))
     discard(open_)
-    one, other = left.toDF("a", "token", "own_a", "size_a"), left.toDF("b", "token", "own_b", "size_b")
-    across = store(one.join(other, "token").where("a < b AND own_a <> own_b").where(
-        F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9).select("a", "b").distinct()
+    one, other = left.toDF("a", "token", "rest_a", "size_a", "own_a"), left.toDF("b", "token", "rest_b", "size_b", "own_b")
+    across = store(one.join(other, "token").where(
+        F.expr("a < b AND own_a <> own_b") & _possible("rest_a", "size_a", "rest_b", "size_b", similarity)).select("a", "b").distinct()
         .join(asked.union(again), ["a", "b"], "left_anti"))
     links = first.union(second).union(alike(across, keyed, rows, similarity))
     grouped = components(links).select(F.col("node").alias("body"), "root")
@@ -351,11 +355,19 @@ def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SI
 
 
 def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """(body, token, own) of the rows (token, body) whose token is shared by more than one group."""
+    """(body, token, rest, size, own) of the rows whose token is shared by more than one group."""
     owned = shared.join(components(links).withColumnRenamed("node", "body"), "body", "left").select(
-        "body", "token", F.coalesce("root", "body").alias("own"))
+        "body", "token", "rest", "size", F.coalesce("root", "body").alias("own"))
     mixed = owned.groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select("token")
-    return owned.join(mixed, "token").select("body", "token", "own")
+    return owned.join(mixed, "token").select("body", "token", "rest", "size", "own")
+
+
+def _possible(rest: str, size: str, other_rest: str, other_size: str, similarity: float) -> Column:
+    """Whether two texts can be similar enough if this token is the first, in the order of all shingles,
+    that they share: no more than what follows in either can be common. True for the first shared token
+    of every similar pair, so no pair is lost."""
+    needed = similarity / (1 + similarity) * (F.col(size) + F.col(other_size))
+    return F.least(rest, other_rest) >= needed - 1e-6
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **tuning: int) -> DataFrame:
