@@ -1,5 +1,7 @@
 """Registered queries: ingestion, rules, alert storage, notification."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -12,8 +14,10 @@ from ..operators.asof import asof_join
 from ..plans import alerts as alert_plans
 from ..plans import hosts as host_plans
 from ..plans import notify
-from ..schema import ALERT_COLUMNS, LOOKBACK_MS
+from ..schema import ALERT_COLUMNS, EVENT, LOOKBACK_MS
+from ..session import shared_folder
 from ..sources import ingest, store
+from ..sources.commits import CommittedTable
 from .base import A, BASE, N, NOW, O, R, S, T, jtext, nodes_of, query, status_of, uuid3
 
 def alert_rows(df):
@@ -170,6 +174,30 @@ def retained_events(spark, d):
     return store.event_rows(store.retained(fx.telemetry(spark, d), "ingested_at", 7, now))
 
 
+def _committed(spark, rows, schema, arrival):
+    """A new table of commits that holds these rows."""
+    held = CommittedTable(spark, f"{shared_folder(spark)}/endpointlens/commits/{uuid.uuid4().hex}", schema, arrival)
+    held.append(rows, 0)
+    return held
+
+
+@query("retained_event_days", f"""WITH {T} SELECT {_EVENT_ROW} FROM telemetry
+WHERE ingested_at >= {BASE + 10_000_000}""")
+def retained_event_days(spark, d):
+    """Retention by commits: days that are over leave without being read, the edge alone is written anew."""
+    held = _committed(spark, fx.telemetry(spark, d), EVENT, "ingested_at")
+    held.expire(BASE + 10_000_000 + 7 * 86_400_000, 7)
+    return store.event_rows(held.read())
+
+
+@query("retained_alert_versions", f"""WITH {A} SELECT id, tenant_id, host, rule_id, ts, ts + 2000 + later AS created_at
+FROM alerts, (VALUES (0), (60000)) v(later) WHERE (later = 0 OR seq % 10 = 0) AND ts + 2000 + later >= {BASE + 10_000_000}""")
+def retained_alert_versions(spark, d):
+    held = _committed(spark, fx.stored_alerts(spark, d), store.ALERT_TABLE, "created_at")
+    held.expire(BASE + 10_000_000 + store.ALERT_RETENTION_DAYS * 86_400_000, store.ALERT_RETENTION_DAYS)
+    return held.read().select("id", "tenant_id", "host", "rule_id", "ts", "created_at")
+
+
 # --- Alert storage ---------------------------------------------------------------------------
 
 @query("alert_messages_ingested", f"""WITH {A} SELECT id, tenant_id, host, rule_id, severity, ts, matched,
