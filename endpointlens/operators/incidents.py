@@ -1,10 +1,10 @@
 """Incidents: alerts whose processes are equal or ancestor and descendant.
 
-Alerts hang on the process node of their source event (the anchor). Each anchor links to its
-nearest anchored ancestor; the transitive closure of these links is the same as linking every
-pair on a path, so a component is found by pointer jumping and no pairs are ever listed. Walks up
-the process tree double their reach every round, so they end after a number of rounds that grows
-with the logarithm of the depth, and on a cycle with that of the number of processes.
+Alerts hang on the process node of their source event (the anchor). All anchors on one path belong
+together, so an anchor's component is named by the topmost anchor above it, and no pairs are ever
+listed. Walks up the process tree double their reach every round and carry what they meet, so they
+end after a number of rounds that grows with the logarithm of the depth, and on a cycle with that of
+the number of processes. Reused process ids can close a cycle; its smallest anchor names the component.
 """
 
 import math
@@ -23,6 +23,11 @@ from .source_event import with_source_event
 
 PLACE = ["tenant_id", "host"]
 
+#: Rounds after which the size of the largest host is asked for; walks of 64 processes mostly end before.
+SURELY_SHALLOW = 6
+#: Joins of small tables that are planned together.
+ROUNDS_OF_A_PLAN = 5
+
 
 def alert_spans(alerts: DataFrame, window: int = LINEAGE_WINDOW_MS) -> DataFrame:
     """Per host: the time its alerts cover, widened on both sides."""
@@ -94,56 +99,55 @@ def ancestor_paths(starts: DataFrame, parents: DataFrame) -> DataFrame:
     return paths.select(*PLACE, "start", "depth", "node")
 
 
-def nearest_anchored_ancestors(anchors: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, between): links (node, up) to the closest proper ancestor that is an anchor too,
-    and the nodes (node, up) that lie on the way of any link.
+def anchor_walks(anchors: DataFrame, parents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(found, steps). `found` has a row for each anchor: node, up (nearest anchored proper ancestor, null
+    if none or the node itself) and component. `steps` are the tables (node, jump) of the walks of
+    1, 2, 4, ... processes that meet no anchor.
 
-    `up` is the nearest anchor within reach, `jump` the node at the end of the reach if no anchor
-    came before; a jump to a jump doubles the reach. The nodes on the way are found by the same
-    jumps, started at the linked anchors.
+    A walk carries `up`, the first anchor above its start, `top`, the last one, and `low`, the smallest
+    from its start to before its end. Walk and continuation are put together by one join a round.
     """
-    marked = anchors.select(*PLACE, F.col("node").alias("parent"), F.lit(True).alias("_hit"))
-    first = cut_lineage(
+    marked = anchors.select(*PLACE, F.col("node").alias("parent"), F.col("node").alias("up"))
+    own = anchors.select(*PLACE, "node", F.col("node").alias("low"))
+    walks = cut_lineage(
         parents.join(anchors.select(*PLACE).distinct(), PLACE, "left_semi")
-        .join(marked, [*PLACE, "parent"], "left"))
-    up = first.where("_hit").select(*PLACE, "node", F.col("parent").alias("up"))
-    jumps = [cut_lineage(first.where("_hit IS NULL").select(*PLACE, "node", F.col("parent").alias("jump")))]
-    up = cut_lineage(up)
-    for _ in range(_most_rounds(first)):
-        far = jumps[-1]
-        if far.join(anchors, [*PLACE, "node"], "left_semi").isEmpty():
+        .join(marked, [*PLACE, "parent"], "left").join(own, [*PLACE, "node"], "left")
+        .select(*PLACE, "node", F.col("parent").alias("jump"), "up", F.col("up").alias("top"), "low"))
+    steps, rounds, most = [], 0, None
+    while True:
+        steps.append(walks.where("jump IS NOT NULL AND up IS NULL").select(*PLACE, "node", "jump"))
+        if walks.where("jump IS NOT NULL").join(anchors, [*PLACE, "node"], "left_semi").isEmpty():
             break
-        reached = far.join(up.select(*PLACE, F.col("node").alias("jump"), "up"), [*PLACE, "jump"]).select(*PLACE, "node", "up")
-        up = cut_lineage(up.unionByName(reached).dropDuplicates([*PLACE, "node"]))
-        jumps.append(_doubled(far))
-    links = up.join(anchors, [*PLACE, "node"], "left_semi").where("up <> node")
-    way = links.join(jumps[0], [*PLACE, "node"]).select(*PLACE, F.col("jump").alias("node")).distinct()
-    for far in jumps:
-        way = cut_lineage(way.unionByName(way.join(far, [*PLACE, "node"]).select(*PLACE, F.col("jump").alias("node"))).distinct())
-    return links, way.join(up, [*PLACE, "node"])
-
-
-def anchor_components(anchors: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): pointer jumping, doubling the reach of every pointer each round.
-
-    Reused process ids can close a cycle; there the smallest node of the cycle names the
-    component. `low` is the smallest node seen so far from a pointer's start.
+        if rounds >= SURELY_SHALLOW:
+            most = most or _most_rounds(walks)
+            if rounds >= most:
+                break
+        far = walks.select(*PLACE, F.col("node").alias("jump"), F.col("jump").alias("_jump"),
+                           F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("low").alias("_low"))
+        walks = cut_lineage(walks.join(far, [*PLACE, "jump"], "left").select(
+            *PLACE, "node", F.col("_jump").alias("jump"), F.coalesce("up", "_up").alias("up"),
+            F.coalesce("_top", "top").alias("top"), F.least("low", "_low").alias("low")))
+        rounds += 1
+    # A walk that is not over ends on a cycle, all of which the walk from there has seen.
+    ends = walks.select(*PLACE, F.col("node").alias("jump"), F.col("low").alias("_ring"))
+    found = (anchors.join(walks.drop("low"), [*PLACE, "node"], "left").join(ends, [*PLACE, "jump"], "left")
+             .select(*PLACE, "node", F.when(F.col("up") != F.col("node"), F.col("up")).alias("up"),
+                     F.coalesce("_ring", "top", "node").alias("component")))
+    return found, steps
+
+
+def nodes_between(links: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(node, up): processes strictly between an anchor and its nearest anchored ancestor.
+
+    The steps of 1, 2, 4, ... are added up from the anchors on; each table is read once.
     """
-    ptr = cut_lineage(
-        anchors.join(links.select(*PLACE, "node", "up"), [*PLACE, "node"], "left")
-        .select(*PLACE, "node", F.coalesce("up", "node").alias("ptr"),
-                F.coalesce(F.least("node", "up"), "node").alias("low")))
-    for _ in range(_most_rounds(ptr)):
-        far = ptr.select(*PLACE, F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"),
-                         F.col("low").alias("_low"))
-        moved = cut_lineage(ptr.join(far, [*PLACE, "ptr"]).select(
-            *PLACE, "node", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"),
-            (F.col("_ptr") != F.col("ptr")).alias("_moved")))
-        ptr = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            break
-    ends = ptr.select(*PLACE, F.col("node").alias("ptr"), F.col("low").alias("component"))
-    return ptr.join(ends, [*PLACE, "ptr"]).select(*PLACE, "node", "component")
+    way = links.join(steps[0], [*PLACE, "node"]).select(*PLACE, F.col("jump").alias("node"), "up").distinct()
+    for number, step in enumerate(steps):
+        both = F.explode(F.array_compact(F.array("node", "jump")))
+        way = way.join(step, [*PLACE, "node"], "left").select(*PLACE, both.alias("node"), "up").distinct()
+        if number % ROUNDS_OF_A_PLAN == ROUNDS_OF_A_PLAN - 1:
+            way = cut_lineage(way)
+    return way
 
 
 def group_alerts(alerts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,12 +156,12 @@ def group_alerts(alerts: DataFrame, events: DataFrame) -> tuple[DataFrame, DataF
     anchors = anchored.where(F.col("anchor").isNotNull()).select(
         *PLACE, F.col("anchor").alias("node")).distinct()
     parents = process_index(events_in_spans(events, alerts))
-    links, way = nearest_anchored_ancestors(anchors, parents)
-    components = anchor_components(anchors, links)
+    found, steps = anchor_walks(anchors, parents)
+    found = cut_lineage(found)
+    way = nodes_between(found.where("up IS NOT NULL").select(*PLACE, "node", "up"), steps)
     members = (anchored.withColumn("node", F.col("anchor"))
-               .join(components, [*PLACE, "node"], "left")
-               .join(links.select(*PLACE, "node", F.lit(True).alias("below")), [*PLACE, "node"],
-                     "left")
+               .join(found.withColumn("below", F.when(F.col("up").isNotNull(), True)).drop("up"),
+                     [*PLACE, "node"], "left")
                .withColumn("_group", F.coalesce(F.concat(F.lit("a:"), "component"),
                                                 F.concat(F.lit("s:"), "id")))
                .drop("node", "component"))

@@ -236,6 +236,46 @@ def test_deep_chain_and_cycle_above_the_start(spark, make_events):
     assert [found["proc:x:1", i] for i in range(3)] == ["proc:x:1", "proc:y:2", "proc:z:3"]
 
 
+def test_walks_over_forests_and_cycles_equal_plain_walks(spark):
+    """Random parents, so deep chains, wide trees, cycles and tails of cycles, on several hosts."""
+    rng = random.Random(7)
+    parent, anchors = {}, set()
+    for host, size, reach in (("deep", 80, 2), ("wide", 80, 80), ("rings", 60, None)):
+        for i in range(size):
+            up = rng.randrange(size) if reach is None else max(-1, i - rng.randint(1, reach))
+            if up >= 0:
+                parent[host, f"n{i}"] = f"n{up}"
+            if rng.random() < 0.15:
+                anchors.add((host, f"n{i}"))
+    place = "tenant_id string, host string, node string"
+    a = spark.createDataFrame([("1", h, n) for h, n in anchors], place)
+    p = spark.createDataFrame([("1", h, n, up) for (h, n), up in parent.items()], place + ", parent string")
+    found, steps = incidents.anchor_walks(a, p)
+    links = found.where("up IS NOT NULL").select("tenant_id", "host", "node", "up")
+    got_way = {(r.host, r.node, r.up) for r in incidents.nodes_between(links, steps).collect()}
+
+    above, way, joined = {}, set(), {x: {x} for x in anchors}
+    for host, start in anchors:
+        path, node = [], parent.get((host, start))
+        while node is not None and node not in path and node != start:
+            path.append(node)
+            node = parent.get((host, node))
+        hits = [n for n in path if (host, n) in anchors]
+        above[host, start] = hits[0] if hits else None
+        if hits:
+            way |= {(host, n, hits[0]) for n in path[:path.index(hits[0])]}
+        for n in hits:
+            both = joined[host, start] | joined[host, n]
+            for x in both:
+                joined[x] = both
+    rows = found.collect()
+    assert {(r.host, r.node): r.up for r in rows} == above and len(rows) == len(anchors) and got_way == way
+    parts = {}
+    for r in rows:
+        parts.setdefault((r.host, r.component), set()).add((r.host, r.node))
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, {frozenset(x) for x in joined.values()}))
+
+
 def test_very_long_path_finds_its_event(spark, make_events):
     path = "/srv/" + "d" * 1_100_000
     events = make_events([{"type": "file", "cmdline": path, "ts": 700}])
