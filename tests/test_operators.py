@@ -428,6 +428,21 @@ def test_a_window_does_not_copy_every_event(spark, make_events):
     assert nodes.count() == 1000
 
 
+def test_graphs_of_windows_are_not_shuffled(spark, make_events):
+    """Overlapping graphs hold far more rows than the events; exchanges carry events and windows alone."""
+    events = make_events([{"ts": 1_000_000 + i, "process": "p", "parent": "q", "detail": f'{{"pid":{i},"ppid":{i}}}'} for i in range(300)])
+    alerts = spark.createDataFrame([(f"a{i}", "1", "h1", 1_000_000 + i) for i in range(300)], "id string, tenant_id string, host string, ts long")
+    for graph in lineage.window_graphs(alerts, events):
+        assert graph.count() >= 300 * 300
+        plan = graph._jdf.queryExecution().optimizedPlan().toString()
+        folds = [line for line in plan.splitlines() if "Aggregate" in line and "first" in line]
+        assert len(folds) == 1  # that of graphs of several windows
+    twice = spark.createDataFrame([("a", "1", "h1", 1_000_000), ("a", "1", "h1", 1_000_100), (None, "1", "h1", 1_000_200)],
+                                  "id string, tenant_id string, host string, ts long")
+    nodes, edges = (g.groupBy("graph_id").count().collect() for g in lineage.window_graphs(twice, events))
+    assert {tuple(r) for r in nodes} == {("a", 600), (None, 600)} and {tuple(r) for r in edges} == {("a", 300), (None, 300)}
+
+
 def test_composed_steps_equal_a_walk():
     """Any tree of chunks, any incoming state it can meet, times in and out of order."""
     rng = random.Random(3)
