@@ -47,6 +47,11 @@ def summary_key(line: Column) -> Column:
                   .otherwise(_key("process", name))))
 
 
+def _kind_of(key: str | Column) -> Column:
+    """Kind of a key; the event type of a rule is part of it."""
+    return F.substring_index(key, _SEP, 1)
+
+
 def _event_keys() -> Column:
     t = F.col("type")
     own = (F.when(t == "network", F.array(_key("network", F.concat_ws(
@@ -73,13 +78,15 @@ def with_source_event(alerts: DataFrame, events: DataFrame,
     by_rule = F.concat(F.lit("type" + _SEP), F.try_element_at(types, F.col("rule_id")))
     asked = (alerts.withColumn("_line", by_line)
              .withColumn("_key", F.coalesce("_line", by_rule)))
-    # Only events of a host and time that some alert asks about are spread over their keys.
+    # Only events of a host and time that some alert asks about are spread over their keys, and only over
+    # keys of the kinds that are asked for there.
     width = 2 * window
     slots = F.sequence(F.floor((F.col("ts") - window) / width), F.floor((F.col("ts") + window) / width))
-    near = alerts.select("tenant_id", "host", F.explode(slots).alias("_slot")).distinct()
-    close = events.withColumn("_slot", F.floor(F.col("ts") / width)).join(near, ["tenant_id", "host", "_slot"], "left_semi")
-    facts = close.select("tenant_id", "host", "ts", *SOURCE_FIELDS,
-                          F.explode(_event_keys()).alias("_key"))
+    near = asked.select("tenant_id", "host", F.explode(slots).alias("_slot"), _kind_of("_key").alias("_kind")).groupBy(
+        "tenant_id", "host", "_slot").agg(F.collect_set("_kind").alias("_kinds"))
+    close = events.withColumn("_slot", F.floor(F.col("ts") / width)).join(near, ["tenant_id", "host", "_slot"])
+    facts = close.select("tenant_id", "host", "ts", *SOURCE_FIELDS, F.explode(F.filter(
+        _event_keys(), lambda key: F.array_contains("_kinds", _kind_of(key)))).alias("_key"))
     joined = asof_join(asked, facts, ["tenant_id", "host", "_key"], back=window, ahead=window,
                        order=["seq"], payload=SOURCE_FIELDS, prefer_last=False, prune=True)
     basis = F.when(F.col("match").isNotNull(),

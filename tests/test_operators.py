@@ -428,6 +428,42 @@ def test_a_window_does_not_copy_every_event(spark, make_events):
     assert nodes.count() == 1000
 
 
+def test_events_are_spread_over_asked_kinds_only(spark, make_events):
+    """Alerts that tell of a process with its parent need one key of an event, not all three."""
+    from pyspark.sql import Observation
+    from endpointlens.operators import source_event
+    events = make_events([{"ts": 1000 + i, "process": "p", "parent": "q", "type": "process"} for i in range(50)])
+    alerts = spark.createDataFrame([("1", "h1", "a", 1010, "SUSPICIOUS_PROCESS_CHAIN", ["process p (parent q)"]),
+                                    ("1", "h1", "b", 1020, "UNLISTED", ["unreadable"])],
+                                   "tenant_id string, host string, id string, ts long, rule_id string, matched array<string>")
+    seen, plain = Observation(), source_event.asof_join
+
+    def counted(left, right, *args, **bounds):
+        return plain(left, right.observe(seen, F.count(F.lit(1)).alias("n")), *args, **bounds)
+
+    source_event.asof_join = counted
+    try:
+        found = {r.id: r.source and r.source.seq for r in source_event.with_source_event(alerts, events).collect()}
+    finally:
+        source_event.asof_join = plain
+    assert found == {"a": 10, "b": None}
+    assert seen.get["n"] == 50
+
+
+def test_a_task_reads_bounded_shuffle_bytes(spark):
+    from endpointlens.session import TASK_BYTES, prepare
+    before = spark.conf.get(TASK_BYTES[0], None)
+    try:
+        spark.conf.unset(TASK_BYTES[0])
+        prepare(spark)
+        assert spark.conf.get(TASK_BYTES[0]) == TASK_BYTES[1]
+        spark.conf.set(TASK_BYTES[0], "8m")
+        prepare(spark)
+        assert spark.conf.get(TASK_BYTES[0]) == "8m"  # the caller's own size stays
+    finally:
+        spark.conf.set(TASK_BYTES[0], before or TASK_BYTES[1])
+
+
 def test_graphs_of_windows_are_not_shuffled(spark, make_events):
     """Overlapping graphs hold far more rows than the events; exchanges carry events and windows alone."""
     events = make_events([{"ts": 1_000_000 + i, "process": "p", "parent": "q", "detail": f'{{"pid":{i},"ppid":{i}}}'} for i in range(300)])
