@@ -56,15 +56,21 @@ def parse_records(raw: DataFrame, watch_paths: list[str]) -> DataFrame:
     a start and the owner of a connection or query, and one projection builds all kinds.
     """
     props = F.col("props")
+    def of(kind: str, value: Column) -> Column:
+        """Only rows of the kind are searched for its properties."""
+        return F.when(_kind() == kind, value)
+
     fields = {
         "kind": _kind(),
-        "exe": F.coalesce(F.nullif(prop(props, "ImagePath"), F.lit("")), prop(props, "ImageName")),
-        "line": prop(props, "CommandLine"), "own_pid": positive_int(prop(props, "ProcessID")),
-        "dest": prop(props, "daddr"), "dport": port(prop(props, "dport")),
-        "file": prop(props, "FileName"), "domain": normalize_domain(prop(props, "QueryName")),
-        "query_type": query_type_label(prop(props, "QueryType")),
-        "answers": parse_answers(prop(props, "QueryResults")),
-        "status": prop(props, "QueryStatus"),
+        "exe": of("process", F.coalesce(F.nullif(prop(props, "ImagePath"), F.lit("")), prop(props, "ImageName"))),
+        "line": of("process", prop(props, "CommandLine")),
+        "own_pid": of("process", positive_int(prop(props, "ProcessID"))),
+        "dest": of("network", prop(props, "daddr")), "dport": of("network", port(prop(props, "dport"))),
+        "file": of("file", prop(props, "FileName")),
+        "domain": of("dns", normalize_domain(prop(props, "QueryName"))),
+        "query_type": of("dns", query_type_label(prop(props, "QueryType"))),
+        "answers": of("dns", parse_answers(prop(props, "QueryResults"))),
+        "status": of("dns", prop(props, "QueryStatus")),
         "pid": F.when(_kind() == "process", positive_int(prop(props, "ParentProcessID")))
         .when(_kind() == "network", positive_int(prop(props, "PID")))
         .when((_kind() == "dns") & (F.col("header_pid") > 0), F.col("header_pid")),
