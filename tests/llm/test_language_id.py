@@ -58,3 +58,16 @@ def test_words():
     assert hashed[0] == hashed[2] != hashed[1] == hashed[3] != hashed[4]
     padded = np.concatenate((np.zeros(3, np.uint32), codes, np.zeros(2, np.uint32)))
     assert (words(padded)[0] == hashed).all() and not len(words(codes[:0])[0])
+
+
+def test_learns_from_every_labelled_text(spark):
+    # Texts of the third language are those that a sample of 4,000 by the hash of the id would pass over.
+    ids = spark.range(9000).selectExpr("id AS doc_id", "pmod(xxhash64(id, 'sample'), 1 << 30) >= 0.45 * (1 << 30) AS apart")
+    third = "apart AND doc_id % 10 = 0"
+    docs = ids.selectExpr("doc_id", f"CASE WHEN {third} THEN 'il gatto nero dorme' WHEN doc_id % 2 = 0 THEN 'the dog of this house'"
+                          " ELSE 'der hund und das haus' END AS text", f"CASE WHEN {third} THEN 'c' WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS lang")
+    model = li.learn(docs)
+    assert model.languages == ["a", "b", "c"]
+    assert [int(model.scores(t).argmax()) for t in ("the house", "das haus und hund", "il gatto dorme")] == [0, 1, 2]
+    again = li.learn(docs.repartition(7))
+    assert (model.logits == again.logits).all() and model.temperature == again.temperature
