@@ -321,18 +321,21 @@ def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SI
 
     # Tokens of one row of a body only, with the number of the body's shingles from the token on.
     keyed = store(signed.groupBy("body").agg(F.min("key").alias("key"), F.max("size").alias("size")))
-    dealt = signed.join(keyed.select("key"), "key", "left_semi").select("body", "size", F.posexplode("tokens").alias("pos", "token")).select(
+    # Repeated rows fold before their tokens are dealt out, so that the wide rows below need not be.
+    once = signed.join(keyed.select("key"), "key", "left_semi").groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("body", "size", "tokens")])
+    dealt = once.select("body", "size", F.posexplode("tokens").alias("pos", "token")).select(
         "token", "body", (F.col("size") - F.col("pos")).alias("rest"), "size")
     end = F.struct("body", "rest", "size")
-    ends = dealt.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high")).where("low.body <> high.body")
-    shared = store(dealt.join(ends, "token").distinct())
-    star = best_partner(shared.select("body", "rest", "size", F.explode(F.array("low", "high")).alias("hub"))
+    several = dealt.groupBy("token").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("token")
+    shared = store(dealt.join(several, "token"))
+    ends = shared.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high"))
+    star = best_partner(shared.join(ends, "token").select("body", "rest", "size", F.explode(F.array("low", "high")).alias("hub"))
                         .where(_possible("rest", "size", "hub.rest", "hub.size", similarity)).select("body", F.col("hub.body").alias("hub")))
     asked = store(star.union(sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     discard(sure)
     first = alike(asked, keyed, rows, similarity)
 
-    open_ = store(_open(shared.drop("low", "high"), first))
+    open_ = store(_open(shared, first))
     discard(shared)
     order = F.struct("own", "body", "rest", "size")
     hubs = open_.groupBy("token").agg(F.min(order).alias("low"), F.max(order).alias("high"))
