@@ -64,3 +64,13 @@ def test_viterbi_equals_all_paths(spark):
 
 def test_empty_table(docs, model):
     assert sl.decode(sl.encode(docs[1].limit(0), model), model).count() == 0
+
+
+def test_words_are_cut_where_no_piece_joins(spark, model):
+    # No piece holds two digits or a line's end next to a letter, so few words are left to encode, whatever the numbers.
+    texts = [f"id {i} end.\nnext {i * 7919}" for i in range(2000)] + ["a  b", "", None]
+    counted = {r.word: r.n for r in sl.count_words(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    assert len(counted) < 40 and counted["7"] == sum(t.count("7") for t in texts if t)
+    assert sum(len(w) * n for w, n in counted.items()) == sum(len(t) + 1 for t in texts if t)
+    words, begins = sl.Cutter(model).words(sl.pa.array(["x1", "", None, "\n é"]))
+    assert (words.to_pylist(), begins.tolist()) == (["▁x", "1", "▁", "\n", "▁é"], [0, 2, 2, 2, 5])
