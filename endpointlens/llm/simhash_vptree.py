@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -229,11 +230,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WORDS, SURE, SIMILARITY = 5, 3, 0.8
 #: Texts whose shingles are counted to order the others' by, least count of a frequent one, and how many of them are kept.
 COUNTED, FREQUENT, KEPT = 2000, 3, 1 << 18
+#: Bins into which a text's shingles are counted, and pairs for each text of them that one job compares at most.
+BINS, PAIRS = 256, 2
 
 
 def signatures(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, id, body, fp, size, tokens) of rows (key, id, text): hash of the words, fingerprint,
-    number of distinct shingles, and the shingles of which texts that are similar enough share one.
+    """(key, id, body, fp, size, tokens, bins) of rows (key, id, text): hash of the words, fingerprint,
+    number of distinct shingles, the shingles of which texts that are similar enough share one, and
+    how many distinct shingles fall into each bin, a byte each (null if a byte can't hold it).
 
     Of n shingles a similar text holds at least similarity x n, so it misses fewer than there are
     tokens. That needs one order of all shingles, whichever: those frequent in a bounded count come
@@ -247,7 +251,7 @@ def signatures(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, prints, sizes, tokens = [], [], [], []
+            bodies, prints, sizes, tokens, bins = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = (text or b"").lower().split()
                 hashes = shingle_hashes(words, WORDS)
@@ -262,13 +266,16 @@ def signatures(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 prints.append(majority(hashes))
                 sizes.append(n)
                 tokens.append(known[order])
+                share = np.bincount(known & (BINS - 1), minlength=BINS)
+                bins.append(share.astype(np.uint8).tobytes() if share.max() < 256 else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(bodies, pa.int64()), pa.array(prints, pa.int64()),
-                 pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["key", "id", "body", "fp", "size", "tokens"])
+                 pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
+                ["key", "id", "body", "fp", "size", "tokens", "bins"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("key", "id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, f"key long, id {kind}, body long, fp long, size int, tokens array<long>")
+        run, f"key long, id {kind}, body long, fp long, size int, tokens array<long>, bins binary")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
@@ -281,19 +288,46 @@ def shingle_sets(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     return docs.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(run, "fp long, shingles array<long>")
 
 
+def conceivable(pairs: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) whose counts by bins leave room for enough common shingles. Two texts share no
+    more of a bin than the one with fewer there has, so no similar pair is lost; few others stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(i).to_pylist() for i in (4, 5)]
+            known = np.array([x is not None and y is not None for x, y in zip(*sides)], bool)
+            one, other = (np.frombuffer(b"".join(x for x, k in zip(side, known) if k), np.uint8).reshape(-1, BINS) for side in sides)
+            sizes = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
+            needed = similarity / (1 + similarity) * sum(sizes) - 1e-6
+            enough = np.minimum(*sizes) >= needed
+            enough[known] &= np.minimum(one, other).sum(axis=1, dtype=np.int64) >= needed[known]
+            yield batch.select(["a", "b"]).filter(pa.array(enough))
+
+    facts = keyed.select("body", "size", "bins")
+    wide = pairs.join(facts.toDF("a", "size_a", "bins_a"), "a").join(facts.toDF("b", "size_b", "bins_b"), "b")
+    return wide.select("a", "b", "size_a", "size_b", "bins_a", "bins_b").mapInArrow(run, "a long, b long")
+
+
 def alike(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) of bodies whose shingles' Jaccard similarity is large enough; stored."""
+    """Those of the pairs (a, b) of bodies whose shingles' Jaccard similarity is large enough; stored.
+
+    A pair carries its texts' shingles through a shuffle, so one job takes a few pairs for each text only:
+    what lies on disk follows the texts, not the pairs.
+    """
+    likely = store(conceivable(pairs, keyed, similarity))
     # A table of its own, so that Spark knows its size and need not shuffle the texts for a small one.
-    wanted = store(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(keyed, "body").select("body", "key"))
+    wanted = store(likely.select(F.explode(F.array("a", "b")).alias("body")).distinct().join(keyed, "body").select("body", "key"))
     texts = rows.select("key", "text").join(wanted, "key").dropDuplicates(["body"])
     sets = store(shingle_sets(texts.select(F.col("body").alias("fp"), "text")))
     one, other = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     # One lambda binds the common shingles, so that they are counted once.
     enough = F.get(F.transform(F.array(both), lambda n: n >= similarity * (F.size("set_a") + F.size("set_b") - n) - 1e-9), F.lit(0))
-    found = store(pairs.join(one, "a").join(other, "b").where(enough).select("a", "b"))
-    discard(wanted)
-    discard(sets)
+    turns = max(1, math.ceil(likely.count() / max(1, PAIRS * sets.count())))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(turns))
+    found = reduce(DataFrame.union, [store(likely.where(turn == i).join(one, "a").join(other, "b").where(enough).select("a", "b"))
+                                     for i in range(turns)])
+    for done in (likely, wanted, sets):
+        discard(done)
     return found
 
 
@@ -320,7 +354,8 @@ def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SI
     discard(prints)
 
     # Tokens of one row of a body only, with the number of the body's shingles from the token on.
-    keyed = store(signed.groupBy("body").agg(F.min("key").alias("key"), F.max("size").alias("size")))
+    least = signed.groupBy("body").agg(F.min("key").alias("key"), F.max("size").alias("size"))
+    keyed = store(least.join(signed.select("key", "bins"), "key").dropDuplicates(["key"]))
     # Repeated rows fold before their tokens are dealt out, so that the wide rows below need not be.
     once = signed.join(keyed.select("key"), "key", "left_semi").groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("body", "size", "tokens")])
     dealt = once.select("body", "size", F.posexplode("tokens").alias("pos", "token")).select(
@@ -352,7 +387,7 @@ def groups_of_similar(signed: DataFrame, rows: DataFrame, similarity: float = SI
         .join(asked.union(again), ["a", "b"], "left_anti"))
     links = first.union(second).union(alike(across, keyed, rows, similarity))
     grouped = components(links).select(F.col("node").alias("body"), "root")
-    for done in (left, across, asked, again, keyed, first, second):
+    for done in (left, across, asked, again, keyed):
         discard(done)
     return grouped
 

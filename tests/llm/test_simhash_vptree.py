@@ -156,3 +156,24 @@ def test_near_fingerprints_are_checked(spark, monkeypatch):
     assert {r.doc_id for r in vp.one_of_each(docs).collect()} == firsts(rows)
     monkeypatch.setattr(vp, "majority", lambda hashes: 5)
     assert {r.doc_id for r in vp.one_of_each(docs).collect()} == firsts(rows)
+
+
+def test_bins_lose_no_similar_pair(spark, monkeypatch):
+    """Counts by bins drop unlike pairs before their shingles are moved, and no similar one; pairs are compared in several jobs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, t) for t, i in {t: i for i, t in family(rng, [word() for _ in range(200)], 8)}.items()]
+    rows += [(100 + i, " ".join(word() for _ in range(200))) for i in range(20)] + [(200 + i, "word " * 3 + " ".join(str(n) for n in range(90000 + i))) for i in range(2)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    signed = vp.signatures(docs.selectExpr("id AS key", "id", "text")).cache()
+    ids = {r.body: r.id for r in signed.select("body", "id").collect()}
+    keyed = signed.select("body", "key", "size", "bins")
+    pairs = vp.store(signed.selectExpr("body AS a").crossJoin(signed.selectExpr("body AS b")).where("a < b"))
+    sets = {i: shingles(t) for i, t in rows}
+    similar = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    true = {frozenset((i, j)) for i in sets for j in sets if i < j and similar(i, j)}
+    likely = {frozenset((ids[r.a], ids[r.b])) for r in vp.conceivable(pairs, keyed).collect()}
+    assert true <= likely and not any(100 <= i < 200 for p in likely for i in p)
+    monkeypatch.setattr(vp, "PAIRS", 1)
+    got = [frozenset((ids[r.a], ids[r.b])) for r in vp.alike(pairs, keyed, docs.selectExpr("id AS key", "text")).collect()]
+    assert set(got) == true and len(got) == len(true)
