@@ -34,6 +34,10 @@ from .common import components, row_key, store
 
 BITS, RADIUS, SIMILARITY = 64, 3, 0.8
 LONG_WORD = 5
+#: Bits of a count of hashes in a sum, two of them spare.
+LANE = 16
+#: Different words of two lines up to which their words are aligned as characters of two bytes.
+ALPHABET = 50_000
 #: Unrelated lines of a bucket on average, at most; blocks to choose from.
 LOAD, BLOCKS = 64, (4, 5, 6, 7)
 #: Bits of the filter over documents, and those of its words.
@@ -47,42 +51,57 @@ def lane_mask(width: int) -> int:
     return sum(1 << i for i in range(0, BITS, width))
 
 
-def majority(hashes: Column, width: int) -> Column:
-    """64-bit majority of an array of hashes, for fewer than 2 ** (width - 2) hashes.
+def lanes(hash_: Column, k: int, width: int) -> Column:
+    """Bits k, k + width, ... of a hash, each in a lane of that width."""
+    return F.shiftrightunsigned(hash_, k).bitwiseAND(F.lit(lane_mask(width)))
+
 
-    Bits that lie `width` apart are counted side by side in one number, in lanes of `width` bits; a
-    carry into a lane's last bit but one then tells which counts exceed half.
+def over_half(counts: list[Column], n: Column) -> Column:
+    """64 bits, set where more than half of n hashes have it, from the sums of their lanes.
+
+    Bits that lie a lane's width apart are counted side by side in one number; a carry into a
+    lane's last bit but one then tells which counts exceed half. For n < 2 ** (width - 2).
     """
+    width = len(counts)
     mask = F.lit(lane_mask(width))
-    missing = mask * (F.lit((1 << (width - 2)) - 1) - F.floor(F.size(hashes) / 2))
+    missing = mask * (F.lit((1 << (width - 2)) - 1) - F.floor(n / 2))
+    return reduce(Column.bitwiseOR, [
+        F.shiftleft(F.shiftrightunsigned(counts[k] + missing, width - 2).bitwiseAND(mask), k) for k in range(width)])
 
-    def bits(k: int) -> Column:
-        counts = F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.shiftrightunsigned(h, k).bitwiseAND(mask))
-        return F.shiftleft(F.shiftrightunsigned(counts + missing, width - 2).bitwiseAND(mask), k)
 
-    return reduce(Column.bitwiseOR, map(bits, range(width)))
+def majority(hashes: Column, width: int) -> Column:
+    """64-bit majority of an array of hashes, for fewer than 2 ** (width - 2) hashes."""
+    return over_half([F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + lanes(h, k, width)) for k in range(width)], F.size(hashes))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, pos, k1, k2, print, size) of every line of `docs` (doc, doc_id, text)."""
+    """(doc, doc_id, pos, k1, k2, print, size) of every line of `docs` (doc, doc_id, text).
+
+    Texts are dealt out by a number of their own, so that the words of a line are summed up where
+    its text lies; the hashes of a line of very many words are summed up in its row.
+    """
     def hashed(words: Column) -> Column:
         return F.transform(words, lambda w: F.xxhash64(w))
 
-    rich = F.transform(F.transform(F.split("text", "\n"), words_of), lambda words: F.struct(
-        words.alias("words"), hashed(F.filter(words, lambda w: F.octet_length(w) >= LONG_WORD)).alias("hashes")))
-    lines = docs.where("text IS NOT NULL").select("doc", "doc_id", F.posexplode(rich).alias("pos", "at")).select(
-        "doc", "doc_id", "pos", F.col("at.words").alias("words"), F.col("at.hashes").alias("hashes"))
+    dealt = docs.where("text IS NOT NULL").select("doc", "doc_id", "text", F.monotonically_increasing_id().alias("row")).repartition("row")
+    lines = dealt.select("row", "doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.select("row", "doc", "doc_id", "pos", words_of(F.col("line")).alias("words"))
+    lines = lines.withColumn("hashes", hashed(F.filter("words", lambda w: F.octet_length(w) >= LONG_WORD)))
     blank, few = F.size("words") == 0, F.size("hashes")
-    hashes = F.when(few == 0, hashed(F.col("words"))).otherwise(F.col("hashes"))
-    lines = lines.withColumn("hashes", hashes)
-    return lines.select(
-        "doc", "doc_id", "pos",
+    lines = lines.withColumn("hashes", F.when(few == 0, hashed(F.col("words"))).otherwise(F.col("hashes")))
+    many = few >= 1 << (LANE - 2)
+    lines = lines.select(
+        "row", "doc", "doc_id", "pos",
         # A blank line has a key of its own, so that nothing is ever equal to it.
         F.when(blank, F.xxhash64("doc", "pos")).otherwise(F.xxhash64("words")).alias("k1"),
         F.when(blank, F.lit(0)).otherwise(F.xxhash64("hashes", F.lit("second"))).alias("k2"),
-        F.when(few < 1 << 6, majority(F.col("hashes"), 8)).when(few < 1 << 14, majority(F.col("hashes"), 16))
-        .otherwise(majority(F.col("hashes"), 32)).alias("print"),
-        F.size("words").alias("size"))
+        F.size("words").alias("size"), F.when(many, majority(F.col("hashes"), 32)).alias("whole"),
+        F.when(~many, F.col("hashes")).alias("hashes"))
+    each = lines.select("row", "doc", "doc_id", "pos", "k1", "k2", "size", "whole", F.explode_outer("hashes").alias("hash"))
+    summed = each.groupBy("row", "doc", "doc_id", "pos", "k1", "k2", "size", "whole").agg(
+        F.count("hash").alias("n"), *[F.sum(lanes(F.coalesce("hash", F.lit(0).cast("long")), k, LANE)).alias(f"lane_{k}") for k in range(LANE)])
+    return summed.select("doc", "doc_id", "pos", "k1", "k2", F.coalesce(
+        "whole", over_half([F.col(f"lane_{k}") for k in range(LANE)], F.col("n"))).alias("print"), "size")
 
 
 def words_of(line: Column) -> Column:
@@ -160,12 +179,35 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity:
     return pairs.join(a, "a").join(b, "b").where(similar(similarity)).select("a", "b")
 
 
+def few_words_apart(a: Column, b: Column, most: Column) -> Column:
+    """Whether an alignment of whole words shows that the edits suffice; false says nothing.
+
+    Words become characters, so that Levenshtein's distance counts words. Every word put in, taken
+    out or replaced costs no more than the longest one concerned and its blank, and no word is
+    concerned twice.
+    """
+    def spelled(words: Column, alphabet: Column) -> Column:
+        codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(alphabet, w)), 4, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+    def aligned(alphabet: Column) -> Column:
+        return F.when(F.size(alphabet) <= ALPHABET, F.levenshtein(spelled(a, alphabet), spelled(b, alphabet)))
+
+    def dearest(n: Column) -> Column:
+        prices = F.reverse(F.array_sort(F.transform(F.concat(a, b), lambda w: F.char_length(w) + 1)))
+        return F.aggregate(F.slice(prices, 1, n), F.lit(0), lambda total, price: total + price)
+
+    words = F.get(F.transform(F.array(F.array_distinct(F.concat(a, b))), aligned), F.lit(0))
+    return F.coalesce(F.get(F.transform(F.array(words), dearest), F.lit(0)) <= most, F.lit(False))
+
+
 def similar(similarity: float) -> Column:
     """Whether the edit similarity of two lines of words (words_a, words_b) is large enough.
 
     If words replace words, the sum of the words' own distances bounds the distance, which settles
     most pairs in linear time; for the rest only what lies between the first and the last word
-    that differ is aligned, within the edits that are allowed.
+    that differ is aligned, word by word at first and, if that does not suffice, by characters
+    within the edits that are allowed.
     """
     def same_from(x: Column, y: Column) -> Column:
         """Equal words at the head of both."""
@@ -176,14 +218,15 @@ def similar(similarity: float) -> Column:
     most = F.floor(F.greatest("length_a", "length_b") * F.lit(1 - similarity) + 1e-9).cast("int")
     apart = F.aggregate(F.zip_with(a, b, lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))), F.lit(0), lambda n, d: n + d)
     def between(ends: Column) -> Column:
-        """Edits between the words that both begin with and those that both end with; -1 for too many."""
+        """Whether the edits suffice between the words that both begin with and those that both end with."""
         tail = F.least(ends["tail"], F.least(F.size(a), F.size(b)) - ends["head"])
-        core = [F.array_join(F.slice(x, ends["head"] + 1, F.size(x) - ends["head"] - tail), " ") for x in (a, b)]
-        return F.call_function("levenshtein", *core, most)
+        core = [F.slice(x, ends["head"] + 1, F.size(x) - ends["head"] - tail) for x in (a, b)]
+        exact = F.call_function("levenshtein", *[F.array_join(x, " ") for x in core], most) >= 0
+        return few_words_apart(*core, most) | exact
 
     # A lambda binds the ends, so that they are looked for once.
     ends = F.struct(same_from(a, b).alias("head"), same_from(F.reverse(a), F.reverse(b)).alias("tail"))
-    aligned = F.get(F.transform(F.array(ends), between), F.lit(0)) >= 0
+    aligned = F.get(F.transform(F.array(ends), between), F.lit(0))
     return (F.abs(F.col("length_a") - F.col("length_b")) <= most) & (((F.size(a) == F.size(b)) & (apart <= most)) | aligned)
 
 

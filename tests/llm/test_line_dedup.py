@@ -101,3 +101,30 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = ld.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_in_place_of_characters(spark):
+    """What an alignment of words accepts is within the edits by characters, and few changed words are accepted."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        a = sentence(rng, rng.randint(1, 25)).split(" ")
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(b) + 1)
+            b[i:i + rng.randint(0, 2)] = sentence(rng, rng.randint(1, 2)).split(" ")[:rng.randint(0, 2)]
+        rows.append((a, b, rng.randint(0, 40)))
+    rows += [([], ["it", "it"], 5), (["it"], [], 3), ([], [], 0)]
+    far = [f"word{i}" for i in range(400)]
+    rows += [(far, ["begin", *far[:200], *far[202:], "end"], 40), (far, far[::-1], 40)]
+    pairs = spark.createDataFrame(rows, "a array<string>, b array<string>, most int")
+    found = pairs.select("a", "b", "most", ld.few_words_apart(F.col("a"), F.col("b"), F.col("most")).alias("near")).collect()
+    assert all(edits(" ".join(r.a), " ".join(r.b)) <= r.most for r in found if r.near)
+    assert [r.near for r in found[-5:]] == [False, True, True, True, False]
+    assert 20 < sum(r.near for r in found) < 150
+
+
+def test_words_are_summed_where_the_text_lies(spark):
+    docs = spark.createDataFrame([(1, 7, "some words here\n\nmore")], "doc long, doc_id long, text string")
+    plan = ld.occurrences(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "sum(" in plan and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
