@@ -273,6 +273,31 @@ def test_answers_equal_a_search_of_all_rows(judge):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_what_a_micro_batch_settles_never_enters_the_state(judge):
+    """A long backlog in one micro-batch: only what outlasts it is written; a repeated question has one answer."""
+    rows = [r for i in range(2000) for r in ((i * 1000, 2 * i, "", f"0:k{i % 7}"), (i * 1000 + 5, 2 * i + 1, f"0:k{i % 7}", ""))]
+    got = _feed(judge, 0, [*rows, rows[1]])
+    assert sorted(got) == [(2 * i + 1, False, 2 * i) for i in range(1999)]
+    # The evidence of the last look-back (81 rows, up to a cell more), each with its lists, and one question.
+    assert _written(judge) < 91 * 6 + 50
+    assert len(judge.handle.states["waiting"].held) == 1
+
+
+@pytest.mark.parametrize("most", [0, 3, 20])
+def test_rows_beyond_what_is_held_go_by_the_state(judge, monkeypatch, most):
+    monkeypatch.setattr(asof, "HELD", most)
+    rng = random.Random(4)
+    rows = [(rng.randrange(0, 200_000, 50), seq, *(("", f"0:k{seq % 3}") if rng.random() < 0.5 else (f"0:k{seq % 3}", ""))) for seq in range(300)]
+    batches = [pd.DataFrame(rows[i:i + 10], columns=["ts", "seq", "ask", "tell"]) for i in range(0, 300, 10)]
+    got = {tuple(r) for f in judge.handleInputRows(("h",), iter(batches), _Now(0)) for r in f[["seq", "prior_seq"]].itertuples(index=False)}
+    got |= {tuple(r) for f in judge.handleExpiredTimer(("h",), _Now(10_000), None) for r in f[["seq", "prior_seq"]].itertuples(index=False)}
+    want = set()
+    for ts, seq, ask, _ in (r for r in rows if r[2]):
+        found = [(t, s) for t, s, _, tell in rows if tell == ask and ts - 80_000 <= t <= ts]
+        want |= {(seq, max(found)[1])} if found else set()
+    assert len(want) > 50 and got == want
+
+
 def test_a_silent_host_leaves_no_state(judge):
     _feed(judge, 0, [(1000, 1, "", "0:k"), (1050, 2, "0:k", "")])
     assert len(judge.handle.timers) == 1
