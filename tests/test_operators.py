@@ -479,6 +479,25 @@ def test_graphs_of_windows_are_not_shuffled(spark, make_events):
     assert {tuple(r) for r in nodes} == {("a", 600), (None, 600)} and {tuple(r) for r in edges} == {("a", 300), (None, 300)}
 
 
+def test_windows_and_spans_are_joined_as_plain_rows(spark, make_events):
+    """Each of a graph's many rows is copied out of the join, so its sides hold no nested columns; spans of two
+    window lengths fill two cells, or three off the grid, and windows go out once for each of three widths."""
+    events = make_events([{"ts": 1_000_000 + 50 * i, "process": "p", "parent": "q", "detail": f'{{"pid":{i},"ppid":{i}}}'} for i in range(40)])
+    alerts = spark.createDataFrame([(f"a{i}", "1", "h1", 1_000_000 + 70 * i) for i in range(40)], "id string, tenant_id string, host string, ts long")
+
+    def joins(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [plan] * (plan.nodeName() == "Join") + [j for c in children for j in joins(c)]
+
+    for graph in lineage.window_graphs(alerts, events, 1000):
+        found = joins(graph._jdf.queryExecution().optimizedPlan())
+        sides = [side for j in found for side in (j.left(), j.right())]
+        kinds = [side.output().apply(i).dataType().typeName() for side in sides for i in range(side.output().size())]
+        assert len(found) == 2 and "struct" not in kinds  # of single graphs and of those that several windows share
+        sizes = sorted(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, side).count() for side in (found[0].left(), found[0].right()))
+        assert sizes[1] <= 3 * 80 and sizes[0] <= 3 * 40
+
+
 def test_composed_steps_equal_a_walk():
     """Any tree of chunks, any incoming state it can meet, times in and out of order."""
     rng = random.Random(3)
