@@ -2,6 +2,7 @@
 
 import glob
 import random
+import threading
 import time
 import uuid
 
@@ -313,3 +314,45 @@ def test_expired_evidence_goes_by_cells(judge):
     _feed(judge, 1, [(500_000, 99, "", "0:k")])
     assert list(judge.handle.states["evidence"].held) == [("0:k", 500_000)]
     assert len(judge.handle.states["times"].held) == len(judge.handle.states["keys"].held) == 1
+
+
+def test_runs_over_one_source_go_on_at_one_time(feed, monkeypatch):
+    """Both queries are active at once, with a table each; settings of the session are as before."""
+    feed.put(download(NOW - 2000), execution(NOW), idle(NOW + 5000))
+    feed.put(download(NOW + 6000, host="h2"), execution(NOW + 7000, host="h2"), {**idle(NOW + 9000), "host": "h2"})
+    events = [tables.event_stream(feed.spark, f"{feed.folder}/in", files_per_trigger=1) for _ in range(2)]
+    partitions, drain, both = feed.spark.conf.get("spark.sql.shuffle.partitions"), tables.drain, threading.Barrier(2, timeout=60)
+
+    def together(query, **how):
+        assert query.isActive
+        both.wait()
+        drain(query, **how)
+
+    monkeypatch.setattr(tables, "drain", together)
+    runs = tables.run_to_tables([judged_triggers(e, quiet=3_600_000) for e in events])
+    for run in runs:
+        assert sorted((r.host, r.ts - NOW, r.rule, r.late) for r in run.collect()) == [("h1", 0, 0, False), ("h2", 7000, 0, False)]
+    assert feed.spark.conf.get("spark.sql.shuffle.partitions") == partitions and not feed.spark.streams.active
+
+
+def test_a_repeated_empty_batch_does_not_end_a_run():
+    """A run that was stopped inside an empty batch is resumed with that batch, before what has arrived since."""
+    def batch(number, first, last, rows):
+        return {"batchId": number, "timestamp": f"2024-01-01T00:00:0{number}.000Z", "numInputRows": rows, "durationMs": {"triggerExecution": 10},
+                "sources": [{"startOffset": first, "endOffset": last}]}
+
+    class Resumed:
+        script = [batch(3, "a", "a", 0), batch(4, "a", "b", 0), batch(5, "b", "c", 7), batch(6, "c", "c", 0), batch(7, "c", "c", 0)]
+        isActive, recentProgress, exception, ended = True, [], staticmethod(lambda: None), None
+
+        def stop(self):
+            self.isActive, self.ended = False, self.ended or self.recentProgress[-1]["batchId"]
+
+    query = Resumed()
+    steps = [query.recentProgress.append] * len(query.script)
+    real, tables.time = tables.time, type("Clock", (), {"sleep": staticmethod(lambda _: steps and steps.pop()(query.script[len(query.recentProgress)]))})
+    try:
+        tables.drain(query)
+    finally:
+        tables.time = real
+    assert query.ended == 6
